@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, let
 
 MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -16,19 +16,19 @@ def local_day(ts: Column | str, zone: str = "Asia/Bangkok") -> Column:
 
 
 def month_number(name: Column | str) -> Column:
-    position = F.instr(F.lit("".join(MONTHS)), F.substring(F.lower(col(name)), 1, 3))
-    return F.when(position > 0, ((position - 1) / 3 + 1).cast("int"))
+    """1..12 by the first three letters, 0 when unknown."""
+    return ((F.instr(F.lit("".join(MONTHS)), F.substring(F.lower(col(name)), 1, 3)) + 2) / 3).cast("int")
 
 
 def make_day(year, month, day) -> Column:
-    """Null for impossible dates."""
-    text = F.format_string("%04d-%02d-%02d", col(year).cast("int"), col(month).cast("int"), col(day).cast("int"))
-    return F.when(col(year).isNotNull() & col(month).isNotNull() & col(day).isNotNull(), text.try_cast("date"))
+    """Null for missing parts and impossible dates."""
+    return F.concat(col(year).cast("string"), F.lit("-"), col(month).cast("string"), F.lit("-"),
+                    col(day).cast("string")).try_cast("date")
 
 
 def _group(text: Column, pattern: str, i: int) -> Column:
-    value = F.regexp_extract(text, "(?i)" + pattern, i)
-    return F.when(value != "", value)
+    """Matched group, empty text when nothing matches."""
+    return F.regexp_extract(text, "(?i)" + pattern, i)
 
 
 def parse_absolute(x: Column | str, as_of: Column | str) -> Column:
@@ -41,7 +41,7 @@ def parse_absolute(x: Column | str, as_of: Column | str) -> Column:
     return F.coalesce(
         make_day(_group(text, dmy, 3), month_number(_group(text, dmy, 2)), _group(text, dmy, 1)),
         make_day(_group(text, mdy, 3), month_number(_group(text, mdy, 1)), _group(text, mdy, 2)),
-        make_day(_group(text, iso, 1), _group(text, iso, 2), _group(text, iso, 3)),
+        _group(text, iso, 0).try_cast("date"),
         make_day(year, month_number(_group(text, dm, 2)), _group(text, dm, 1)),
         make_day(year, month_number(_group(text, md, 1)), _group(text, md, 2)))
 
@@ -52,38 +52,37 @@ def parse_day_range(x: Column | str, as_of: Column | str) -> Column:
     a = rf"^(\d{{1,2}})\s*[–\-]\s*(\d{{1,2}})\s*{MONTH}"
     b = rf"^{MONTH}\s+(\d{{1,2}})\s*[–\-]\s*(\d{{1,2}})"
     year = F.year(day0)
-    s = F.coalesce(make_day(year, month_number(_group(low, a, 3)), _group(low, a, 1)),
-                   make_day(year, month_number(_group(low, b, 1)), _group(low, b, 2)))
-    e = F.coalesce(make_day(year, month_number(_group(low, a, 3)), _group(low, a, 2)),
-                   make_day(year, month_number(_group(low, b, 1)), _group(low, b, 3)))
-    month_end = low.rlike("end of (the )?month|до конца месяца|สิ้นเดือน")
-    friday = low.rlike("every friday|кажд.*пятниц|ทุกวันศุกร์")
+
+    def both(start: Column, end: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"))
+    day_first = both(make_day(year, month_number(_group(low, a, 3)), _group(low, a, 1)), make_day(year, month_number(_group(low, a, 3)), _group(low, a, 2)))
+    month_first = both(make_day(year, month_number(_group(low, b, 1)), _group(low, b, 2)), make_day(year, month_number(_group(low, b, 1)), _group(low, b, 3)))
     next_friday = F.next_day(F.date_sub(day0, 1), "FRI")
-    one = parse_absolute(x, as_of)
-    return F.struct(
-        F.when(s.isNotNull(), s).when(month_end, day0).when(friday, next_friday).otherwise(one).alias("start"),
-        F.when(e.isNotNull(), e).when(month_end, F.last_day(day0)).when(friday, next_friday)
-        .otherwise(one).alias("end"))
+    return (F.when(low.rlike(a), day_first).when(low.rlike(b), month_first)
+            .when(low.rlike("end of (the )?month|до конца месяца|สิ้นเดือน"), both(day0, F.last_day(day0)))
+            .when(low.rlike("every friday|кажд.*пятниц|ทุกวันศุกร์"), let(next_friday, lambda d: both(d, d)))
+            .otherwise(let(parse_absolute(x, as_of), lambda d: both(d, d))))
 
 
 def parse_dash_range(x: Column | str, as_of: Column | str) -> Column:
     """Struct (start, end) of ``6 Sep — 7 Dec 2025``; missing month and year come from the end."""
     parts = F.split(F.regexp_replace(col(x), "[–—]", "-"), r"\s*-\s*")
     first, last = F.trim(F.element_at(parts, 1)), F.trim(F.element_at(parts, -1))
-    end = parse_absolute(last, as_of)
-    s_day = _group(first, r"^(\d{1,2})\b", 1)
-    s_month = F.coalesce(month_number(_group(first, MONTH, 1)), F.month(end))
-    s_year = F.coalesce(_group(first, r"\b(\d{4})\b", 1).cast("int"), F.year(end))
-    start = F.when(F.size(parts) == 1, end).otherwise(make_day(s_year, s_month, s_day))
-    return F.struct(F.when(end.isNotNull(), start).alias("start"), F.when(start.isNotNull(), end).alias("end"))
+
+    def spread(end: Column) -> Column:
+        month = F.coalesce(F.nullif(month_number(_group(first, MONTH, 1)), F.lit(0)), F.month(end))
+        year = F.coalesce(_group(first, r"\b(\d{4})\b", 1).try_cast("int"), F.year(end))
+        start = F.when(F.size(parts) == 1, end).otherwise(make_day(year, month, _group(first, r"^(\d{1,2})\b", 1)))
+        return let(start, lambda s: F.struct(F.when(end.isNotNull(), s).alias("start"), F.when(s.isNotNull(), end).alias("end")))
+    return let(parse_absolute(last, as_of), spread)
 
 
 def fill_start_end(start, end, text, as_of) -> Column:
+    """Missing dates from each other, or both from the text."""
+    given = F.struct(col(start).alias("start"), col(end).alias("end"))
     both_missing = col(start).isNull() & col(end).isNull()
-    parsed = parse_day_range(text, as_of)
-    s = F.when(both_missing, parsed["start"]).otherwise(col(start))
-    e = F.when(both_missing, parsed["end"]).otherwise(col(end))
-    return F.struct(F.coalesce(s, e).alias("start"), F.coalesce(e, s).alias("end"))
+    chosen = F.when(both_missing, parse_day_range(text, as_of)).otherwise(given)
+    return let(chosen, lambda r: F.struct(F.coalesce(r["start"], r["end"]).alias("start"), F.coalesce(r["end"], r["start"]).alias("end")))
 
 
 def day_bounds(ts: Column | str) -> Column:

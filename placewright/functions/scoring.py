@@ -149,7 +149,8 @@ def price_score(price) -> Column:
             .otherwise(1 - F.least(F.greatest(p, F.lit(0.0)), F.lit(rules.PRICE_TOP)) / rules.PRICE_TOP))
 
 
-def coolness(source, popularity, price, time_text, category, venue, title, description, day, as_of) -> Column:
+def coolness(source, popularity, price, time_text, category, venue, title, description, day, as_of,
+             digits: int = 4) -> Column:
     evening = contains_any(F.lower(F.coalesce(col(time_text), F.lit(""))), rules.NIGHT_TIMES) \
         | contains_any(F.lower(F.coalesce(col(category), F.lit(""))), rules.NIGHT_CATEGORIES)
     text = F.lower(F.concat_ws(" ", F.coalesce(col(title), F.lit("")), col(description)))
@@ -163,17 +164,17 @@ def coolness(source, popularity, price, time_text, category, venue, title, descr
         w["text"] * F.when(contains_any(text, rules.TEXT_BONUS), F.lit(1.0)).otherwise(F.lit(0.5)),
         w["fresh"] * F.when(col(day) == col(as_of), F.lit(1.0)).otherwise(F.lit(0.5)),
     ]
-    return F.round(_sum(parts), 4)
+    return F.round(_sum(parts), digits)
 
 
-def boosted(score, title, description, venue, tags) -> Column:
+def boosted(score, title, description, venue, tags, digits: int = 4) -> Column:
     text = F.lower(F.concat(F.coalesce(col(title), F.lit("")), F.coalesce(col(description), F.lit(""))))
     tag_text = F.lower(F.array_join(F.coalesce(col(tags), F.array().cast("array<string>")), " "))
     parts = [F.coalesce(col(score), F.lit(0.0)),
              _points(contains_any(text, rules.BOOST_TEXT), 0.3),
              _points(contains_any(F.lower(F.coalesce(col(venue), F.lit(""))), rules.BOOST_VENUES), 0.2),
              _points(tag_text.contains("picks"), 0.5), _points(tag_text.contains("hot"), 0.3)]
-    return F.round(_sum(parts), 4)
+    return F.round(_sum(parts), digits)
 
 
 def simple_coolness(popularity, rating, image, venue) -> Column:

@@ -6,6 +6,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import rules
 
@@ -19,6 +20,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once and use it many times; keeps large expressions small."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def alternation(words: list[str]) -> str:
     return "(?:" + "|".join(re.escape(w) for w in words) + ")"
 
@@ -79,7 +85,7 @@ def unescape(x: Column | str) -> Column:
     return F.when(value.contains("&"), named).otherwise(value)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_full(s: pd.Series) -> pd.Series:
     """Every HTML entity (the full named table), Arrow batches; use where the common set is not enough."""
     import html
@@ -274,7 +280,7 @@ def levenshtein_ratio(a: Column | str, b: Column | str) -> Column:
     return F.when(longest > 0, 1 - F.levenshtein(col(a), col(b)) / longest).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks; for candidate pairs only, never for a raw product."""
     from difflib import SequenceMatcher

@@ -1,27 +1,34 @@
 """Quality columns, the curation run and geo enrichment as single plans."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import geo as G
 from ..functions import scoring as S
+from ..functions.text import let
 from ..operators import resolve as R
 from ..operators.skew import HOT_ROWS
 
 
 def with_quality(df: DataFrame, min_completeness: float = rules.MIN_COMPLETENESS, require_photo: bool = True) -> DataFrame:
     """Five scores, overall score, level, acceptance, warnings and recommendations."""
-    scored = df.select(
-        "*", S.completeness(df.schema).alias("completeness"), F.round(S.photo_score("photos", "image_url"), 4).alias("photo"),
+    scores = F.struct(
+        S.completeness(df.schema).alias("completeness"), F.round(S.photo_score("photos", "image_url"), 4).alias("photo"),
         S.freshness_score("last_updated").alias("freshness"), F.round(S.source_reliability("domain", "url"), 4).alias("reliability"),
         F.round(S.validation_score("name", "url", "geo_lat", "geo_lng", "address", "tags", "description"), 4).alias("validation"))
-    scored = scored.withColumn("overall", S.overall_score("completeness", "photo", "freshness", "reliability", "validation"))
+    names = ["completeness", "photo", "freshness", "reliability", "validation"]
     args = (min_completeness, require_photo)
-    return (scored.withColumn("level", S.quality_level("overall")).withColumn("accepted", S.acceptable("completeness", "photo", "overall", *args))
-            .withColumn("warnings", S.warnings_of("completeness", "photo", "overall", *args))
-            .withColumn("recommendations", S.recommendations_of("completeness", "photo", "freshness")))
+
+    def rated(s: Column, overall: Column) -> Column:
+        core = (s["completeness"], s["photo"], overall)
+        return F.struct(*[s[n].alias(n) for n in names], overall.alias("overall"), S.quality_level(overall).alias("level"),
+                        S.acceptable(*core, *args).alias("accepted"), S.warnings_of(*core, *args).alias("warnings"),
+                        S.recommendations_of(s["completeness"], s["photo"], s["freshness"]).alias("recommendations"))
+    # Bound once: seven nested aliases under a filter would make the optimizer's constraint sets explode.
+    bound = let(scores, lambda s: let(S.overall_score(*[s[n] for n in names]), lambda o: rated(s, o)))
+    return df.withColumn("_q", bound).select("*", "_q.*").drop("_q")
 
 
 def curate(df: DataFrame, seq: str = "seq", hot_rows: int = HOT_ROWS, **matching) -> DataFrame:
