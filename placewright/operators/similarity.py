@@ -2,36 +2,50 @@
 
 Texts become sets of numbered q-grams (or words). Two texts close enough must share one of their rarest few
 elements, so an equi-join on those finds every pair; no block is ever multiplied with itself. The element
-frequencies are kept in a table of fixed size, so broadcasting it is safe at any scale.
+frequencies are kept in an array of fixed size, whatever the table holds.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import gestalt_ratio, jaccard, levenshtein_ratio
+from ..functions.text import gestalt_ratio, jaccard, let, levenshtein_ratio
 from .skew import HOT_ROWS, salted_join
 
-BUCKETS = 1 << 16
+BUCKETS = 4096
+
+
+def _bucket(element):
+    return F.pmod(F.xxhash64(element), F.lit(BUCKETS)).cast("int")
+
+
+def _bucket_counts(rows: DataFrame, elements: str):
+    """How often each hash bucket of elements occurs, as a constant array of BUCKETS numbers.
+
+    The count is combined on the map side; only BUCKETS numbers reach the driver, whatever the table holds.
+    Buckets merely order the elements, so a shared bucket costs speed, never a pair.
+    """
+    found = rows.select(F.explode(elements).alias("_e")).groupBy(_bucket("_e").alias("b")).count().collect()
+    counts = ["0"] * BUCKETS
+    for b, n in found:
+        counts[b] = str(n)
+    return F.split(F.lit(",".join(counts)), ",").cast("array<bigint>")
 
 
 def _rare_prefix(rows: DataFrame, carry: list[str], elements: str, length: str) -> DataFrame:
-    """One row per element of the rarest-first prefix of each row."""
-    one = rows.select(*carry, length, F.explode(elements).alias("_e"))
-    bucket = F.pmod(F.xxhash64("_e"), F.lit(BUCKETS)).cast("int")
-    freq = one.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_f"))
-    ranked = one.withColumn("_bucket", bucket).join(F.broadcast(freq), "_bucket")
-    ordered = F.array_sort(F.collect_list(F.struct("_f", "_e")))
-    kept = ranked.groupBy(*carry, length).agg(ordered.alias("_o"))
-    head = F.slice("_o", F.lit(1), F.least(F.col(length), F.size("_o")))
-    return kept.select(*carry, F.explode(F.transform(head, lambda s: s["_e"])).alias("_e"))
+    """One row per element of the rarest-first prefix of each row, without a shuffle."""
+    counts = _bucket_counts(rows, elements)
+    ranked = F.array_sort(F.transform(elements, lambda e: F.struct(F.get(counts, _bucket(e)).alias("f"), e.alias("e"))))
+    head = F.slice(ranked, F.lit(1), F.least(F.col(length), F.size(elements)))
+    return rows.select(*carry, F.explode(head).alias("_h")).select(*carry, F.col("_h.e").alias("_e"))
 
 
 def _numbered_grams(text: str, q: int):
     n = F.length(text) - q + 1
     grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                                      lambda i: F.substr(F.col(text), i, F.lit(q))))
-    return F.transform(grams, lambda g, i: F.concat(g, F.lit("#"), (i + 1 - F.array_position(grams, g)).cast("string")))
+    return let(grams, lambda gs: F.transform(
+        gs, lambda g, i: F.concat(g, F.lit("#"), (i + 1 - F.array_position(gs, g)).cast("string"))))
 
 
 def _pairs(prefix: DataFrame, carry: list[str], block: list[str], at_least: int) -> DataFrame:

@@ -32,7 +32,8 @@ _FUZZY = f"""pairs AS (SELECT a.seq AS id_a, b.seq AS id_b, {S.lev_ratio('a.mn',
  WHERE {S.lev_ratio('a.mn', 'b.mn')} >= 0.86)"""
 
 
-@query("fuzzy_name_pairs", "J12 F22", with_places(f", {KEYED}, {_FUZZY} SELECT id_a, id_b, round(score, 6) AS score FROM pairs"))
+@query("fuzzy_name_pairs", "J12 F22", with_places(f", {KEYED}, {_FUZZY}, firsts AS (SELECT city, mn, min(seq) AS f FROM k GROUP BY 1, 2) SELECT id_a, id_b, round(score, 6) AS score FROM pairs WHERE score < 1 AND id_a IN (SELECT f FROM firsts) AND id_b IN (SELECT f FROM firsts)"
+       " UNION ALL SELECT f, seq, 1 FROM k JOIN firsts USING (city, mn) WHERE seq > f"))
 def _(spark, sf):
     base = R.with_match_columns(places(spark, sf))
     return SIM.similar_texts(base, "seq", "match_name", rules.FUZZY_NAME_RATIO, ["city"]).select("id_a", "id_b", F.round("score", 6).alias("score"))
@@ -134,7 +135,7 @@ def _(spark, sf):
     return PI.group_events(merge_input(spark, sf)).select("seq", "group_id")
 
 
-@query("merged_events", "A23 A25 A26 A27 W1 UD4 PL2", _show_rec(f""", {_GROUP}, m AS (SELECT group_id, arg_min(id, {_RANK} * 1e16 - epoch_us(fetched_at)) AS id, arg_min(url, {_RANK} * 1e16 - epoch_us(fetched_at)) AS url, max(length(description)) AS desc_len,
+@query("merged_events", "A23 A25 A26 A27 W1 UD4 PL2", _show_rec(f""", {_GROUP}, m AS (SELECT group_id, arg_min(id, {_RANK} * 1e16 - epoch_us(fetched_at)) AS id, arg_min(url, {_RANK} * 1e16 - epoch_us(fetched_at)) AS url, max(length({S.norm('description')})) AS desc_len,
   arg_min(image, seq) FILTER (coalesce(image, '') <> '' AND NOT starts_with(image, 'data:image/svg+xml')) AS image, strftime(max(fetched_at), '%Y-%m-%d %H:%M:%S') AS fetched, count(*) AS merged_count,
   bool_or({S.has("lower(title || ' ' || coalesce(description, ''))", rules.ATTRIBUTE_WORDS['market'])}) AS market FROM g GROUP BY 1),
  s AS (SELECT group_id, string_agg(source, '|' ORDER BY f) AS sources FROM (SELECT group_id, source, min(seq) AS f FROM g GROUP BY 1, 2) GROUP BY 1), tg AS (SELECT group_id, string_agg(tag, '|' ORDER BY f) AS tags FROM (SELECT group_id, tag, min(f) AS f FROM (SELECT group_id, lower(trim(unnest(tags))) AS tag, seq * 1000 + generate_subscripts(tags, 1) AS f FROM g) GROUP BY 1, 2) GROUP BY 1)

@@ -150,15 +150,15 @@ _COOL = f"""round(0.25e0 * {S.first_value('site', rules.SOURCE_WEIGHTS, 0.4, 0.3
  + 0.10e0 * CASE WHEN price_min IS NULL THEN 0.5e0 WHEN price_min = 0 THEN 1e0 ELSE 1 - least(greatest(price_min, 0), 1200) / 1200 END
  + 0.08e0 * CASE WHEN {S.has('lower(time_str)', rules.NIGHT_TIMES)} OR {S.has('lower(category_text)', rules.NIGHT_CATEGORIES)} THEN 0.7e0 ELSE 0.5e0 END
  + 0.12e0 * {S.first_value('venue', rules.VENUE_RANKS, 0.5, 0.4)} + 0.08e0 * CASE WHEN {S.has("lower(concat_ws(' ', title, description))", rules.TEXT_BONUS)} THEN 1e0 ELSE 0.5e0 END
- + 0.02e0 * CASE WHEN day = date '2024-01-10' THEN 1e0 ELSE 0.5e0 END, 6)"""
+ + 0.02e0 * CASE WHEN day = date '2024-01-10' THEN 1e0 ELSE 0.5e0 END, 8)"""
 _BOOST = f"""round(cool + CASE WHEN {S.has("lower(title || coalesce(description, ''))", rules.BOOST_TEXT)} THEN 0.3e0 ELSE 0e0 END + CASE WHEN {S.has("lower(coalesce(venue, ''))", rules.BOOST_VENUES)} THEN 0.2e0 ELSE 0e0 END
- + CASE WHEN contains(lower(tag_text), 'picks') THEN 0.5e0 ELSE 0e0 END + CASE WHEN contains(lower(tag_text), 'hot') THEN 0.3e0 ELSE 0e0 END, 6)"""
+ + CASE WHEN contains(lower(tag_text), 'picks') THEN 0.5e0 ELSE 0e0 END + CASE WHEN contains(lower(tag_text), 'hot') THEN 0.3e0 ELSE 0e0 END, 8)"""
 
 
 def scored_shows(spark, sf):
     df = shows(spark, sf)
-    df = df.withColumn("cool", SC.coolness("site", "popularity", "price_min", "time_str", "category_text", "venue", "title", "description", "day", F.lit("2024-01-10").cast("date"), 6))
-    return df.withColumn("boosted", SC.boosted("cool", "title", "description", "venue", "tags", 6))
+    df = df.withColumn("cool", SC.coolness("site", "popularity", "price_min", "time_str", "category_text", "venue", "title", "description", "day", F.lit("2024-01-10").cast("date"), 8))
+    return df.withColumn("boosted", SC.boosted("cool", "title", "description", "venue", "tags", 8))
 
 
 COOL_SQL = f", cooled AS (SELECT *, {_COOL} AS cool FROM shows), scored AS (SELECT *, {_BOOST} AS boosted FROM cooled) "
