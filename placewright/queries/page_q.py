@@ -1 +1,159 @@
+"""Page extraction."""
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import html as H
+from ..functions import text as X
+from ..operators import extract as E
+from ..sources.readers import table
+from . import sqltext as S
+from .inputs import places, web, with_places, with_web
+from .registry import query
+
+J = lambda c: F.concat_ws("|", c)
+HTTP_ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+
+
+@query("page_events", "X1 X12 X15", with_web("""SELECT page_id, 'Gig ' || page_id AS title, 'Hall ' || (page_id % 9) AS venue, '2024-01-05' AS start, (page_id % 50 * 10)::double AS price_min FROM web WHERE page_id % 5 = 1
+ UNION ALL SELECT page_id, 'Fair ' || page_id, 'Main Square', '2024-02-01', NULL FROM web WHERE page_id % 5 = 2"""))
+def _(spark, sf):
+    return E.event_details(E.json_ld_events(web(spark, sf))).select("page_id", "title", "venue", "start", "price_min")
+
+
+@query("page_places", "X2", with_web("""SELECT page_id, 'Cafe ' || page_id AS name, 'Good food' AS description, 'https://img.example.com/' || page_id || '.jpg' AS image_url FROM web WHERE page_id % 5 = 0
+ UNION ALL SELECT page_id, 'Inn ' || page_id, NULL, NULL FROM web WHERE page_id % 5 = 2"""))
+def _(spark, sf):
+    return E.json_ld_places(web(spark, sf), ["Restaurant", "Hotel"]).select("page_id", "name", "description", "image_url")
+
+
+@query("page_open_graph", "X3", with_web(r"""SELECT page_id, replace(regexp_extract(html, '<meta property="og:title" content="([^"]*)">', 1), '&amp;', '&') AS name, regexp_extract(html, '<meta content="([^"]*)" property="og:description">', 1) AS description,
+ nullif(regexp_extract(html, '<meta property="og:image" content="([^"]*)">', 1), '') AS image_url, url FROM web"""))
+def _(spark, sf):
+    return E.open_graph_rows(web(spark, sf)).select("page_id", "name", "description", "image_url", "url")
+
+
+CARD = {"name": "h3.title", "image_url": "img@src", "price": ".price", "ident": "[data-id]@data-id"}
+
+
+@query("page_cards", "X4 UD2", with_web("SELECT page_id, 'Blue ' || CASE WHEN page_id % 2 = 0 THEN 'Lotus Restaurant' ELSE 'Door Gallery' END AS name, '/c/' || page_id || '.jpg' AS image_url, (page_id % 40 * 25) || ' THB' AS price, page_id::varchar AS ident FROM web"))
+def _(spark, sf):
+    return E.css_rows(web(spark, sf), ".card", CARD).select("page_id", "name", "image_url", "price", "ident")
+
+
+def _methods(spark, sf):
+    pages = web(spark, sf)
+    none = F.lit(None).cast("string")
+    ld = E.json_ld_places(pages, ["Restaurant", "Hotel"]).select("page_id", "name", "description", "image_url", F.coalesce("url", none).alias("url"))
+    og = E.open_graph_rows(pages).select("page_id", "name", "description", "image_url", "url")
+    css = E.css_rows(pages, ".card", CARD).select("page_id", "name", none.alias("description"), "image_url", none.alias("url"))
+    return E.union_methods({"jsonld": ld, "opengraph": og, "css": css})
+
+
+@query("page_fallback", "X5", with_web("SELECT method, count(*) AS n, min(c) AS confidence FROM (SELECT 'jsonld' AS method, 0.95e0 AS c FROM web WHERE page_id % 5 IN (0, 2) UNION ALL SELECT unnest(['opengraph', 'css']), unnest([0.85e0, 0.70e0]) FROM web WHERE page_id % 5 NOT IN (0, 2)) GROUP BY 1"))
+def _(spark, sf):
+    rows = E.fallback_rows(_methods(spark, sf))
+    return rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.min("confidence").alias("confidence"))
+
+
+@query("page_methods_union", "X6 W2", with_web("SELECT page_id, 2 + (page_id % 5 IN (0, 2))::int AS n FROM web"))
+def _(spark, sf):
+    rows = E.unique_rows(_methods(spark, sf), [F.asc("priority")])
+    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _surface(e, patterns):
+    return "least((" + " + ".join(f"CASE WHEN contains({e}, {S.q(p)}) THEN {int(round(w * 10000))} ELSE 0 END" for p, w in patterns) + ") / 1e4, 1e0)"
+
+
+_PTS = E.pattern_points()
+_VIS = S.strip(S.collapse(S.unescape(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '<[^>]+>', '', 'g')")))
+_FIRST = "contains(u, 'timeout.com') AND contains(u, '/bangkok/')"
+_BONUS = {"list": f"CASE WHEN {_FIRST} AND regexp_matches(u, '/restaurants|/cafes|/bars') THEN 0.2e0 ELSE 0e0 END", "category": f"CASE WHEN {_FIRST} AND regexp_matches(u, '/restaurants|/cafes|/bars') THEN 0.1e0 ELSE 0e0 END",
+          "article": f"CASE WHEN {_FIRST} AND NOT regexp_matches(u, '/restaurants|/cafes|/bars') AND regexp_matches(u, '/restaurant/|/cafe/|/bar/') THEN 0.2e0 ELSE 0e0 END", "gallery": "0e0", "search": "0e0"}
+
+
+@query("page_type", "X7 X18", with_web(f""", t AS (SELECT page_id, lower(url) AS u, lower(html) AS h, lower({_VIS}) AS v FROM web), s AS (SELECT page_id, """ + ", ".join(
+    f"round(0.4e0 * least({_surface('u', _PTS['url'][k])} + {_BONUS[k]}, 1e0) + 0.3e0 * {_surface('h', _PTS['html'][k])} + 0.3e0 * {_surface('v', _PTS['text'][k])}, 6) AS score_{k}" for k in E.PAGE_TYPES) + """ FROM t)
+ SELECT page_id, CASE WHEN b < 0.3 THEN 'unknown' WHEN score_list = b THEN 'list' WHEN score_article = b THEN 'article' WHEN score_gallery = b THEN 'gallery' WHEN score_search = b THEN 'search' ELSE 'category' END AS page_type, CASE WHEN b < 0.3 THEN 0 ELSE b END AS type_confidence
+ FROM (SELECT *, greatest(score_list, score_article, score_gallery, score_search, score_category) AS b FROM s)"""))
+def _(spark, sf):
+    return E.page_type(web(spark, sf), keep=["page_id"]).select("page_id", "page_type", "type_confidence")
+
+
+@query("page_simple_type", "X8", with_web("""SELECT page_id, CASE WHEN contains(lower(html), '<ul>') OR contains(lower(html), '<ol>') OR contains(lower(html), 'list-item') THEN 'list' WHEN regexp_matches(lower(html), 'article|post|entry') THEN 'article' ELSE 'other' END AS by_html,
+ CASE WHEN contains(url, '/gallery') THEN 'gallery' WHEN contains(url, 'search') THEN 'search' ELSE 'unknown' END AS by_url FROM web"""))
+def _(spark, sf):
+    return web(spark, sf).select("page_id", E.simple_type_from_html("html").alias("by_html"), E.simple_type_from_url("url", {"gallery": ["/gallery"], "search": ["search"]}).alias("by_url"))
+
+
+_CNT = {"n_links": r"<a\b", "n_images": r"<img\b", "n_lists": r"<(?:ul|ol)\b", "n_list_items": r"<li\b", "n_headings": r"<h[1-6]\b", "n_paragraphs": r"<p\b", "n_tables": r"<table\b", "n_forms": r"<form\b", "n_json_ld": r"application/ld\+json", "n_open_graph": "property=[\"'']og:"}
+
+
+@query("page_counts", "X9", with_web("SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '(?i){p}')) AS {n}" for n, p in _CNT.items()) + " FROM web"))
+def _(spark, sf):
+    return web(spark, sf).select("page_id", *[c.alias(n) for n, c in H.page_counts("html").items()])
+
+
+@query("page_images", "X10 F7", with_web(f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/img/' || page_id || '.png' ELSE '/c/' || page_id || '.jpg' END AS chosen,
+ {HTTP_ORIGIN} || CASE WHEN page_id % 3 = 0 THEN '/img/' || page_id || '.png' ELSE '/c/' || page_id || '.jpg' END AS best FROM web"""))
+def _(spark, sf):
+    return web(spark, sf).select("page_id", H.choose_image("html").alias("chosen"), H.best_image("html", "url").alias("best"))
+
+
+@query("page_coordinates", "X11", with_web("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 13.75 WHEN page_id % 7 = 3 THEN 13.71 END AS lat, CASE WHEN page_id % 5 = 0 THEN 100.5 WHEN page_id % 7 = 3 THEN 100.52 END AS lng FROM web WHERE page_id % 5 = 0 OR page_id % 7 = 3"))
+def _(spark, sf):
+    c = H.coordinates("html")
+    return web(spark, sf).select("page_id", c["lat"].alias("lat"), c["lng"].alias("lng")).where("lat is not null")
+
+
+@query("page_prices", "X12 X13", with_web("SELECT page_id, (page_id % 40 * 25)::double AS price, cast(page_id % 300 AS int) AS popularity FROM web"))
+def _(spark, sf):
+    return web(spark, sf).select("page_id", H.min_price("html").alias("price"), H.popularity_number(H.visible_text("html")).alias("popularity"))
+
+
+@query("page_contacts", "X14", with_web("""SELECT page_id, cast('4.' || (page_id % 10) AS double) AS rating, cast(((page_id % 3 + 1) || lpad((page_id % 1000)::varchar, 3, '0')) AS int) AS reviews_count, '10:00 AM - 9:30 PM' AS opening_hours, '+66 2 123 4567' AS phone, 'parking|wifi' AS features,
+ regexp_extract(html, '(https?://[^\\s<>"]+)', 1) AS website FROM web""".replace("\\\\", "\\")))
+def _(spark, sf):
+    c = H.contact_block("html")
+    return web(spark, sf).select("page_id", *[c[n].alias(n) for n in ("rating", "reviews_count", "opening_hours", "phone")], J(c["features"]).alias("features"), c["website"].alias("website"))
+
+
+@query("page_titles", "X15", f"SELECT page_id, {S.strip(S.collapse(S.unescape('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)''')))} AS title, {S.strip(S.collapse(S.unescape('''regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)''')))} AS heading FROM pages")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", H.title_of("html").alias("title"), H.first_heading("html").alias("heading"))
+
+
+@query("prose_names", "X16", with_places(r"SELECT seq, CASE cast(ent % 3 AS int) WHEN 0 THEN 'Blue Elephant Restaurant' WHEN 1 THEN 'Silom Road' END AS found FROM places WHERE ent % 3 < 2"))
+def _(spark, sf):
+    text = F.concat(F.lit("go see "), F.when(F.col("ent") % 3 == 0, "Blue Elephant Restaurant").when(F.col("ent") % 3 == 1, "on Silom Road").otherwise("nothing here"), F.lit(" by the river"))
+    return places(spark, sf).select("seq", H.prose_place_name(text).alias("found")).where("found is not null")
+
+
+@query("page_list_items", "X17", r"SELECT page_id, len(items) AS n, array_to_string(list_transform(items, lambda i: " + S.strip(S.collapse(S.unescape("regexp_replace(regexp_replace(i, '(?is)^<li[^>]*>|</li>$', '', 'g'), '<[^>]+>', '', 'g')"))) + r"), '|') AS items FROM (SELECT page_id, regexp_extract_all(html, '(?is)<li\b[^>]*>.*?</li>') AS items FROM pages)")
+def _(spark, sf):
+    items = H.list_items("html")
+    return table(spark, sf, "pages").select("page_id", F.size(items).cast("long").alias("n"), J(items).alias("items"))
+
+
+@query("page_text", "X18", f"SELECT page_id, length({_VIS}) AS n, md5({_VIS}) AS h FROM pages")
+def _(spark, sf):
+    v = H.visible_text("html")
+    return table(spark, sf, "pages").select("page_id", F.length(v).alias("n"), F.md5(v).alias("h"))
+
+
+@query("page_links", "P21", r"""SELECT page_id, position, link FROM (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY p) - 1 AS position FROM (SELECT page_id, link, min(p) AS p FROM (
+ SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || unnest(l) AS link, generate_subscripts(l, 1) AS p FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*"([^"''#]+)"', 1) AS l FROM pages)) WHERE regexp_matches(link, '/[a-z]+$') GROUP BY 1, 2)) WHERE position < 50""")
+def _(spark, sf):
+    return E.listing_links(table(spark, sf, "pages"), "/[a-z]+$")
+
+
+@query("sitemap_urls", "X19", "SELECT page_id, url FROM pages")
+def _(spark, sf):
+    xml = F.concat(F.lit("<urlset><url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url></urlset>"))
+    return table(spark, sf, "pages").select("page_id", F.explode(H.sitemap_urls(xml)).alias("url"))
+
+
+@query("page_entities", "F1")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.length(X.normalize_text("html", full_entities=True)).alias("n"))

@@ -1 +1,53 @@
+"""Structured Streaming jobs run to completion over the given files, then read back."""
+from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import resolve as R
+from ..session import work_dir
+from ..sources.readers import table
+from ..streaming import jobs
+from .registry import query
+
+
+def _events(spark, sf):
+    schema = table(spark, sf, "events").schema
+    return jobs.file_stream(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _folder(spark) -> str:
+    return f"{work_dir(spark)}/run-{uuid.uuid4().hex}"
+
+
+@query("stream_ingest", "ST1 ST5 S12 S17", "SELECT user_id, arg_max(event_id, event_id) AS event_id, strftime(max(ts), '%Y-%m-%d') AS last_day FROM events GROUP BY 1")
+def _(spark, sf):
+    root = _folder(spark)
+    sink = jobs.versioned_upsert(f"{root}/t", "user_id", "ts", "event_id", "event_type")
+    jobs.run_batches(_events(spark, sf), sink, f"{root}/c").awaitTermination()
+    return spark.read.parquet(f"{root}/t/v0").select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("last_day"))
+
+
+@query("stream_exact_dedup", "ST2", "SELECT DISTINCT user_id, event_type FROM events")
+def _(spark, sf):
+    root = _folder(spark)
+    df = jobs.drop_exact_copies(_events(spark, sf), ["user_id", "event_type"], "ts", "60 days")
+    jobs.append_parquet(df, f"{root}/t", f"{root}/c").awaitTermination()
+    return spark.read.parquet(f"{root}/t").select("user_id", "event_type")
+
+
+@query("stream_matched_dedup", "ST2 J14", """WITH e AS (SELECT vec_id, round(embedding[1]::double, 3) AS x FROM embeddings) SELECT min(vec_id) AS seq FROM e GROUP BY x""")
+def _(spark, sf):
+    root = _folder(spark)
+    schema = table(spark, sf, "embeddings").schema
+    stream = jobs.file_stream(spark, sf, schema, "embeddings.parquet").select(F.col("vec_id").alias("seq"), F.round(F.col("embedding")[0].cast("double"), 3).cast("string").alias("key"))
+    jobs.run_batches(stream, jobs.against_stored(f"{root}/t", lambda both: R.earliest_with_key(both, "key")), f"{root}/c").awaitTermination()
+    return spark.read.parquet(f"{root}/t/v0").select("seq")
+
+
+@query("stream_rolling", "ST3 W8")
+def _(spark, sf):
+    root = _folder(spark)
+    jobs.append_parquet(jobs.rolling_metrics(_events(spark, sf), ["event_type"], "ts", "value"), f"{root}/t", f"{root}/c").awaitTermination()
+    return spark.read.parquet(f"{root}/t").select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n", F.round("total", 4).alias("total"))
