@@ -17,7 +17,7 @@ def local_day(ts: Column | str, zone: str = "Asia/Bangkok") -> Column:
 
 def month_number(name: Column | str) -> Column:
     """1..12 by the first three letters, 0 when unknown."""
-    return ((F.instr(F.lit("".join(MONTHS)), F.substring(F.lower(col(name)), 1, 3)) + 2) / 3).cast("int")
+    return ((F.instr(F.lit("".join(MONTHS)), F.rpad(F.lower(col(name)), 3, "?")) + 2) / 3).cast("int")
 
 
 def make_day(year, month, day) -> Column:

@@ -101,7 +101,7 @@ def coordinates(html) -> Column:
 def min_price(html, json_ld=None) -> Column:
     """Offer price, zero for free, else the first ``N THB``."""
     text = visible_text(html)
-    thb = F.replace(group(text, r"(?i)(\d[\d,]*)\s*(?:THB|baht)\b"), F.lit(","), F.lit("")).try_cast("double")
+    thb = F.replace(group(text, r"(?i)(\d[\d,]*)\s*(?:THB|baht)"), F.lit(","), F.lit("")).try_cast("double")
     free = F.when(text.rlike(r"(?i)\bfree (?:entry|admission)\b"), F.lit(0.0))
     parts = [free, thb]
     if json_ld is not None:

@@ -54,10 +54,12 @@ def global_rank(df: DataFrame, score: str, ident: str, rank: str = "rank", desce
     splits = [float("-inf"), *sorted(set(cuts or [0.0])), float("inf")]
     placed = Bucketizer(splits=splits, inputCol="_key", outputCol="_b", handleInvalid="keep").transform(base)
     lower = F.element_at(F.lit(splits), F.col("_b").cast("int") + 1)
-    exact = (F.col("_key") == lower) | (F.col("_key") == float("inf"))
+    missing = F.col("_key") == float("inf")
+    exact = (F.col("_key") == lower) | missing
     span = float((hi or 0) - (lo or 0) + 1)
     part = F.floor((F.col(ident).cast("double") - F.lit(float(lo or 0))) / F.lit(span) * ID_CELLS)
-    placed = (placed.withColumn("_cell", (F.col("_b") * 2 + F.when(exact, 0).otherwise(1)).cast("int"))
+    cell = F.when(missing, 2 * len(splits)).otherwise(F.col("_b") * 2 + F.when(exact, 0).otherwise(1))
+    placed = (placed.withColumn("_cell", cell.cast("int"))
               .withColumn("_part", F.when(exact, F.least(part, F.lit(ID_CELLS - 1))).otherwise(F.lit(0)).cast("int")))
     sizes = placed.groupBy("_cell", "_part").agg(F.count(F.lit(1)).alias("_n"))
     # at most 2 * 1000 * ID_CELLS rows, whatever the table holds

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import keys as K
 from ..functions.text import match_address, match_name
+from ..session import cut_lineage
 from .graph import components
 from .similarity import similar_texts
 from .skew import HOT_ROWS, salted_join
@@ -47,7 +48,7 @@ def nearest_within(df: DataFrame, x: str, y: str, tolerance: float, seq: str = "
     other, so a crowded cell never meets itself.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(seq, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    nodes = rows.groupBy("_x", "_y").agg(F.min(seq).alias("_id"), F.count(F.lit(1)).alias("_copies"))
+    nodes = cut_lineage(rows.groupBy("_x", "_y").agg(F.min(seq).alias("_id"), F.count(F.lit(1)).alias("_copies")))
     same = salted_join(rows, nodes.where("_copies > 1").drop("_copies"), ["_x", "_y"], [seq], "inner", hot_rows) \
         .where(F.col("_id") < F.col(seq)).select(seq, F.col("_id").alias("match"), F.lit(0.0).alias("distance"))
     points = nodes.select("_id", "_x", "_y")
@@ -82,7 +83,8 @@ def match_rows(df: DataFrame, seq: str = "seq", name_ratio: float = rules.FUZZY_
     ``block_on`` defaults to the city; pass ``[]`` to compare names everywhere.
     """
     block = ["city"] if block_on is None else block_on
-    base = with_match_columns(df)
+    # four strategies read the normalised columns: stored once
+    base = cut_lineage(with_match_columns(df).select(seq, *[c for c in dict.fromkeys([*block, "match_name", "match_key", "match_address", "address_hash", "geo_lat", "geo_lng"])]))
     parts = [
         earliest_with_key(base, "match_key", seq, hot_rows),
         best_earlier_name(base, name_ratio, block, seq, metric, hot_rows).select(seq, "match"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import gestalt_ratio, jaccard, let, levenshtein_ratio
+from ..session import cut_lineage
 from .skew import HOT_ROWS, salted_join
 
 BUCKETS = 4096
@@ -69,7 +70,8 @@ def similar_texts(df: DataFrame, ident: str, text: str, ratio: float, block: lis
     rows = df.where((F.coalesce(F.col(text), F.lit("")) != "")).select(ident, *block, F.col(text).alias("_t"))
     for b in block:
         rows = rows.where(F.col(b).isNotNull())
-    nodes = rows.groupBy(*block, "_t").agg(F.min(ident).alias("_id"), F.count(F.lit(1)).alias("_copies"))
+    # read several times below: stored once, so that the source is not scanned and normalised again
+    nodes = cut_lineage(rows.groupBy(*block, "_t").agg(F.min(ident).alias("_id"), F.count(F.lit(1)).alias("_copies")))
     factor = (1 - ratio) / ratio * (2 if metric == "gestalt" else 1)
     q = 3 if metric == "levenshtein" and ratio >= 0.84 else 2
     carry = ["_id", *block, "_t", "_k"]
@@ -106,7 +108,7 @@ def similar_sets(df: DataFrame, ident: str, words: str, above: float, block: lis
     rows = df.select(ident, *block, F.array_sort(F.array_distinct(words)).alias("_w")).where(F.size("_w") > 0)
     for b in block:
         rows = rows.where(F.col(b).isNotNull())
-    nodes = rows.groupBy(*block, "_w").agg(F.min(ident).alias("_id"), F.count(F.lit(1)).alias("_copies"))
+    nodes = cut_lineage(rows.groupBy(*block, "_w").agg(F.min(ident).alias("_id"), F.count(F.lit(1)).alias("_copies")))
     size = F.size("_w")
     wide = nodes.withColumn("_len", (size - F.ceil(size * F.lit(above)) + 1).cast("int"))
     carry = ["_id", *block, "_w"]

@@ -11,6 +11,7 @@ from ..functions import tagging as TG
 from ..functions.text import normalize_text
 from ..operators import facets, filters, graph, merge, ranking, reports, resolve, tables
 from ..operators.skew import HOT_ROWS
+from ..session import cut_lineage
 
 
 def with_event_keys(df: DataFrame) -> DataFrame:
@@ -22,7 +23,8 @@ def with_event_keys(df: DataFrame) -> DataFrame:
 def group_events(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds group_id: the smallest seq of all events found to be the same."""
     keyed = with_event_keys(df)
-    roots = graph.components(resolve.event_links(keyed, hot_rows=hot_rows), hot_rows=hot_rows)
+    narrow = cut_lineage(keyed.select("seq", "identity", "day", "norm_title", "norm_venue"))
+    roots = graph.components(resolve.event_links(narrow, hot_rows=hot_rows), hot_rows=hot_rows)
     return keyed.join(roots.select(F.col("id").alias("seq"), "component"), "seq", "left").withColumn("group_id", F.coalesce("component", "seq")).drop("component")
 
 

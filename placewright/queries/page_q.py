@@ -113,7 +113,7 @@ def _(spark, sf):
 
 
 @query("page_contacts", "X14", with_web("""SELECT page_id, cast('4.' || (page_id % 10) AS double) AS rating, cast(((page_id % 3 + 1) || lpad((page_id % 1000)::varchar, 3, '0')) AS int) AS reviews_count, '10:00 AM - 9:30 PM' AS opening_hours, '+66 2 123 4567' AS phone, 'parking|wifi' AS features,
- regexp_extract(html, '(https?://[^\\s<>"]+)', 1) AS website FROM web""".replace("\\\\", "\\")))
+ nullif(regexp_extract(html, '(https?://[^\\s<>"]+)', 1), '') AS website FROM web""".replace("\\\\", "\\")))
 def _(spark, sf):
     c = H.contact_block("html")
     return web(spark, sf).select("page_id", *[c[n].alias(n) for n in ("rating", "reviews_count", "opening_hours", "phone")], J(c["features"]).alias("features"), c["website"].alias("website"))
