@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .text import alternation, col, contains_any, has_word, norm_tag, stem_en, tokens_en
+from .text import alternation, col, contains_any, inside, let, norm_tag, stem_en, tokens_en, word_inside
 
 
 
@@ -26,9 +26,8 @@ def content_text(title, description, tags) -> Column:
 
 def keyword_flags(title, description, tags, table: dict[str, list[str]] = rules.FLAG_KEYWORDS) -> Column:
     """Sorted flags whose keywords occur as whole words."""
-    text = content_text(title, description, tags)
-    return F.array_sort(F.array_compact(F.array(
-        *[F.when(has_word(text, words), F.lit(flag)) for flag, words in table.items()])))
+    return let(content_text(title, description, tags), lambda text: F.array_sort(F.array_compact(F.array(
+        *[F.when(word_inside(text, words), F.lit(flag)) for flag, words in table.items()]))))
 
 
 def place_keyword_flags(name, description, tags, existing) -> Column:
@@ -39,12 +38,12 @@ def place_keyword_flags(name, description, tags, existing) -> Column:
 
 def cascade_flags(text, cascade=rules.FLAG_CASCADE_TEXT, default: Column | None = None) -> Column:
     """Flags of the first branch with a matching substring."""
-    low = F.lower(F.coalesce(col(text), F.lit("")))
-    chain = None
-    for words, flags in cascade:
-        test = low.rlike(words)
-        chain = F.when(test, _words(flags)) if chain is None else chain.when(test, _words(flags))
-    return chain.otherwise(default if default is not None else _words(rules.CASCADE_DEFAULT))
+    def branches(low: Column) -> Column:
+        chain = F.when(F.lit(False), _empty())
+        for words, flags in cascade:
+            chain = chain.when(inside(low, words.split("|")), _words(flags))
+        return chain.otherwise(default if default is not None else _words(rules.CASCADE_DEFAULT))
+    return let(F.lower(F.coalesce(col(text), F.lit(""))), branches)
 
 
 def cascade_flags_content(title, description) -> Column:
@@ -61,17 +60,15 @@ def cascade_flags_url(url, category) -> Column:
 def substring_flags(title, tags) -> Column:
     """All flags with a matching substring, sorted."""
     text = F.lower(F.concat_ws(" ", col(title), F.array_join(F.coalesce(col(tags), _empty()), " ")))
-    return F.array_sort(F.array_compact(F.array(
-        *[F.when(contains_any(text, words), F.lit(flag)) for flag, words in rules.FLAGS_FROM_SUBSTRINGS.items()])))
+    return let(text, lambda t: F.array_sort(F.array_compact(F.array(
+        *[F.when(inside(t, words), F.lit(flag)) for flag, words in rules.FLAGS_FROM_SUBSTRINGS.items()]))))
 
 
 def text_attributes(title, description) -> Column:
     """Map of the eight boolean attributes; substring tests, as in ``art`` inside ``party``."""
     text = F.lower(F.concat_ws(" ", col(title), F.coalesce(col(description), F.lit(""))))
-    pairs: list[Column] = []
-    for name, words in rules.ATTRIBUTE_WORDS.items():
-        pairs += [F.lit(name), contains_any(text, words)]
-    return F.create_map(*pairs)
+    return let(text, lambda t: F.create_map(
+        *[c for name, words in rules.ATTRIBUTE_WORDS.items() for c in (F.lit(name), inside(t, words))]))
 
 
 def true_keys(attrs) -> Column:
@@ -124,19 +121,21 @@ def _aliases(query: Column) -> Column:
 
 def tag_match_score(query, tags, attrs=None) -> Column:
     """2 exact phrase or alias, 1 shared token or stem (own or of an alias), else 0."""
-    q = norm_tag(query)
-    phrases, tokens = tag_phrases(tags, attrs), tag_tokens(tags)
-    stems = F.transform(tokens, stem_en)
-    aliases = _aliases(q)
-    q_tokens = tokens_en(q)
-    q_stems = F.when(F.size(q_tokens) > 0, F.transform(q_tokens, stem_en)).otherwise(F.array(stem_en(q)))
-    a_tokens = F.flatten(F.transform(aliases, tokens_en))
-    a_stems = F.transform(a_tokens, stem_en)
-    return (F.when(F.coalesce(q, F.lit("")) == "", 0)
-            .when(F.array_contains(phrases, q) | F.arrays_overlap(phrases, aliases), 2)
-            .when(F.arrays_overlap(tokens, q_tokens) | F.arrays_overlap(stems, q_stems), 1)
-            .when(F.arrays_overlap(tokens, a_tokens) | F.arrays_overlap(stems, a_stems), 1)
-            .otherwise(0))
+    def score(p: Column) -> Column:
+        q, phrases, tokens = p["q"], p["phrases"], p["tokens"]
+        stems = F.transform(tokens, stem_en)
+        q_tokens = tokens_en(q)
+        q_stems = F.when(F.size(q_tokens) > 0, F.transform(q_tokens, stem_en)).otherwise(F.array(stem_en(q)))
+
+        def by_alias(aliases: Column) -> Column:
+            a_tokens = F.flatten(F.transform(aliases, tokens_en))
+            return (F.when(F.coalesce(q, F.lit("")) == "", 0)
+                    .when(F.array_contains(phrases, q) | F.arrays_overlap(phrases, aliases), 2)
+                    .when(F.arrays_overlap(tokens, q_tokens) | F.arrays_overlap(stems, q_stems), 1)
+                    .when(F.arrays_overlap(tokens, a_tokens) | F.arrays_overlap(stems, F.transform(a_tokens, stem_en)), 1)
+                    .otherwise(0))
+        return let(_aliases(q), by_alias)
+    return let(F.struct(norm_tag(query).alias("q"), tag_phrases(tags, attrs).alias("phrases"), tag_tokens(tags).alias("tokens")), score)
 
 
 def combination_score(tags, combos=rules.TAG_COMBINATIONS) -> Column:
@@ -152,20 +151,22 @@ def combination_score(tags, combos=rules.TAG_COMBINATIONS) -> Column:
 
 def price_from_words(text, table=rules.PRICE_WORDS_RECIPE, default: int | None = None) -> Column:
     """First level with a listed word, in level order."""
-    low = F.lower(F.coalesce(col(text), F.lit("")))
-    chain = F.when(F.lit(False), F.lit(None).cast("int"))
-    for level, words in table:
-        chain = chain.when(low.rlike(alternation(words)), F.lit(level))
-    return chain.otherwise(F.lit(default).cast("int"))
+    def levels(low: Column) -> Column:
+        chain = F.when(F.lit(False), F.lit(None).cast("int"))
+        for level, words in table:
+            chain = chain.when(inside(low, words), F.lit(level))
+        return chain.otherwise(F.lit(default).cast("int"))
+    return let(F.lower(F.coalesce(col(text), F.lit(""))), levels)
 
 
 def first_listed(text, names: list[str], title: bool = False) -> Column:
     """First name of the list contained in the text, null if none."""
-    low = F.lower(F.coalesce(col(text), F.lit("")))
-    chain = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name in names:
-        chain = chain.when(low.contains(name.lower()), F.lit(name.title() if title else name))
-    return chain
+    def branches(low: Column) -> Column:
+        chain = F.when(F.lit(False), F.lit(None).cast("string"))
+        for name in names:
+            chain = chain.when(low.contains(name.lower()), F.lit(name.title() if title else name))
+        return chain
+    return let(F.lower(F.coalesce(col(text), F.lit(""))), branches)
 
 
 def first_listed_value(text, table: dict[str, float], other: float, missing: float) -> Column:

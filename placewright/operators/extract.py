@@ -289,9 +289,10 @@ def pattern_points() -> dict[str, dict[str, list[tuple[str, float]]]]:
 
 
 def _surface_score(text: Column, patterns: list[tuple[str, float]]) -> Column:
-    """Sum of the points of contained patterns, at most 1, as one loop over a constant array."""
-    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(int(round(w * 10000))).alias("w")) for p, w in patterns])
-    total = F.aggregate(table, F.lit(0), lambda acc, x: acc + F.when(F.contains(text, x["p"]), x["w"]).otherwise(0))
+    """Sum of the points of contained patterns, at most 1."""
+    total = F.lit(0)
+    for p, w in patterns:
+        total = total + F.when(text.contains(p), F.lit(int(round(w * 10000)))).otherwise(F.lit(0))
     return F.least(total / F.lit(10000.0), F.lit(1.0))
 
 
