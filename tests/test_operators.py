@@ -108,7 +108,8 @@ def test_salted_join_equals_plain(spark):
     left = spark.range(200).select(F.when(F.col("id") < 120, 1).otherwise(F.col("id") % 7).alias("k"), "id")
     right = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     for how in ("inner", "left"):
-        assert rows(salted_join(left, right, ["k"], ["id"], how, HOT), "k", "id", "v") == rows(left.join(right, "k", how), "k", "id", "v") if how == "inner" else True
+        got, want = salted_join(left, right, ["k"], ["id"], how, HOT).select("k", "id", "v"), left.join(right, "k", how).select("k", "id", "v")
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
     assert salted_join(left, right, ["k"], ["id"], "left_anti", HOT).count() == left.join(right, "k", "left_anti").count()
     with pytest.raises(ValueError):
         salted_join(left, right, ["k"], ["id"], "full")
@@ -247,5 +248,4 @@ def test_extraction(spark):
 def test_search_terms(spark):
     df = spark.createDataFrame([(1, "jazz bar bar", None), (2, "jazz", None), (3, None, ["bar", "Jazz"]), (4, None, None)], "id long, t string, g array<string>")
     p, n = search.build_postings(df, "id", ["t"], ["g"]), search.collection_size(df, "id", ["t"], ["g"])
-    assert [r["id"] for r in search.match_all(p, n, "Jazz bar").orderBy(F.desc("score")).collect()] == [1, 3] or True
     assert {r["id"] for r in search.match_all(p, n, "Jazz bar").collect()} == {1, 3} and search.match_all(p, n, " ").count() == 0
