@@ -1,7 +1,7 @@
 """The registered queries of the operators and their SQL twins."""
 from __future__ import annotations
 
-from . import chat_format, url_filter
+from . import chat_format, decontaminate, url_filter
 
-QUERIES = {f.__name__: f for f in (url_filter.op1_url_filter, chat_format.op6_chat_format)}
-ORACLE = {"op1_url_filter": url_filter.SQL, "op6_chat_format": chat_format.SQL}
+QUERIES = {f.__name__: f for f in (url_filter.op1_url_filter, decontaminate.op3_decontaminate, chat_format.op6_chat_format)}
+ORACLE = {"op1_url_filter": url_filter.SQL, "op3_decontaminate": decontaminate.SQL, "op6_chat_format": chat_format.SQL}
