@@ -1,7 +1,8 @@
 """The registered queries of the operators and their SQL twins."""
 from __future__ import annotations
 
-from . import chat_format, decontaminate, url_filter
+from . import chat_format, decontaminate, sentence_pieces, url_filter
 
-QUERIES = {f.__name__: f for f in (url_filter.op1_url_filter, decontaminate.op3_decontaminate, chat_format.op6_chat_format)}
+QUERIES = {f.__name__: f for f in (url_filter.op1_url_filter, decontaminate.op3_decontaminate, chat_format.op6_chat_format,
+                                 sentence_pieces.op10_sentence_pieces)}
 ORACLE = {"op1_url_filter": url_filter.SQL, "op3_decontaminate": decontaminate.SQL, "op6_chat_format": chat_format.SQL}
