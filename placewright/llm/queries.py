@@ -1,10 +1,11 @@
 """The registered queries of the operators and their SQL twins."""
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_rules, sentence_pieces, url_filter
+from . import chat_format, decontaminate, factor_machine, line_rules, sentence_pieces, url_filter
 
 QUERIES = {f.__name__: f for f in (
-    url_filter.op1_url_filter, line_rules.op2_line_rules, decontaminate.op3_decontaminate, chat_format.op6_chat_format,
+    url_filter.op1_url_filter, line_rules.op2_line_rules, decontaminate.op3_decontaminate, factor_machine.op5_factor_machine,
+    chat_format.op6_chat_format,
     sentence_pieces.op10_sentence_pieces)}
 ORACLE = {"op1_url_filter": url_filter.SQL, "op2_line_rules": line_rules.SQL, "op3_decontaminate": decontaminate.SQL,
           "op6_chat_format": chat_format.SQL}
