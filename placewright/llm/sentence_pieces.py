@@ -19,7 +19,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,7 +133,7 @@ class Backend:
 
     def __init__(self, model: Model):
         import regex
-        from tokenizers import Tokenizer, decoders, models, normalizers
+        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
         self.model = model
         if model.kind == BPE:
@@ -143,7 +145,7 @@ class Backend:
         self.tokenizer = Tokenizer(core)
         steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
         if model.squeeze:
-            steps += [normalizers.Strip(), normalizers.Replace(__import__("tokenizers").Regex(" {2,}"), " ")]
+            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
         self.normalizer = normalizers.Sequence(steps)
         self.plain = not steps
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
@@ -173,7 +175,7 @@ def encode_texts(df: DataFrame, ident: str = "doc_id", text: str = "text", model
                  threads: int = 2) -> DataFrame:
     """(id, ids, n_bytes, round_trip, parity) per row.
 
-    ``round_trip``: the decoded ids give the text back (a literal marker counts as the blank that the model makes of it).
+    ``round_trip``: the ids decode to the normalised text (a literal marker counts as the blank that the model makes of it).
     The model file, a parameter, is read once by the driver and sent to tasks (its size is that of a vocabulary).
     """
     with open(model_path or default_model(), "rb") as f:
@@ -189,40 +191,43 @@ def encode_texts(df: DataFrame, ident: str = "doc_id", text: str = "text", model
 
         backend = Backend(read_model(sent.value))
         other = sentencepiece.SentencePieceProcessor(model_proto=sent.value) if check else None
-        known: dict[str, tuple[list[int], str, bool]] = {}
+        known: dict[str, list[int]] = {}
+        unlike: dict[str, tuple[bool, bool]] = {}  # units that don't come back, or that the two libraries encode unlike
         for batch in batches:
             for lo in range(0, len(batch), 64):
                 part = batch.iloc[lo:lo + 64]
                 texts = [t or "" for t in part["text"]]
                 cut = [backend.units(backend.normalise(t)) for t in texts]
-                fresh = list({u for units in cut for u in units if u not in known})
+                seen = set(chain.from_iterable(cut))
+                fresh = list(seen.difference(known))
                 if len(known) + len(fresh) > UNITS:
-                    known = {}
-                    fresh = list({u for units in cut for u in units})
+                    known, unlike, fresh = {}, {}, list(seen)
                 made = backend.encode(fresh)
-                told = [_reference(other, u, backend.model) for u in fresh] if check else made
                 back = backend.tokenizer.decode_batch(made, skip_special_tokens=False)
-                now = {u: (a, t, a == b) for u, a, t, b in zip(fresh, made, back, told)}
-                known.update((u, v) for u, v in now.items() if len(u) <= LONGEST)
+                told = _reference(other, fresh, backend.model) if check else made
+                unlike.update((u, (t == u.replace(MARK, " "), a == b)) for u, a, t, b in zip(fresh, made, back, told)
+                              if a != b or t != u.replace(MARK, " "))
+                known.update(zip(fresh, made))
                 rows = []
                 for t, units in zip(texts, cut):
-                    each = [now.get(u) or known[u] for u in units]
-                    back = "".join([e[1] for e in each])
-                    back = back[1:] if backend.model.dummy_prefix else back
-                    rows.append(([i for e in each for i in e[0]], len(t.encode("utf-8", "surrogatepass")), back == t.replace(MARK, " "),
-                                 all(e[2] for e in each)))
+                    ids = np.fromiter(chain.from_iterable(map(known.__getitem__, units)), np.int32)
+                    odd = [unlike[u] for u in unlike.keys() & set(units)] if unlike else []
+                    rows.append((ids, len(t.encode("utf-8", "surrogatepass")), all(o[0] for o in odd), all(o[1] for o in odd)))
+                for u in fresh:
+                    if len(u) > LONGEST:
+                        del known[u]
+                        unlike.pop(u, None)
                 ids, size, same, parity = zip(*rows)
                 yield pd.DataFrame({"id": part["id"], "ids": ids, "n_bytes": size, "round_trip": same, "parity": parity})
     rows = df.select(F.col(ident).alias("id"), F.col(text).alias("text"))
     return rows.mapInPandas(encode, f"id {kind}, ids array<int>, n_bytes bigint, round_trip boolean, parity boolean").withColumnRenamed("id", ident)
 
 
-def _reference(other, unit: str, model: Model) -> list[int]:
-    """The unit's ids by the sentencepiece library, which adds the dummy blank itself and gives nothing for no text."""
-    if unit == MARK and model.dummy_prefix:
-        return [other.piece_to_id(MARK)]
-    t = unit.replace(MARK, " ")
-    return other.encode(t[1:] if model.dummy_prefix else t)
+def _reference(other, units: list[str], model: Model) -> list[list[int]]:
+    """The units' ids by the sentencepiece library, which adds the dummy blank itself and gives nothing for no text."""
+    texts = [u.replace(MARK, " ") for u in units]
+    found = other.encode([t[1:] for t in texts] if model.dummy_prefix else texts)
+    return [ids if u != MARK or not model.dummy_prefix else [other.piece_to_id(MARK)] for u, ids in zip(units, found)]
 
 
 def decode_texts(df: DataFrame, ident: str = "doc_id", ids: str = "ids", model_path: str | None = None) -> DataFrame:
