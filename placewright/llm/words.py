@@ -75,8 +75,9 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 class Words:
     """The words of a block of texts: hash, byte span in ``data`` and number of the text, in order."""
 
-    def __init__(self, texts: list[bytes], table: bytes):
-        joined = b" ".join([t.translate(table) for t in texts]) + b" "
+    def __init__(self, texts: list[bytes], table: bytes, drop: bytes = b""):
+        texts = [t.translate(table, drop) for t in texts]
+        joined = b" ".join(texts) + b" "
         self.bytes = joined
         self.data = np.frombuffer(joined, np.uint8)
         blank = self.data == 32
