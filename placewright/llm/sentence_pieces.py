@@ -23,13 +23,14 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 MARK = "▁"
-UNITS, LONGEST = 200_000, 64
+UNITS, LONGEST = 400_000, 64
 #: kinds of pieces in the model format, fixed values
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -183,7 +184,7 @@ def encode_texts(df: DataFrame, ident: str = "doc_id", text: str = "text", model
     sent = df.sparkSession.sparkContext.broadcast(data)
     kind = df.schema[ident].dataType.simpleString()
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
@@ -194,9 +195,9 @@ def encode_texts(df: DataFrame, ident: str = "doc_id", text: str = "text", model
         known: dict[str, list[int]] = {}
         unlike: dict[str, tuple[bool, bool]] = {}  # units that don't come back, or that the two libraries encode unlike
         for batch in batches:
-            for lo in range(0, len(batch), 64):
-                part = batch.iloc[lo:lo + 64]
-                texts = [t or "" for t in part["text"]]
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                texts = [t or "" for t in part["text"].to_pylist()]
                 cut = [backend.units(backend.normalise(t)) for t in texts]
                 seen = set(chain.from_iterable(cut))
                 fresh = list(seen.difference(known))
@@ -218,9 +219,11 @@ def encode_texts(df: DataFrame, ident: str = "doc_id", text: str = "text", model
                         del known[u]
                         unlike.pop(u, None)
                 ids, size, same, parity = zip(*rows)
-                yield pd.DataFrame({"id": part["id"], "ids": ids, "n_bytes": size, "round_trip": same, "parity": parity})
+                at = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), pa.int32())
+                yield pa.RecordBatch.from_arrays([part["id"], pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids))), pa.array(size, pa.int64()),
+                                                  pa.array(same), pa.array(parity)], ["id", "ids", "n_bytes", "round_trip", "parity"])
     rows = df.select(F.col(ident).alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(encode, f"id {kind}, ids array<int>, n_bytes bigint, round_trip boolean, parity boolean").withColumnRenamed("id", ident)
+    return rows.mapInArrow(encode, f"id {kind}, ids array<int>, n_bytes bigint, round_trip boolean, parity boolean").withColumnRenamed("id", ident)
 
 
 def _reference(other, units: list[str], model: Model) -> list[list[int]]:
