@@ -1,11 +1,17 @@
 """The registered queries of the operators and their SQL twins."""
 from __future__ import annotations
 
-from . import chat_format, decontaminate, factor_machine, hyper_minhash, line_dedup, line_rules, sentence_pieces, string_kernel, url_filter
+import corpus_pipeline
+
+from . import (chat_format, decontaminate, factor_machine, hyper_minhash, line_dedup, line_rules, repeated_spans, sentence_pieces, string_kernel,
+               url_filter)
 
 QUERIES = {f.__name__: f for f in (
-    url_filter.op1_url_filter, line_rules.op2_line_rules, decontaminate.op3_decontaminate, line_dedup.op4_line_dedup, factor_machine.op5_factor_machine,
-    chat_format.op6_chat_format, hyper_minhash.op8_hyper_minhash, string_kernel.op9_string_kernel,
-    sentence_pieces.op10_sentence_pieces)}
-ORACLE = {"op1_url_filter": url_filter.SQL, "op2_line_rules": line_rules.SQL, "op3_decontaminate": decontaminate.SQL, "op4_line_dedup": line_dedup.SQL,
-          "op6_chat_format": chat_format.SQL, "op8_hyper_minhash": hyper_minhash.SQL}
+    url_filter.op1_url_filter, line_rules.op2_line_rules, decontaminate.op3_decontaminate, line_dedup.op4_line_dedup,
+    factor_machine.op5_factor_machine, chat_format.op6_chat_format, repeated_spans.op7_repeated_spans, hyper_minhash.op8_hyper_minhash,
+    string_kernel.op9_string_kernel, sentence_pieces.op10_sentence_pieces)}
+QUERIES["pipeline"] = corpus_pipeline.run
+ORACLE = {"op1_url_filter": url_filter.SQL, "op2_line_rules": line_rules.SQL, "op3_decontaminate": decontaminate.SQL,
+          "op4_line_dedup": line_dedup.SQL, "op6_chat_format": chat_format.SQL, "op8_hyper_minhash": hyper_minhash.SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
