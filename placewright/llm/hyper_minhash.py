@@ -1,15 +1,15 @@
 """Near-duplicate texts by HyperMinHash.
 
 A text's set is its distinct word shingles (a text of fewer words, but not none, is one shingle). Its sketch has
-``BUCKETS`` registers of 16 bits: the smallest hash of the bucket as leading-zero count and ``MANTISSA`` bits. Texts with
-equal sets are one class, named by its smallest id. Bands of ``ROWS`` registers are the candidate keys; a pair goes on if
-sizes allow the similarity and the estimate, corrected for register collisions, is not far below it; it links only if the
-full sets reach it. At a similarity of 0.8 a pair misses all 32 bands with a chance of about 5e-8.
+``BUCKETS`` registers of 16 bits: the smallest hash of the bucket as leading-zero count and ``MANTISSA`` bits; empty buckets
+borrow. Texts with equal sets are one class, named by its smallest id. ``BANDS`` bands of ``ROWS`` registers are the candidate
+keys; a pair goes on if sizes allow the similarity and the estimate, corrected for register collisions, is not far below
+it; it links only if the full sets reach it. At a similarity of 0.8 a pair misses all bands with a chance of about 1e-5.
 
 No bucket is paired with itself. Each bucket first links its members to the one that shares most bands with others, the
 likely origin of a group of copies. Where members of a bucket are then still in several components, every member outside
-the bucket's largest component meets the members of other components, and only these, with size and estimate as part of
-the join condition. So no pair of candidates in different components stays untested, whatever the size of a bucket.
+the bucket's largest component meets the members of other components, and only these, with sizes and one bit per
+register as part of the join condition. So no pair of candidates in different components stays untested, whatever the size of a bucket.
 
 Full sets are read for candidate texts only, as 48 bits per shingle. Results of each phase are written to the shared
 folder, so a lost executor costs a task, not the job.
@@ -31,10 +31,16 @@ from ..operators.graph import components
 from .common import stored, table
 from .words import WHITE_LOWER, Words, blocks, mix
 
-BUCKETS, ROWS, MANTISSA = 128, 4, 10
+BUCKETS, BANDS, ROWS, MANTISSA = 256, 64, 8, 10
 BUCKET_BITS = BUCKETS.bit_length() - 1
-BANDS = BUCKETS // ROWS
-SLACK = 0.2  # over five standard deviations of the estimate at a similarity of 0.8
+SLACK = 0.15  # six standard deviations of the estimate at a similarity of 0.8
+_order = mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64)).reshape(BUCKETS, BUCKETS)
+#: the order in which an empty bucket borrows from others, and the place of each bucket in it
+PROBES = np.argsort(_order, axis=1)
+PLACES = np.argsort(PROBES, axis=1)
+#: which registers make up a band: each stands in two of them, in other company
+_members = np.concatenate([np.argsort(mix(np.arange(BUCKETS, dtype=np.uint64) + np.uint64(1000 * (k + 1)))) for k in range(BANDS * ROWS // BUCKETS)])
+MEMBERS = _members.reshape(BANDS, ROWS)
 
 
 def distinct_shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +53,7 @@ def distinct_shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def registers(grams: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """n rows of BUCKETS registers; 0 is an empty bucket."""
+    """n rows of BUCKETS registers; only an empty set has empty (0) ones."""
     least = np.full(n * BUCKETS, np.iinfo(np.uint64).max, np.uint64)
     h = mix(grams)
     np.minimum.at(least, of * BUCKETS + (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), (h << np.uint64(BUCKET_BITS)) | np.uint64(1))
@@ -55,7 +61,26 @@ def registers(grams: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     zeros = np.clip(zeros, 0, 62).astype(np.uint64)
     mantissa = (least << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
     value = (zeros << np.uint64(MANTISSA)) + mantissa + np.uint64(1)
-    return np.where(least == np.iinfo(np.uint64).max, 0, value).astype(np.uint16).reshape(n, BUCKETS)
+    return _filled(np.where(least == np.iinfo(np.uint64).max, 0, value).astype(np.uint16).reshape(n, BUCKETS))
+
+
+def _filled(reg: np.ndarray) -> np.ndarray:
+    """Empty buckets borrow from the first filled one in their own order, so small sets agree as often as large ones."""
+    out, held = reg.copy(), reg > 0
+    count = held.sum(1)
+    for d in np.flatnonzero((count > 0) & (count <= 32)):
+        have = np.flatnonzero(held[d])
+        out[d] = reg[d, have[np.argmin(PLACES[:, have], axis=1)]]
+        out[d, have] = reg[d, have]
+    row, bucket = np.nonzero(~held & (count > 32)[:, None])
+    for t in range(BUCKETS):
+        if not len(row):
+            break
+        source = PROBES[bucket, t]
+        hit = held[row, source]
+        out[row[hit], bucket[hit]] = reg[row[hit], source[hit]]
+        row, bucket = row[~hit], bucket[~hit]
+    return out
 
 
 def _chance_table() -> np.ndarray:
@@ -79,7 +104,7 @@ def estimate(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Jaccard estimates of rows of registers, without the agreement that chance gives."""
     used = ((a > 0) | (b > 0)).sum(1)
     same = ((a == b) & (a > 0)).sum(1) / np.maximum(used, 1)
-    at = np.clip(np.round(np.log2(np.maximum(sizes, 1) / BUCKETS)) + 8, 0, len(CHANCE) - 1).astype(int)
+    at = np.clip(np.round(np.log2(np.maximum(sizes, BUCKETS) / BUCKETS)) + 8, 0, len(CHANCE) - 1).astype(int)
     return (same - CHANCE[at]) / (1 - CHANCE[at])
 
 
@@ -95,26 +120,36 @@ def sketches(docs: DataFrame, ident: str, text: str, words: int) -> DataFrame:
                 parity = np.zeros(len(held), np.uint64)
                 if len(grams):
                     parity[n > 0] = np.bitwise_xor.reduceat(mix(grams + np.uint64(7)), first[:-1][n > 0])
+                reg = registers(grams, of, len(held))
                 yield pd.DataFrame({"id": batch["id"].iloc[at:at + len(held)], "n": n, "sum": (total[first[1:]] - total[first[:-1]]).view(np.int64),
-                                    "xor": parity.view(np.int64), "registers": [r.tobytes() for r in registers(grams, of, len(held))]})
+                                    "xor": parity.view(np.int64), "registers": [r.tobytes() for r in reg],
+                                    "bits": list(np.packbits(reg & 1, axis=1).view(np.int64))})
     kind = docs.schema[ident].dataType.simpleString()
     return docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).mapInPandas(
-        make, f"id {kind}, n bigint, sum bigint, xor bigint, registers binary")
+        make, f"id {kind}, n bigint, sum bigint, xor bigint, registers binary, bits array<bigint>")
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(key, id) for each band with a filled register."""
+    """(key, id) for each band."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            reg = np.frombuffer(b"".join(batch["registers"]), np.uint16).reshape(len(batch), BANDS, ROWS).astype(np.uint64)
-            packed = reduce(lambda acc, k: (acc << np.uint64(16)) | reg[:, :, k], range(ROWS), np.zeros(reg.shape[:2], np.uint64))
-            key = mix(packed ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :])
-            row, band = np.nonzero(packed)
-            yield pd.DataFrame({"key": key[row, band].view(np.int64), "id": batch["id"].to_numpy()[row]})
+            for lo in range(0, len(batch), 1000):
+                part = batch.iloc[lo:lo + 1000]
+                reg = np.frombuffer(b"".join(part["registers"]), np.uint16).reshape(len(part), BUCKETS).astype(np.uint64)[:, MEMBERS]
+                key = reduce(lambda acc, k: mix(acc ^ reg[:, :, k]), range(ROWS), np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), reg.shape[:2]))
+                yield pd.DataFrame({"key": key.reshape(-1).view(np.int64), "id": np.repeat(part["id"].to_numpy(), BANDS)})
     kind = classes.schema["id"].dataType.simpleString()
     return classes.select("id", "registers").mapInPandas(cut, f"key bigint, id {kind}")
 
 
+def _bits_fit(a: Column, b: Column, percent: int) -> Column:
+    """Unequal registers differ in their lowest bit half the time: six standard deviations over what a link would show."""
+    part = (100 - percent) / 200
+    most = BUCKETS * part + 6 * (BUCKETS * part * (1 - part)) ** 0.5
+    differ = reduce(lambda acc, k: acc + F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))), range(BUCKETS // 64), F.lit(0))
+    return differ <= int(most)
+
+
 def _close(least: float):
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
@@ -179,8 +214,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, ident: str, text: str, words: i
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row: the smallest id reachable over links of at least ``percent`` similarity."""
     made = stored(sketches(docs, ident, text, words), "sketches")
-    classes = stored(made.where("n > 0 and id is not null").groupBy("sum", "xor", "n").agg(F.min("id").alias("id"), F.first("registers").alias("registers"))
-                     .select("id", "n", "registers", "sum", "xor"), "classes")
+    classes = stored(made.where("n > 0 and id is not null").groupBy("sum", "xor", "n").agg(F.min("id").alias("id"), F.first(F.struct("registers", "bits")).alias("s"))
+                     .select("id", "n", "s.registers", "s.bits", "sum", "xor"), "classes")
     keyed = bands(classes)
     many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = stored(keyed.join(many, "key"), "buckets")
@@ -193,12 +228,12 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     placed = shared.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     open_keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1")
-    still = stored(placed.join(open_keys.select("key", "largest"), "key").join(classes.select("id", F.col("n").alias("size")), "id"), "open")
-    here = still.where("component != largest").select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("size").alias("n_a"), "largest")
-    there = still.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("size").alias("n_b"))
+    still = stored(placed.join(open_keys.select("key", "largest"), "key").join(classes.select("id", F.col("n").alias("size"), "bits"), "id"), "open")
+    here = still.where("component != largest").select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("size").alias("n_a"), F.col("bits").alias("bits_a"), "largest")
+    there = still.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("size").alias("n_b"), F.col("bits").alias("bits_b"))
     # two outsiders meet once; an outsider meets all of the largest component
     meet = here.join(there, (here["key"] == there["key"]) & (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("largest")) | (F.col("a") < F.col("b")))
-                     & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
+                     & _sizes_fit(F.col("n_a"), F.col("n_b"), percent) & _bits_fit(F.col("bits_a"), F.col("bits_b"), percent)).select("a", "b").distinct()
     # pairs that were tested as stars and failed need no second test
     rest = stored(_likely(meet.join(stars, ["a", "b"], "left_anti"), classes, percent), "rest")
     more = stored(_verified(rest, docs, ident, text, words, percent), "more-links")
