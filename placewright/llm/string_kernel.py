@@ -150,9 +150,10 @@ def fit(good: list[bytes], bad: list[bytes], extra: list[bytes], hard: int = 0)
     root = vectors[:, keep] / np.sqrt(values[keep])
     words = bad + extra + good
     x = np.concatenate([_kernel(words[lo:lo + 100], by_code) for lo in range(0, len(words), 100)]) @ root
-    y = np.concatenate((np.ones(len(bad) + len(extra)), -np.ones(len(good))))
+    x = np.concatenate((x, np.zeros((1, x.shape[1]))))  # a fragment like no landmark is clean
+    y = np.concatenate((np.ones(len(bad) + len(extra)), -np.ones(len(good) + 1)))
     # variants and easy clean fragments weigh less than witnesses and hard ones
-    cost = np.concatenate([np.full(n, share / max(n, 1)) for n, share in ((len(bad), 1.0), (len(extra), 0.3), (hard, 3.0), (len(good) - hard, 0.5))])
+    cost = np.concatenate([np.full(n, share / max(n, 1)) for n, share in ((len(bad), 1.0), (len(extra), 0.3), (hard, 3.0), (len(good) - hard, 0.5), (1, 1.0))])
     a, p, ridge = np.column_stack((x, np.ones(len(x)))), np.zeros(x.shape[1] + 1), np.append(np.full(x.shape[1], 1e-4), 1e-9)
 
     def loss(q: np.ndarray) -> float:
