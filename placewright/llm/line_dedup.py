@@ -6,9 +6,10 @@ corpus (by id, then line number). Copies are removed, the earliest stays; shorte
 Equal lines become one row first. Each distinct line is cut into ``errors + 1`` nearly equal segments: two lines within
 the distance share a segment, at a place that differs by few characters. Lines index their own segments by (length,
 number, text); every line probes the indexes of its own and the ``errors`` next shorter lengths at the few places that
-the multi-match-aware bounds leave (12 for two errors). Keys are 64-bit hashes. Each side carries the counts of eight
-classes of characters, whose distance is part of the join condition: lines that differ in a whole word do not come out as
-candidates, so a template with many fillings stays linear. The candidates' texts are then read and compared by a
+the multi-match-aware bounds leave (12 for two errors). Keys are 64-bit hashes; probes for which a bitmap of fixed size
+shows no segment are dropped before the shuffle. Each side carries the counts of eight frequent characters, whose distance
+is part of the join condition: lines that differ in a whole word rarely come out as candidates, so a template with many
+fillings does not give all its pairs. The candidates' texts are then read and compared by a
 banded bit-parallel edit distance, exact, in one ``aggregate`` over the longer line's characters.
 
 Null ids order first. Null and empty texts have no line. Rows that repeat id and text count as one document, and each
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 ERRORS, MIN_CHARS = 2, 40
-#: classes of characters whose counts are compared; any division is right, these are of similar weight
-CLASSES = ("aA", "eE", "iIoO", "nNmM", "rRlL", "sStT", "uUhHdD", "cCbBgGpPvV")
+#: frequent characters whose counts are compared; any choice is right, frequent ones tell more
+COUNTED = "etnhaior"
+#: words of the bitmap of segment keys, 64 bits each: its size does not grow with the table
+BITMAP_WORDS = 1 << 19
 
 
 def lines_of(docs: DataFrame, ident: str, text: str, min_chars: int) -> DataFrame:
@@ -33,9 +36,9 @@ def lines_of(docs: DataFrame, ident: str, text: str, min_chars: int) -> DataFram
     return each.where(F.length("line") >= min_chars)
 
 
-def _name(line: str = "line") -> Column:
+def _names(line: str = "line") -> list[Column]:
     """A 96-bit name of a line, so that texts need not travel."""
-    return F.struct(F.xxhash64(line).alias("h"), F.crc32(F.col(line).cast("binary")).alias("c"))
+    return [F.xxhash64(line).alias("h"), F.crc32(F.col(line).cast("binary")).alias("c")]
 
 
 def _cut(length: Column, i: int, errors: int) -> tuple[Column, Column]:
@@ -62,11 +65,11 @@ def probe_keys(line: str, errors: int) -> Column:
     return F.array(*out)
 
 
-def class_counts(line: str) -> Column:
+def char_counts(line: str) -> Column:
     """Eight counts modulo 256 in one number."""
     out = F.lit(0).cast("bigint")
-    for k, chars in enumerate(CLASSES):
-        n = (F.length(line) - F.length(F.translate(line, chars, ""))) % 256
+    for k, char in enumerate(COUNTED):
+        n = (F.length(line) - F.length(F.replace(line, F.lit(char), F.lit("")))) % 256
         out = out.bitwiseOR(F.shiftleft(n.cast("bigint"), 8 * k))
     return out
 
@@ -74,7 +77,7 @@ def class_counts(line: str) -> Column:
 def counts_fit(a: Column, b: Column, errors: int) -> Column:
     """An edit changes at most two of the counts by one."""
     total = F.lit(0)
-    for k in range(len(CLASSES)):
+    for k in range(len(COUNTED)):
         d = F.abs(F.shiftrightunsigned(a, 8 * k).bitwiseAND(255) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(255))
         total = total + F.least(d, 256 - d)
     return total <= 2 * errors
@@ -116,34 +119,49 @@ def within_edits(a: Column, b: Column, errors: int) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= errors) & (end <= errors)
 
 
+def _in_bitmap(probes: DataFrame, keys: DataFrame) -> DataFrame:
+    """The probes whose key may be among the keys: a broadcast of at most BITMAP_WORDS rows spares the rest the shuffle."""
+    word = lambda k: F.col(k).bitwiseAND(BITMAP_WORDS - 1)
+    bits = keys.select(word("key").alias("word"), F.expr("shiftleft(1L, int(shiftrightunsigned(key, 58)))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    held = probes.withColumn("word", word("key")).join(F.broadcast(bits), "word")
+    return held.where("(bits & shiftleft(1L, int(shiftrightunsigned(key, 58)))) != 0").drop("word", "bits")
+
+
 def copied_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(name, first, removed): of each distinct long line its earliest place, and whether an earlier line is within the distance."""
+    """(h, c, first, removed): of each distinct long line its earliest place, and whether an earlier line is within the distance."""
     lines = lines_of(docs, ident, text, min_chars)
     once = lines.groupBy("line").agg(F.min(F.struct("id", "at")).alias("first"))
-    keyed = once.select(_name().alias("name"), "first", class_counts("line").alias("counts"), index_keys("line", errors).alias("own"),
-                        probe_keys("line", errors).alias("near"))
-    one = keyed.select(F.col("name").alias("a"), F.col("first").alias("first_a"), F.col("counts").alias("counts_a"), F.explode("own").alias("key"))
-    two = keyed.select(F.col("name").alias("b"), F.col("first").alias("first_b"), F.col("counts").alias("counts_b"), F.explode("near").alias("key"))
-    fits = (one["key"] == two["key"]) & (F.col("a") != F.col("b")) & counts_fit(F.col("counts_a"), F.col("counts_b"), errors)
-    pairs = one.join(two, fits).select(F.when(F.col("first_a") < F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("early"),
-                                       F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("late")).distinct()
-    pairs = stored(pairs, "line-pairs")
-    wanted = pairs.select(F.col("early").alias("name")).unionByName(pairs.select(F.col("late").alias("name"))).distinct()
-    texts = (lines.select(_name().alias("name"), "line").join(wanted, "name", "left_semi").groupBy("name").agg(F.min("line").alias("line"))
-             .select("name", F.split("line", "").alias("chars")))
+    keyed = stored(once.select(*_names(), "first", char_counts("line").alias("counts"), index_keys("line", errors).alias("own"),
+                               probe_keys("line", errors).alias("near")), "lines")
+    one = keyed.select(F.col("h").alias("h_a"), F.col("c").alias("c_a"), F.col("counts").alias("counts_a"), F.explode("own").alias("key"))
+    two = keyed.select(F.col("h").alias("h_b"), F.col("c").alias("c_b"), F.col("counts").alias("counts_b"), F.explode("near").alias("key"))
+    # every line finds its own segments: probes that only its own line can answer are not told apart here, the join drops them
+    two = _in_bitmap(two, keyed.select(F.explode("own").alias("key")))
+    fits = (one["key"] == two["key"]) & ((F.col("h_a") != F.col("h_b")) | (F.col("c_a") != F.col("c_b"))) & counts_fit(
+        F.col("counts_a"), F.col("counts_b"), errors)
+    found = one.join(two, fits).select("h_a", "c_a", "h_b", "c_b").distinct()
+    place = keyed.select("h", "c", "first")
+    found = found.join(place.select(F.col("h").alias("h_a"), F.col("c").alias("c_a"), F.col("first").alias("first_a")), ["h_a", "c_a"])
+    found = found.join(place.select(F.col("h").alias("h_b"), F.col("c").alias("c_b"), F.col("first").alias("first_b")), ["h_b", "c_b"])
+    a, b = F.struct(F.col("h_a").alias("h"), F.col("c_a").alias("c")), F.struct(F.col("h_b").alias("h"), F.col("c_b").alias("c"))
+    earlier = F.col("first_a") < F.col("first_b")
+    pairs = stored(found.select(F.when(earlier, a).otherwise(b).alias("early"), F.when(earlier, b).otherwise(a).alias("late")).distinct(), "line-pairs")
+    wanted = pairs.select("early.*").unionByName(pairs.select("late.*")).distinct()
+    texts = (lines.select(*_names(), "line").join(wanted, ["h", "c"], "left_semi").groupBy("h", "c").agg(F.min("line").alias("line"))
+             .select(F.struct("h", "c").alias("name"), F.split("line", "").alias("chars")))
     both = (pairs.join(texts.select(F.col("name").alias("early"), F.col("chars").alias("x")), "early")
             .join(texts.select(F.col("name").alias("late"), F.col("chars").alias("y")), "late"))
     longer = F.size("x") >= F.size("y")
     close = both.where(within_edits(F.when(longer, F.col("y")).otherwise(F.col("x")), F.when(longer, F.col("x")).otherwise(F.col("y")), errors))
-    gone = close.select(F.col("late").alias("name")).distinct().withColumn("removed", F.lit(True))
-    return keyed.select("name", "first").join(gone, "name", "left").select("name", "first", F.coalesce("removed", F.lit(False)).alias("removed"))
+    gone = close.select("late.*").distinct().withColumn("removed", F.lit(True))
+    return place.join(gone, ["h", "c"], "left").select("h", "c", "first", F.coalesce("removed", F.lit(False)).alias("removed"))
 
 
 def removed_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, lines): the numbers of the lines to remove, for documents that lose any."""
     known = copied_lines(docs, ident, text, errors, min_chars)
-    places = lines_of(docs, ident, text, min_chars).select("id", "at", _name().alias("name"))
-    lost = places.join(known, "name").where("removed or not (first.id <=> id and first.at = at)")
+    places = lines_of(docs, ident, text, min_chars).select("id", "at", *_names())
+    lost = places.join(known, ["h", "c"]).where("removed or not (first.id <=> id and first.at = at)")
     return lost.groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("lines"))
 
 
