@@ -17,6 +17,7 @@ bytes; longer units are encoded every time).
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -192,7 +193,7 @@ def encode_texts(df: DataFrame, ident: str = "doc_id", text: str = "text", model
 
         backend = Backend(read_model(sent.value))
         other = sentencepiece.SentencePieceProcessor(model_proto=sent.value) if check else None
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}  # ids as 32-bit numbers: plain bytes, which the collector of Python has no need to visit
         unlike: dict[str, tuple[bool, bool]] = {}  # units that don't come back, or that the two libraries encode unlike
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
@@ -208,10 +209,10 @@ def encode_texts(df: DataFrame, ident: str = "doc_id", text: str = "text", model
                 told = _reference(other, fresh, backend.model) if check else made
                 unlike.update((u, (t == u.replace(MARK, " "), a == b)) for u, a, t, b in zip(fresh, made, back, told)
                               if a != b or t != u.replace(MARK, " "))
-                known.update(zip(fresh, made))
+                known.update((u, array("i", a).tobytes()) for u, a in zip(fresh, made))
                 rows = []
                 for t, units in zip(texts, cut):
-                    ids = np.fromiter(chain.from_iterable(map(known.__getitem__, units)), np.int32)
+                    ids = np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32)
                     odd = [unlike[u] for u in unlike.keys() & set(units)] if unlike else []
                     rows.append((ids, len(t.encode("utf-8", "surrogatepass")), all(o[0] for o in odd), all(o[1] for o in odd)))
                 for u in fresh:
