@@ -6,6 +6,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import rules
 from .text import alternation, col, collapse_spaces, strip, unescape
 from .urls import absolute_url
 
@@ -101,8 +102,8 @@ def coordinates(html) -> Column:
 def min_price(html, json_ld=None) -> Column:
     """Offer price, zero for free, else the first ``N THB``."""
     text = visible_text(html)
-    thb = F.replace(group(text, r"(?i)(\d[\d,]*)\s*(?:THB|baht)"), F.lit(","), F.lit("")).try_cast("double")
-    free = F.when(text.rlike(r"(?i)\bfree (?:entry|admission)\b"), F.lit(0.0))
+    thb = F.replace(group(text, rules.PAGE_PRICE), F.lit(","), F.lit("")).try_cast("double")
+    free = F.when(text.rlike(rules.PAGE_FREE), F.lit(0.0))
     parts = [free, thb]
     if json_ld is not None:
         parts.insert(0, F.coalesce(F.get_json_object(col(json_ld), "$.offers.price"),
@@ -111,45 +112,41 @@ def min_price(html, json_ld=None) -> Column:
 
 
 def popularity_number(text) -> Column:
-    return F.replace(group(text, r"(?i)(\d[\d,]*)\s*(?:people\s+)?(?:attending|interested|going)"),
+    return F.replace(group(text, rules.PAGE_POPULARITY),
                      F.lit(","), F.lit("")).try_cast("int")
 
 
 def contact_block(text) -> dict[str, Column]:
     """Rating, reviews, hours, phone, website, category, features, busy hours and address by pattern."""
-    from .. import rules
     t = col(text)
-    dollars = F.length(group(t, r"(\$+)"))
+    dollars = F.length(group(t, rules.CONTACT_DOLLARS))
     return {
-        "rating": F.coalesce(group(t, r"(?i)(\d+\.?\d*)\s*out of\s*5"), group(t, r"(?i)(\d+\.?\d*)\s*stars?")).try_cast("double"),
-        "reviews_count": F.replace(group(t, r"(?i)(\d+(?:,\d+)*)\s*reviews?"), F.lit(","), F.lit("")).try_cast("int"),
+        "rating": F.coalesce(*[group(t, p) for p in rules.CONTACT_RATING]).try_cast("double"),
+        "reviews_count": F.replace(group(t, rules.CONTACT_REVIEWS), F.lit(","), F.lit("")).try_cast("int"),
         "price_signs": dollars,
         "opening_hours": F.when(
-            group(t, r"(?i)Open\s*(\d{1,2}:\d{2}\s*(?:AM|PM))\s*-\s*\d{1,2}:\d{2}\s*(?:AM|PM)").isNotNull(),
-            F.concat(group(t, r"(?i)Open\s*(\d{1,2}:\d{2}\s*(?:AM|PM))"), F.lit(" - "),
-                     group(t, r"(?i)Open\s*\d{1,2}:\d{2}\s*(?:AM|PM)\s*-\s*(\d{1,2}:\d{2}\s*(?:AM|PM))"))),
-        "phone": group(t, r"(\+\d{1,3}\s*\d{1,4}\s*\d{1,4}\s*\d{1,4})"),
-        "website": group(t, r"""(https?://[^\s<>"]+)"""),
-        "category": F.lower(group(t, r"(?i)(restaurant|cafe|bar|coffee shop|bakery)")),
+            group(t, rules.CONTACT_OPEN_SPAN).isNotNull(),
+            F.concat(group(t, rules.CONTACT_OPENS), F.lit(" - "),
+                     group(t, rules.CONTACT_CLOSES))),
+        "phone": group(t, rules.CONTACT_PHONE),
+        "website": group(t, rules.CONTACT_WEBSITE),
+        "category": F.lower(group(t, rules.CONTACT_CATEGORY)),
         "features": F.array_compact(F.array(*[F.when(t.rlike(f"(?i){re.escape(w)}"), F.lit(w)) for w in rules.FEATURE_WORDS])),
-        "popular_hours": F.trim(group(t, r"(?i)Popular\s*times\s*([^<]+)")),
-        "scraped_address": F.trim(group(t, r"(?i)Address[:\s]+([^<]+)")),
+        "popular_hours": F.trim(group(t, rules.CONTACT_POPULAR_HOURS)),
+        "scraped_address": F.trim(group(t, rules.CONTACT_ADDRESS)),
     }
 
 
 def prose_place_name(text) -> Column:
     """Capitalised name before a kind word; three patterns, first hit."""
-    from .. import rules
-    return F.coalesce(*[group(text, rf"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:{ends}))") for ends in rules.PROSE_NAME_ENDINGS])
+    return F.coalesce(*[group(text, f"({rules.PROSE_NAME_START}(?:{ends}))") for ends in rules.PROSE_NAME_ENDINGS])
 
 
 def looks_like_place_name(text) -> Column:
-    from .. import rules
     return F.coalesce(F.length(col(text)).between(3, 100) & F.lower(col(text)).rlike(alternation(rules.PLACE_NAME_WORDS)), F.lit(False))
 
 
 def contains_place_info(text) -> Column:
-    from .. import rules
     return F.coalesce((F.length(col(text)) >= 50) & F.lower(col(text)).rlike(alternation(rules.PLACE_INFO_WORDS)), F.lit(False))
 
 

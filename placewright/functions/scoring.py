@@ -206,8 +206,7 @@ def query_relevance(query: str, name, description, tags, flags, skip_topics: tup
     parts = [_points(contains_any(F.lower(col(name)), words), 10.0),
              _points(contains_any(F.lower(col(description)), words), 5.0), hits(tag_list, 8.0), hits(flag_list, 6.0)]
     for triggers, want_flags, want_tags in rules.QUERY_RULES:
-        names = triggers.split("|")
-        if any(t in low for t in names) and not set(names) & set(skip_topics):
+        if any(t in low for t in triggers) and not set(triggers) & set(skip_topics):
             parts.append(_points(F.arrays_overlap(flag_list, F.array(*[F.lit(f) for f in want_flags])), 15.0))
             parts.append(_points(F.arrays_overlap(tag_list, F.array(*[F.lit(t) for t in want_tags])), 10.0))
     return _sum(parts)

@@ -13,8 +13,8 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
-def _words(names: str) -> Column:
-    return F.array(*[F.lit(n) for n in names.split()])
+def _words(names: list[str]) -> Column:
+    return F.array(*[F.lit(n) for n in names])
 
 
 def content_text(title, description, tags) -> Column:
@@ -41,7 +41,7 @@ def cascade_flags(text, cascade=rules.FLAG_CASCADE_TEXT, default: Column | None
     def branches(low: Column) -> Column:
         chain = F.when(F.lit(False), _empty())
         for words, flags in cascade:
-            chain = chain.when(inside(low, words.split("|")), _words(flags))
+            chain = chain.when(inside(low, words), _words(flags))
         return chain.otherwise(default if default is not None else _words(rules.CASCADE_DEFAULT))
     return let(F.lower(F.coalesce(col(text), F.lit(""))), branches)
 

@@ -1,6 +1,8 @@
 """Text columns: unescape, collapse, truncate, keys, title case, abbreviations, cleaning."""
 from __future__ import annotations
 
+import html.entities
+import json
 import re
 
 import pandas as pd
@@ -11,9 +13,11 @@ from pyspark.sql import types as T
 from .. import rules
 
 SPACE = r"(?U)\s+"
-NAMED_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ",
-                  "&copy;": "©", "&reg;": "®", "&middot;": "·", "&ndash;": "–", "&mdash;": "—",
-                  "&hellip;": "…", "&eacute;": "é", "&amp;": "&"}
+#: the named table of the HTML standard, as the standard library has it; names of old may stand without ";"
+ENTITIES = html.entities.html5
+OLD_NAMES = sorted((n for n in ENTITIES if not n.endswith(";")), key=lambda n: (-len(n), n))
+#: numbers 128 to 159 are read as Windows-1252; its five gaps stand for themselves
+WINDOWS = {n: chr(n) if n in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([n]).decode("cp1252") for n in range(0x80, 0xA0)}
 
 
 def col(x: Column | str) -> Column:
@@ -81,45 +85,42 @@ def collapse_spaces(x: Column | str) -> Column:
     return F.regexp_replace(col(x), SPACE, " ")
 
 
-def _code_point(number: Column, base: int) -> Column:
-    hexed = F.hex(number.cast("long")) if base == 10 else number
-    return F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
+def _numbered(number: Column) -> Column:
+    """The character of a code point; null stands for a number too large to hold. Bad ones give U+FFFD or nothing."""
+    def char(n: Column) -> Column:
+        windows = F.element_at(F.from_json(F.lit(json.dumps(WINDOWS)), "map<string,string>"), n.cast("string"))
+        nothing = n.between(1, 8) | (n == 11) | n.between(14, 31) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (n % 65536 >= 0xFFFE)
+        bad = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        return (F.when(bad, F.lit("\ufffd")).when(n.between(128, 159) & windows.isNotNull(), windows).when(nothing, "")
+                .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+    return let(F.coalesce(number, F.lit(0x110000)), char)
+
+
+def _reference(part: Column) -> Column:
+    """What follows an ampersand, decoded; text that is no reference gets its ampersand back."""
+    dec, hexed = F.regexp_extract(part, "^#([0-9]+);?", 1), F.regexp_extract(part, "^#[xX]([0-9a-fA-F]+);?", 1)
+    name = F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0)
+    old = F.regexp_extract(part, "^(?:" + "|".join(OLD_NAMES) + ")", 0)
+    table = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+    known = F.coalesce(F.element_at(table, F.when(name != "", name)), F.lit(""))
+    return (F.when(dec != "", F.concat(_numbered(dec.try_cast("bigint")), F.regexp_replace(part, "^#[0-9]+;?", "")))
+            .when(hexed != "", F.concat(_numbered(F.conv(F.when(F.length(F.ltrim(hexed, F.lit("0"))) <= 8, hexed), 16, 10).try_cast("bigint")),
+                                        F.regexp_replace(part, "^#[xX][0-9a-fA-F]+;?", "")))
+            .when(known != "", F.concat(known, F.substr(part, F.length(name) + 1)))
+            .when(old != "", F.concat(F.element_at(table, F.when(old != "", old)), F.substr(part, F.length(old) + 1)))
+            .otherwise(F.concat(F.lit("&"), part)))
 
 
 def unescape(x: Column | str) -> Column:
-    """Numeric references and the common named entities, without Python.
+    """Every HTML character reference, named (the full table) and numeric, without Python; no input makes it fail."""
+    def decoded(v: Column) -> Column:
+        parts = F.split(v, "&")
+        return F.when(v.contains("&"), F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(_reference(p))), "")).otherwise(v)
+    return let(col(x), decoded)
 
-    ``&amp;`` goes last, so that ``&amp;lt;`` gives ``&lt;``.
-    """
-    value = col(x)
-    parts = F.split(value, "&#")
-
-    def decode_part(part: Column, i: Column) -> Column:
-        dec = F.regexp_extract(part, r"^([0-9]{1,7});", 1)
-        hx = F.regexp_extract(part, r"^[xX]([0-9a-fA-F]{1,6});", 1)
-        rest = F.regexp_replace(part, r"^[xX]?[0-9a-fA-F]+;", "")
-        return (F.when(i == 0, part)
-                .when(dec != "", F.concat(_code_point(dec, 10), rest))
-                .when(hx != "", F.concat(_code_point(hx, 16), rest))
-                .otherwise(F.concat(F.lit("&#"), part)))
-
-    numeric = F.when(value.contains("&#"), F.array_join(F.transform(parts, decode_part), "")).otherwise(value)
-    named = numeric
-    for entity, char in NAMED_ENTITIES.items():
-        named = F.replace(named, F.lit(entity), F.lit(char))
-    return F.when(value.contains("&"), named).otherwise(value)
-
-
-@F.pandas_udf(T.StringType())
-def unescape_full(s: pd.Series) -> pd.Series:
-    """Every HTML entity (the full named table), Arrow batches; use where the common set is not enough."""
-    import html
-    return s.map(html.unescape, na_action="ignore")
-
-
-def normalize_text(x: Column | str, full_entities: bool = False) -> Column:
-    stripped = strip(x)
-    return collapse_spaces(unescape_full(stripped) if full_entities else unescape(stripped))
+
+def normalize_text(x: Column | str) -> Column:
+    return collapse_spaces(unescape(strip(x)))
 
 
 def norm_tag(x: Column | str) -> Column:

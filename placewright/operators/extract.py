@@ -208,52 +208,6 @@ def listing_links(pages: DataFrame, keep: str, cap: int = 50, page: str = "page_
 
 PAGE_TYPES = ["list", "article", "gallery", "search", "category"]
 
-# Fixed values; a pattern stated twice counts twice.
-URL_PATTERNS = {
-    "list": """/list /best /top /guide /roundup /collection /directory /index /all best- top- guide- list- /restaurants
-        /cafes /bars /nightlife /shopping /art /wellness /attractions /things-to-do /events /culture /restaurant /cafe
-        /bar /guides /features /roundups /lists best-of top-10 ultimate-guide complete-guide""",
-    "article": """/restaurant/ /cafe/ /bar/ /gallery/ /museum/ /park/ /review/ /feature/ /story/ /article/ /post/
-        /entry/ /restaurant/ /cafe/ /bar/ /gallery/ /museum/ /park/ /attraction/ /feature/ /story/ /review/ /place/
-        /venue/ /spot/""",
-    "gallery": """/gallery /photos /images /pictures /slideshow /visual /tour /walkthrough /gallery /photos /pictures
-        /visual /gallery /photos /visual photo- image- picture-""",
-    "search": """/search /results /find /query /filter search= q= query= /search /results /find /search /results
-        search- results- find-""",
-    "category": """/category/ /section/ /food-drink /restaurants /cafes /bars /art /shopping /entertainment /wellness
-        /food-drink /restaurants /cafes /bars /nightlife /shopping /art /wellness /attractions /things-to-do /events
-        /culture /food /drink /culture /lifestyle /travel /shopping /wellness /food /drink /culture /lifestyle""",
-}
-HTML_PATTERNS = {
-    "list": """<ul> <ol> list-item list-item grid-item card item entry listing restaurant-item cafe-item bar-item
-        place-item venue-item spot-item list- item- card- grid-""",
-    "article": """<article> article post entry single detail full complete restaurant-detail cafe-detail bar-detail
-        place-detail venue-detail spot-detail detail- single- full- complete-""",
-    "gallery": """gallery slideshow carousel lightbox photo-grid image-grid visual-tour image-slider photo-slider
-        image-carousel gallery- photo- image- slide-""",
-    "search": """search-results search-list results-grid no-results search-form search-page results-page find-results
-        query-results search- results- find- query-""",
-    "category": """category-page section-page directory-page category-list section-list directory-list browse-page
-        explore-page discover-page category- section- directory- browse-""",
-}
-TEXT_PATTERNS = {
-    "list": """best restaurants|top cafes|guide to|our picks|recommended|favorites|must-visit|essential|ultimate guide
-        |best of bangkok|top places|essential bangkok|bangkok guide|bangkok picks|bangkok favorites|bangkok guide
-        |thailand guide|asia guide|best of|top 10|ultimate guide|complete guide|comprehensive guide|definitive guide""",
-    "article": """restaurant review|cafe review|bar review|restaurant guide|cafe guide|bar guide|restaurant story
-        |cafe story|bar story|restaurant review bangkok|cafe review bangkok|bangkok restaurant|bangkok cafe|bangkok bar
-        |feature story|in-depth|detailed review|review of|story about|feature on|spotlight on""",
-    "gallery": """photo gallery|image gallery|picture gallery|visual tour|photo tour|image tour|slideshow|carousel
-        |lightbox|bangkok photos|bangkok gallery|bangkok images|photo essay|visual story|image collection
-        |photo collection|image collection|visual collection""",
-    "search": """search results|search results for|found results|no results found|search query|search term
-        |search bangkok|find bangkok|bangkok search|search results|find results|query results|search for|find|query
-        |results for""",
-    "category": """category|section|directory|all restaurants|all cafes|all bars|restaurant directory|cafe directory
-        |bangkok restaurants|bangkok cafes|bangkok bars|bangkok food|bangkok drink|bangkok culture|bangkok guide
-        |thailand guide|asia guide|all places|directory|browse|explore""",
-}
-
 
 def _url_points(p: str) -> float:
     if p.startswith("/"):
@@ -278,11 +232,12 @@ def _text_points(p: str) -> float:
 def pattern_points() -> dict[str, dict[str, list[tuple[str, float]]]]:
     """Per surface and page type, each pattern with its total points (repeats added up)."""
     out: dict = {}
-    for surface, table, points, sep in (("url", URL_PATTERNS, _url_points, None), ("html", HTML_PATTERNS, _html_points, None), ("text", TEXT_PATTERNS, _text_points, "|")):
+    for surface, table, points in (("url", rules.PAGE_URL_PATTERNS, _url_points), ("html", rules.PAGE_HTML_PATTERNS, _html_points),
+                                   ("text", rules.PAGE_TEXT_PATTERNS, _text_points)):
         out[surface] = {}
-        for kind, text in table.items():
+        for kind, patterns in table.items():
             total: dict[str, float] = {}
-            for p in (text.split(sep) if sep is None else [t.strip() for t in text.split(sep)]):
+            for p in patterns:
                 total[p] = round(total.get(p, 0.0) + points(p), 4)
             out[surface][kind] = sorted(total.items())
     return out

@@ -46,8 +46,8 @@ def facet_chunks(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """
     keys = ["city", "day", "kind", "key"]
     large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk_rows) \
-        .orderBy(F.desc("_n"), *keys).limit(100_000).select(*keys, F.ceil(F.col("_n") / chunk_rows).cast("int").alias("_chunks"))
-    cut = rows.join(F.broadcast(large), keys, "left")
+        .select(*keys, F.ceil(F.col("_n") / chunk_rows).cast("int").alias("_chunks"))
+    cut = rows.join(large, keys, "left")
     chunk = F.pmod(F.xxhash64("id"), F.coalesce("_chunks", F.lit(1))).cast("int")
     return (cut.withColumn("chunk", chunk).groupBy(*keys, "chunk")
             .agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count(F.lit(1)).alias("n")))

@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.text import jaccard, word_set
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def sized(dim: DataFrame) -> DataFrame:
-    """The table with a broadcast hint when it is proven small, else unchanged."""
-    return F.broadcast(dim) if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dim
+    """The table with a broadcast hint if the optimizer's bound on its bytes is small; else it joins by its key.
+
+    The bound is known when the plan is built, so no job runs here; without a known bound Spark decides by the size it measures.
+    """
+    known = int(str(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(dim) if known <= BROADCAST_BYTES else dim
 
 
 def synonym_map(tag_dim: DataFrame, synonym_dim: DataFrame, on_conflict: str = "last") -> DataFrame:

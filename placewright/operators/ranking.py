@@ -10,6 +10,7 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import col
 from ..session import cut_lineage
@@ -38,27 +39,36 @@ def capped_union(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
     return first_rows(keep_first(df, keys, order), order, n)
 
 
+def _as_number(df: DataFrame, ident: str) -> Column:
+    """A number that never falls where the id rises: the id itself, or the first six bytes of a text."""
+    if not isinstance(df.schema[ident].dataType, T.StringType):
+        return F.col(ident).cast("double")
+    return F.conv(F.rpad(F.substring(F.hex(F.col(ident)), 1, 12), 12, "0"), 16, 10).cast("double")
+
+
 def global_rank(df: DataFrame, score: str, ident: str, rank: str = "rank", descending: bool = True) -> DataFrame:
     """Zero-based rank over the whole table (score, then ``ident`` ascending), without one task sorting all rows.
 
     Cut points come from an approximate sketch and only decide the cells; the rank itself is exact. A score equal
-    to a cut point has its own cell, split again by ranges of the numeric ``ident``, so heavy ties spread out.
-    Null scores come last.
+    to a cut point has its own cell, split again by ranges of ``ident`` (a number, or a text read by its first bytes),
+    so heavy ties spread out. Null scores come last.
     """
     sign = -1.0 if descending else 1.0
     key = F.coalesce(F.col(score).cast("double") * sign, F.lit(float("inf")))
     base = df.withColumn("_key", key)
     steps = [i / 1000 for i in range(1, 1000)]
-    cuts, lo, hi = base.agg(F.percentile_approx(F.when(F.col("_key") < float("inf"), F.col("_key")), steps, 10000),
-                            F.min(ident), F.max(ident)).first()
+    # infinite scores, like nulls, are cells of their own and no cut points
+    finite = F.when((F.col("_key") > float("-inf")) & (F.col("_key") < float("inf")), F.col("_key"))
+    base = base.withColumn("_num", _as_number(df, ident))
+    cuts, lo, hi = base.agg(F.percentile_approx(finite, steps, 10000), F.min("_num"), F.max("_num")).first()
     splits = [float("-inf"), *sorted(set(cuts or [0.0])), float("inf")]
     placed = Bucketizer(splits=splits, inputCol="_key", outputCol="_b", handleInvalid="keep").transform(base)
     lower = F.element_at(F.lit(splits), F.col("_b").cast("int") + 1)
-    missing = F.col("_key") == float("inf")
-    exact = (F.col("_key") == lower) | missing
+    missing, last = F.col(score).isNull(), F.col("_key") == float("inf")
+    exact = (F.col("_key") == lower) | missing | last
     span = float((hi or 0) - (lo or 0) + 1)
-    part = F.floor((F.col(ident).cast("double") - F.lit(float(lo or 0))) / F.lit(span) * ID_CELLS)
-    cell = F.when(missing, 2 * len(splits)).otherwise(F.col("_b") * 2 + F.when(exact, 0).otherwise(1))
+    part = F.floor((F.col("_num") - F.lit(float(lo or 0))) / F.lit(span) * ID_CELLS)
+    cell = F.when(missing, 2 * len(splits) + 1).when(last, 2 * len(splits)).otherwise(F.col("_b") * 2 + F.when(exact, 0).otherwise(1))
     placed = (placed.withColumn("_cell", cell.cast("int"))
               .withColumn("_part", F.when(exact, F.least(part, F.lit(ID_CELLS - 1))).otherwise(F.lit(0)).cast("int")))
     sizes = placed.groupBy("_cell", "_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -68,7 +78,7 @@ def global_rank(df: DataFrame, score: str, ident: str, rank: str = "rank", desce
     inside = F.row_number().over(Window.partitionBy("_cell", "_part").orderBy(F.col("_key"), F.col(ident)))
     return (placed.join(F.broadcast(starts), ["_cell", "_part"])
             .withColumn(rank, F.col("_start") + inside - 1)
-            .drop("_cell", "_part", "_b", "_key", "_start"))
+            .drop("_cell", "_part", "_b", "_key", "_num", "_start"))
 
 
 def top_percent(df: DataFrame, score: str, ident: str, percent: float) -> DataFrame:
@@ -121,7 +131,7 @@ def _deep_page(df: DataFrame, order: list[Column], start: int, size: int) -> Dat
     for pid, a, b in pieces:
         wanted = wanted | ((F.col("_pid") == pid) & (F.col("_pos") > a) & (F.col("_pos") <= b))
     return (ranged.where(F.col("_pid").isin([p for p, _, _ in pieces])).withColumn("_pos", inside)
-            .where(wanted).drop("_pid", "_pos"))
+            .where(wanted).drop("_pid", "_pos").orderBy(*order))
 
 
 def rank_by(df: DataFrame, mode: str, ident: str, limit: int, descending: bool = True) -> DataFrame:

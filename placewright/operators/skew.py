@@ -4,19 +4,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000
 SALTS = 64
 HOT_ROWS = 1_000_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], at_least: int = HOT_ROWS) -> DataFrame:
-    """The heaviest keys, at most ``HOT_KEYS`` rows, so the result is safe to broadcast.
-
-    A key outside this list holds less than 1/HOT_KEYS of the rows, or fewer than ``at_least``.
-    The count is combined on the map side before it is shuffled.
+    """Every key with ``at_least`` rows. There are at most rows / ``at_least`` of them, so Spark broadcasts the list
+    while it is small and joins it by key beyond that. The count is combined on the map side before it is shuffled.
     """
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= at_least)
-            .orderBy(F.desc("_rows"), *keys).limit(HOT_KEYS).select(*keys))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= at_least).select(*keys)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_on: list[str], how: str = "inner",
@@ -28,7 +24,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_on: lis
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join keeps the left side only: {how}")
-    mark = F.broadcast((hot if hot is not None else hot_keys(left, keys, at_least)).withColumn("_hot", F.lit(1)))
+    mark = (hot if hot is not None else hot_keys(left, keys, at_least)).withColumn("_hot", F.lit(1))
     salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")).otherwise(0)
     copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     a = left.join(mark, keys, "left").withColumn("_salt", salt).drop("_hot")

@@ -16,18 +16,24 @@ def latest_per_key(df: DataFrame, keys: list[str], version: list[Column]) -> Dat
 
 def upsert_events(base: DataFrame, batch: DataFrame, key: str = "id", stamp: str = "fetched_at",
                   order: str | None = None) -> DataFrame:
-    """The batch wins for all columns; the stamp never goes back. Within the batch the last row (``order``) wins."""
-    last = F.col(order) if order else F.col(stamp)
-    a = base.withColumn("_gen", F.lit(0)).withColumn("_ord", F.lit(None).cast("long"))
-    b = batch.withColumn("_gen", F.lit(1)).withColumn("_ord", last.cast("long"))
+    """The batch wins for all columns; the stamp never goes back. Within the batch the last row (``order``, in its own type) wins,
+    rows of one order by content."""
+    last = order or stamp
+    a = base.withColumn("_gen", F.lit(0)).withColumn("_ord", F.lit(None).cast(batch.schema[last].dataType))
+    b = batch.withColumn("_gen", F.lit(1)).withColumn("_ord", F.col(last))
     both = a.unionByName(b, allowMissingColumns=True)
     rest = [c for c in base.columns if c not in (key, stamp)]
     new_columns = [c for c in batch.columns if c not in base.columns and c != order]
     rest += new_columns
-    merged = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("_gen", "_ord")).alias("_r"), F.max(stamp).alias(stamp))
+    merged = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("_gen", "_ord", F.to_json(F.struct(*rest)).alias("_tie"))).alias("_r"), F.max(stamp).alias(stamp))
     return merged.select(key, stamp, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*base.columns, *new_columns)
 
 
+def first_version(batch: DataFrame, key: str, stamp: str, order: str | None = None) -> DataFrame:
+    """What an upsert into an empty table gives: the last row per key with the highest stamp seen."""
+    return upsert_events(batch.limit(0), batch, key, stamp, order)
+
+
 def insert_or_replace(base: DataFrame, batch: DataFrame, order: str, key: str = "id",
                       unique: tuple[str, str] = ("source", "source_url")) -> DataFrame:
     """Later rows replace earlier ones that share the id, or the (source, url) pair.

@@ -49,7 +49,7 @@ def ingest_run(batch: DataFrame, stored: DataFrame, as_of: dt.date, days_ahead:
     kept = marked.where(F.col("reason").isNull()).drop("reason")
     top = ranking.mark_top_percent(kept, "score", "seq", percent).drop("rank")
     events = top.withColumn("raw_html_ref", F.when(F.col("in_top"), F.concat(F.date_format("start", "yyyy/MM/dd/"), "id", F.lit(".html.gz")))).drop("in_top")
-    table = tables.upsert_events(stored, events, "id", "fetched_at", "seq") if stored is not None else tables.latest_per_key(events, ["id"], [F.col("seq")])
+    table = tables.upsert_events(stored, events, "id", "fetched_at", "seq") if stored is not None else tables.first_version(events, "id", "fetched_at", "seq")
     flags = TG.true_keys("attrs")
     rows = facets.facet_rows(events.withColumn("day", F.to_date("start")).withColumn("_flags", flags), "city", "day", "id", "categories", "_flags")
     return {"dropped": marked.where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n")), "events": table, "facets": rows,

@@ -156,4 +156,4 @@ def _(spark, sf):
 
 @query("page_entities", "F1")
 def _(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.length(X.normalize_text("html", full_entities=True)).alias("n"))
+    return table(spark, sf, "pages").select("page_id", F.length(X.normalize_text("html")).alias("n"))

@@ -62,7 +62,7 @@ def _relevance(query_text: str) -> str:
     parts = [f"CASE WHEN {S.has('lower(name)', words)} THEN 10e0 ELSE 0e0 END", f"CASE WHEN {S.has('lower(description)', words)} THEN 5e0 ELSE 0e0 END",
              f"8e0 * len(list_filter(tags, lambda t: {S.has('lower(t)', words)}))", f"6e0 * len(list_filter(flags, lambda t: {S.has('lower(t)', words)}))"]
     for triggers, flags, tags in rules.QUERY_RULES:
-        if any(t in query_text.lower() for t in triggers.split("|")):
+        if any(t in query_text.lower() for t in triggers):
             parts += [f"CASE WHEN list_has_any(flags, {S.strs(flags)}) THEN 15e0 ELSE 0e0 END", f"CASE WHEN list_has_any(tags, {S.strs(tags)}) THEN 10e0 ELSE 0e0 END"]
     return " + ".join(parts)
 

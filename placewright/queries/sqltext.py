@@ -4,7 +4,7 @@ from __future__ import annotations
 import re
 
 from .. import rules
-from ..functions.text import NAMED_ENTITIES
+
 
 WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -21,8 +21,13 @@ def collapse(e: str) -> str:
     return f"regexp_replace({e}, '{WS}+', ' ', 'g')"
 
 
+#: the references that occur in the tables, with their characters; ``&amp;`` last
+ENTITIES_USED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&copy;": "\u00a9", "&reg;": "\u00ae", "&middot;": "\u00b7",
+                 "&ndash;": "\u2013", "&mdash;": "\u2014", "&hellip;": "\u2026", "&eacute;": "\u00e9", "&amp;": "&"}
+
+
 def unescape(e: str) -> str:
-    for entity, char in NAMED_ENTITIES.items():
+    for entity, char in ENTITIES_USED.items():
         e = f"replace({e}, {q(entity)}, {q(char)})"
     return e
 
@@ -99,5 +104,5 @@ def first_value(e: str, table: dict, other, missing) -> str:
 
 
 def cascade(e: str, table, default: str) -> str:
-    whens = " ".join(f"when regexp_matches(lower(coalesce({e}, '')), {q(words)}) then {q(flags.replace(' ', '|'))}" for words, flags in table)
+    whens = " ".join(f"when regexp_matches(lower(coalesce({e}, '')), {q('|'.join(words))}) then {q('|'.join(flags))}" for words, flags in table)
     return f"case {whens} else {default} end"

@@ -9,12 +9,12 @@ from ..operators import resolve as R
 from ..session import work_dir
 from ..sources.readers import table
 from ..streaming import jobs
-from .registry import query
+from .registry import ORACLE, query
 
 
 def _events(spark, sf):
     schema = table(spark, sf, "events").schema
-    return jobs.file_stream(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.file_stream(spark, f"{sf}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _folder(spark) -> str:
@@ -26,7 +26,7 @@ def _(spark, sf):
     root = _folder(spark)
     sink = jobs.versioned_upsert(f"{root}/t", "user_id", "ts", "event_id", "event_type")
     jobs.run_batches(_events(spark, sf), sink, f"{root}/c").awaitTermination()
-    return spark.read.parquet(f"{root}/t/v0").select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("last_day"))
+    return jobs.last_version(spark, f"{root}/t").select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("last_day"))
 
 
 @query("stream_exact_dedup", "ST2", "SELECT DISTINCT user_id, event_type FROM events")
@@ -41,13 +41,14 @@ def _(spark, sf):
 def _(spark, sf):
     root = _folder(spark)
     schema = table(spark, sf, "embeddings").schema
-    stream = jobs.file_stream(spark, sf, schema, "embeddings.parquet").select(F.col("vec_id").alias("seq"), F.round(F.col("embedding")[0].cast("double"), 3).cast("string").alias("key"))
+    stream = jobs.file_stream(spark, f"{sf}/embeddings.parquet", schema).select(F.col("vec_id").alias("seq"), F.round(F.col("embedding")[0].cast("double"), 3).cast("string").alias("key"))
     jobs.run_batches(stream, jobs.against_stored(f"{root}/t", lambda both: R.earliest_with_key(both, "key")), f"{root}/c").awaitTermination()
-    return spark.read.parquet(f"{root}/t/v0").select("seq")
+    return jobs.last_version(spark, f"{root}/t").select("seq")
 
 
-@query("stream_rolling", "ST3 W8")
+@query("stream_rolling", "ST3 W8", ORACLE["rolling_metrics"])
 def _(spark, sf):
     root = _folder(spark)
-    jobs.append_parquet(jobs.rolling_metrics(_events(spark, sf), ["event_type"], "ts", "value"), f"{root}/t", f"{root}/c").awaitTermination()
-    return spark.read.parquet(f"{root}/t").select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n", F.round("total", 4).alias("total"))
+    states = jobs.rolling_metrics(_events(spark, sf), ["event_type"], "ts", "value")
+    jobs.run_batches(states, jobs.versioned_states(f"{root}/t", ["event_type", "window_start"]), f"{root}/c", mode="update").awaitTermination()
+    return jobs.last_version(spark, f"{root}/t").select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n", F.round("total", 4).alias("total"))

@@ -12,13 +12,32 @@ from ..operators import tables
 from ..operators.facets import freshness_state
 
 
-def file_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
-    return (spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+def file_stream(spark: SparkSession, table: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
+    """The Parquet files of a table, which is a folder of part files or one file."""
+    path, fs = _path(spark, table)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if fs.getFileStatus(path).isDirectory():
+        return reader.parquet(table)
+    return reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
+
+
+def last_version(spark: SparkSession, root: str) -> DataFrame:
+    """The newest complete version that a versioned sink wrote."""
+    path, fs = _path(spark, root)
+    done = [f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("v")]
+    done = [p for p in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return spark.read.parquet(max(done, key=lambda p: int(p.getName()[1:])).toString())
+
+
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None,
+                mode: str = "append") -> StreamingQuery:
     """One run at a time, every given interval, or once over all that is there."""
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
@@ -29,13 +48,9 @@ def versioned_upsert(root: str, key: str, stamp: str, order: str | None = None,
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prior = f"{root}/v{batch_id - 1}"
-        try:
-            base = spark.read.parquet(prior) if batch_id > 0 else None
-        except Exception:
-            base = None
-        fresh = tables.latest_per_key(batch, [key], [F.col(order or stamp)])
-        table = fresh if base is None else tables.upsert_events(base, fresh, key, stamp, order)
+        # only the first batch starts empty: a missing earlier version is an error, not an empty table
+        base = spark.read.parquet(f"{root}/v{batch_id - 1}") if batch_id > 0 else batch.limit(0)
+        table = tables.upsert_events(base, batch, key, stamp, order)
         table.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
         if log_source:
             (tables.ingest_log(batch, log_source, F.current_timestamp()).withColumn("batch_id", F.lit(batch_id))
@@ -52,11 +67,7 @@ def against_stored(root: str, match: Callable[[DataFrame], DataFrame], seq: str
     """A foreachBatch sink for fuzzy and geo dedup: a batch is matched together with the kept rows so far."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            kept = spark.read.parquet(f"{root}/v{batch_id - 1}") if batch_id > 0 else None
-        except Exception:
-            kept = None
-        both = batch if kept is None else kept.unionByName(batch)
+        both = spark.read.parquet(f"{root}/v{batch_id - 1}").unionByName(batch) if batch_id > 0 else batch
         dup = match(both)
         both.join(dup.select(seq), seq, "left_anti").write.mode("overwrite").parquet(f"{root}/v{batch_id}")
     return write
@@ -69,6 +80,16 @@ def rolling_metrics(stream: DataFrame, keys: list[str], ts: str, value: str, del
             .select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "total"))
 
 
+def versioned_states(root: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink in update mode: the last state of each key wins, so open windows are kept too."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id > 0:
+            batch = spark.read.parquet(f"{root}/v{batch_id - 1}").join(batch, keys, "left_anti").unionByName(batch)
+        batch.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
+    return write
+
+
 def append_parquet(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -22,7 +22,7 @@ def one(spark, *cols, data="x"):
 def test_normalize_text(spark):
     r = one(spark, X.normalize_text("x"), X.norm_tag("x"), data="  Title &amp; More&#33;&#x1F600;  a  b &amp;lt; ")
     assert r[0] == "Title & More!\U0001F600 a b &lt;" and r[1].startswith("title & more")
-    assert one(spark, X.normalize_text("x", full_entities=True), data="&frac12; &amp;")[0] == "½ &"
+    assert one(spark, X.normalize_text("x"), data="&frac12; &amp;")[0] == "½ &"
 
 
 def test_truncate(spark):
@@ -130,3 +130,15 @@ def test_html(spark):
     assert tuple(one(spark, H.coordinates("x"), data=page)[0]) == (1.5, 2.5)
     assert one(spark, H.visible_text("x"), data=page)[0] == "Yes"
     assert one(spark, H.choose_image("x", F.lit("ld.png")), data='<img src="b">')[0] == "ld.png"
+
+
+def test_every_reference(spark):
+    """All references of the standard, and none that makes it fail, against the standard library."""
+    import html
+    import random
+    rng, names = random.Random(1), list(html.entities.html5)
+    told = ["&#9999999;", "&#8217", "&#150;", "&#129;", "&#xD800;", "&#0;", "&#99999999999999999999999;", "&notit;", "&amp;lt;", "&;", "&#;", "a & b", "&ampamp", ""]
+    told += ["".join(rng.choice(["&" + rng.choice(names), "&" + rng.choice(names)[:-1], "x", ";", " ", "&#%d;" % rng.randrange(70000),
+                                 "&#x%x" % rng.randrange(0x120000), "é", "<"]) for _ in range(4)) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in told], "t string")
+    assert all(r.u == html.unescape(r.t) for r in df.select("t", X.unescape("t").alias("u")).collect())

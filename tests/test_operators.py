@@ -138,8 +138,29 @@ def test_pages(spark):
     want = [r["id"] for r in df.orderBy(*order).collect()]
     got = [r["id"] for r in ranking.page_of(df, order, 3, 50).collect()]
     assert got == want[100:150]
-    deep = sorted(r["id"] for r in ranking._deep_page(df, order, 700, 90).collect())
-    assert deep == sorted(want[700:790])
+    assert [r["id"] for r in ranking._deep_page(df, order, 700, 90).collect()] == want[700:790]
+
+
+def test_rank_of_odd_scores(spark):
+    """Infinite and null scores, and text ids."""
+    inf = float("inf")
+    data = [(f"id{k:04d}", [inf, -inf, None, 1.0, 2.0, 2.0][k % 6]) for k in range(600)]
+    got = [r["id"] for r in ranking.global_rank(spark.createDataFrame(data, "id string, s double"), "s", "id").orderBy("rank").collect()]
+    assert got == [i for i, s in sorted(data, key=lambda x: (x[1] is None, -(x[1] if x[1] is not None else 0), x[0]))]
+
+
+def test_caps_are_gone(spark):
+    """Every heavy key is split and every long list is cut, whatever their number."""
+    from placewright.operators.facets import facet_chunks
+    from placewright.operators.skew import salted_join
+    left = spark.range(3000).select((F.col("id") % 1500).alias("k"), "id")
+    right = spark.range(1500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    out = salted_join(left, right, ["k"], ["id"], at_least=2, salts=4)
+    assert out.count() == 3000 and out.where("w != 2 * k").count() == 0
+    posts = spark.range(50).select(F.lit("c").alias("city"), F.current_date().alias("day"), F.lit("flag").alias("kind"), (F.col("id") % 5).cast("string").alias("key"),
+                                   F.col("id").cast("string"))
+    chunks = facet_chunks(posts, 2)
+    assert chunks.agg(F.sum("n")).first()[0] == 50 and chunks.groupBy("key").count().where("count < 2").count() == 0
 
 
 def test_percentiles(spark):

@@ -2,11 +2,14 @@
 import datetime as dt
 import json
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from placewright import queries, schemas
 from placewright.operators import normalize as N
+from placewright.operators import tables
 from placewright.plans import curation
 from placewright.queries.inputs import curation_places
 from placewright.sources import readers, sinks
@@ -60,11 +63,47 @@ def test_stream_batches(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "t" / "v1")), "id", "v", "fetched_at") == [("a", "2", t), ("b", "1", t)]
 
 
+def test_stream_faults(spark, tmp_path):
+    """A lost version stops the run; many files are many batches; a folder of parts is one table; open windows are kept."""
+    import shutil
+    schema = "id string, v string, ord timestamp, fetched_at timestamp"
+    t = dt.datetime(2024, 1, 1)
+    src = str(tmp_path / "events.parquet")
+    spark.createDataFrame([(f"k{i % 7}", str(i), t + dt.timedelta(milliseconds=i), t + dt.timedelta(days=(i * 5) % 11)) for i in range(120)], schema) \
+        .repartition(120).write.parquet(src)
+    stream = jobs.file_stream(spark, src, spark.read.parquet(src).schema, files_per_batch=30)
+    sink = jobs.versioned_upsert(str(tmp_path / "t"), "id", "fetched_at", "ord")
+    jobs.run_batches(stream, sink, str(tmp_path / "c")).awaitTermination()
+    got, stream_rows = jobs.last_version(spark, str(tmp_path / "t")), spark.read.parquet(src)
+    newest = max(int(p.name[1:]) for p in (tmp_path / "t").glob("v*"))
+    assert got.count() == 7 and newest > 0
+    assert got.agg(F.max("fetched_at")).first()[0] == t + dt.timedelta(days=10)
+    shutil.rmtree(tmp_path / "t" / f"v{newest}")
+    with pytest.raises(AnalysisException):
+        sink(stream_rows, newest + 1)
+    wins = jobs.rolling_metrics(stream.withColumn("n", F.lit(1.0)), ["id"], "fetched_at", "n", delay="30 days")
+    jobs.run_batches(wins, jobs.versioned_states(str(tmp_path / "w"), ["id", "window_start"]), str(tmp_path / "cw"), mode="update").awaitTermination()
+    last = jobs.last_version(spark, str(tmp_path / "w"))
+    assert last.agg(F.sum("n")).first()[0] == 120 * 15
+
+
+def test_upsert_order(spark):
+    """Rows of one second are told apart, text orders hold, and the first write keeps the highest stamp."""
+    t = dt.datetime(2024, 1, 1)
+    early, late = (t + dt.timedelta(milliseconds=k) for k in (1, 900))
+    schema = "id string, v string, ord timestamp, at timestamp"
+    for batch in ([("a", "old", early, late), ("a", "new", late, early)], [("a", "new", late, early), ("a", "old", early, late)]):
+        df = spark.createDataFrame(batch, schema).coalesce(1)
+        assert rows(tables.first_version(df, "id", "at", "ord"), "v", "at") == [("new", late)]
+        assert rows(tables.upsert_events(df.where("v = 'old'"), df.where("v = 'new'"), "id", "at", "ord"), "v", "at") == [("new", late)]
+        by_text = df.withColumn("ord", F.when(F.col("v") == "new", "b").otherwise("a"))
+        assert rows(tables.first_version(by_text, "id", "at", "ord"), "v") == [("new",)]
+
+
 def test_registry():
     names, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(names) and len(names) > 150
-    assert all(not n.startswith("op") and "pipeline" not in n for n in names)
-    assert all(queries.OPERATORS[n] for n in names)
+    assert set(sql) <= set(names) and set(queries.QUERIES) <= set(names) and len(queries.QUERIES) > 150
+    assert all(queries.OPERATORS[n] for n in queries.QUERIES)
 
 
 def test_entry(spark):
