@@ -159,3 +159,12 @@ def list_items(html) -> Column:
     """Inner text of every li, tags removed."""
     return F.transform(F.regexp_extract_all(col(html), F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1)),
                        lambda i: strip(collapse_spaces(unescape(F.regexp_replace(i, r"<[^>]+>", "")))))
+
+
+def list_places(html, least: int = 20) -> Column:
+    """(name, description) of each list item of ``least`` characters: the name without number and dash, at least 3 long."""
+    def parts(text: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(text, r"^[0-9]+\.\s*", ""), r"^\s*[-–—]\s*", "")
+        return F.struct(bare.alias("name"), text.alias("description"))
+    long = F.filter(list_items(html), lambda i: F.length(i) >= least)
+    return F.filter(F.transform(long, parts), lambda p: F.length(p["name"]) >= 3)

@@ -209,3 +209,12 @@ def flags_for_query(query, table: dict[str, list[str]] = rules.QUERY_FLAGS) -> C
     hits = [F.when(low.rlike(alternation([key, *flags])), F.array(*[F.lit(f) for f in flags])).otherwise(_empty())
             for key, flags in table.items()]
     return F.array_sort(F.array_distinct(F.flatten(F.array(*hits))))
+
+
+def shown_image(image, category, images=rules.DEFAULT_IMAGES, default: str = rules.DEFAULT_IMAGE) -> Column:
+    """The row's image, else that of its category, else the default."""
+    low = F.lower(F.coalesce(col(category), F.lit("")))
+    chain = F.when(F.lit(False), default)
+    for words, name in images:
+        chain = chain.when(inside(low, words), name)
+    return F.coalesce(col(image), chain.otherwise(default))

@@ -194,7 +194,14 @@ def exact_areas(df: DataFrame, area: str, area_dim: DataFrame) -> DataFrame:
     return (df.join(sized(exact), low == F.col("_s"), "left").drop("_s").join(sized(names), "standard", "left").withColumn("is_known", F.col("standard").isNotNull()))
 
 
-def area_statistics(area_dim: DataFrame) -> DataFrame:
-    per = area_dim.groupBy("area").agg(F.count(F.lit(1)).alias("n"))
-    kind = F.when(F.col("area").contains("soi"), "soi").when(F.col("area").contains("market"), "market").otherwise("area")
-    return per.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("areas"), F.sum("n").alias("synonyms"), F.round(F.avg("n"), 2).alias("mean_synonyms"))
+def area_types(area_dim: DataFrame, types=rules.AREA_TYPES) -> DataFrame:
+    """(type, areas, synonyms, mean_synonyms) of the area dimension; areas of no listed type are ``other``."""
+    low = F.lower("area")
+    kind = F.when(F.lit(False), "")
+    for words, name in types:
+        test = F.lit(False)
+        for w in words:
+            test = test | low.contains(w)
+        kind = kind.when(test, name)
+    per = area_dim.groupBy("area").agg(F.count(F.lit(1)).alias("n")).withColumn("type", kind.otherwise("other"))
+    return per.groupBy("type").agg(F.count(F.lit(1)).alias("areas"), F.sum("n").alias("synonyms"), F.round(F.avg("n"), 2).alias("mean_synonyms"))

@@ -89,6 +89,11 @@ def quality_run(df: DataFrame, accepted: str, scores: list[str]) -> DataFrame:
                   *[F.round(F.avg(s), 4).alias(f"avg_{s}") for s in scores])
 
 
+def source_statistics(df: DataFrame, source: str, flags: str, area: str) -> DataFrame:
+    """Rows by source, flag and area."""
+    return df.select(F.col(source).alias("source"), F.col(area).alias("area"), F.explode(flags).alias("flag")).groupBy("source", "flag", "area").agg(F.count(F.lit(1)).alias("n"))
+
+
 def level_distribution(df: DataFrame, level: str) -> DataFrame:
     return df.groupBy(level).agg(F.count(F.lit(1)).alias("n"))
 

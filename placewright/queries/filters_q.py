@@ -130,8 +130,7 @@ _BADGE = "Must-see|new|Hot!|"
 @query("title_words", "F66 F67 F68 F70", with_shows(f"""
 SELECT seq, CASE WHEN {S.has(f"lower({pick(_BADGE, 'ent')})", rules.PICK_BADGES)} OR {S.has("lower(concat_ws(' ', title, description))", rules.PICK_WORDS)} THEN 'Picks' ELSE '' END AS pick,
  {S.ladder('lower(title)', rules.TITLE_HINTS, S.q, "'events'")} AS hint, array_to_string(list_filter([{', '.join(f"CASE WHEN {S.has('lower(title)', w)} THEN {S.q(t)} END" for t, w in rules.TITLE_TAGS)}], lambda x: x IS NOT NULL), '|') AS title_tags,
- CASE WHEN {S.has('lower(category_text)', rules.EVENING_CATEGORIES)} THEN 'evening' ELSE 'day' END AS typical_time, coalesce(image, CASE WHEN contains(lower(category_text), 'food') THEN 'food.jpg' ELSE 'city.jpg' END) AS shown_image FROM shows"""))
+ CASE WHEN {S.has('lower(category_text)', rules.EVENING_CATEGORIES)} THEN 'evening' ELSE 'day' END AS typical_time, coalesce(image, CASE WHEN regexp_matches(lower(category_text), 'food|restaurant') THEN 'food.jpg' WHEN contains(lower(category_text), 'bar') THEN 'bar.jpg' WHEN regexp_matches(lower(category_text), 'park|outdoor') THEN 'park.jpg' ELSE 'city.jpg' END) AS shown_image FROM shows"""))
 def _(spark, sf):
-    default = F.when(F.lower("category_text").contains("food"), "food.jpg").otherwise("city.jpg")
     return shows(spark, sf).select("seq", F.array_join(TG.pick_tags(F.expr(pick(_BADGE, "ent")), "title", "description"), "|").alias("pick"), TG.title_hint("title").alias("hint"),
-                                   F.array_join(TG.title_tags("title"), "|").alias("title_tags"), TG.typical_time("category_text").alias("typical_time"), F.coalesce("image", default).alias("shown_image"))
+                                   F.array_join(TG.title_tags("title"), "|").alias("title_tags"), TG.typical_time("category_text").alias("typical_time"), TG.shown_image("image", "category_text").alias("shown_image"))

@@ -151,6 +151,17 @@ def _(spark, sf):
     return L.exact_areas(L.standard_areas(places(spark, sf), "area", dim), "area", dim).select("seq", "standard_area", "is_known")
 
 
+_TYPE_CASES = " ".join(f"WHEN {S.has('lower(area)', w)} THEN {S.q(k)}" for w, k in rules.AREA_TYPES)
+
+
+@query("area_type_statistics", "A32", with_places(", " + AREA_SQL + f""", used AS (SELECT DISTINCT d.area FROM area_dim d JOIN places p ON lower(trim(p.area)) = synonym), per AS (SELECT area, count(*) AS n FROM area_dim SEMI JOIN used USING (area) GROUP BY 1)
+ SELECT CASE {_TYPE_CASES} ELSE 'other' END AS type, count(*) AS areas, sum(n)::bigint AS synonyms, round(avg(n), 2) AS mean_synonyms FROM per GROUP BY 1"""))
+def _(spark, sf):
+    dim = area_dim(spark)
+    named = dim.join(places(spark, sf).select(F.lower(F.trim("area")).alias("synonym")).distinct(), "synonym", "left_semi").select("area")
+    return L.area_types(dim.join(named, "area", "left_semi"))
+
+
 @query("area_statistics", "A32", with_places(", " + AREA_SQL + " SELECT d.area, count(DISTINCT synonym) AS n_synonyms, count(DISTINCT seq) AS n_places FROM area_dim d LEFT JOIN places p ON lower(trim(p.area)) = synonym GROUP BY 1"))
 def _(spark, sf):
     dim = area_dim(spark)

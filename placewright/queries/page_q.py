@@ -136,6 +136,15 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.size(items).cast("long").alias("n"), J(items).alias("items"))
 
 
+_ITEM = S.strip(S.collapse(S.unescape("regexp_replace(regexp_replace(i, '(?is)^<li[^>]*>|</li>$', '', 'g'), '<[^>]+>', '', 'g')")))
+
+
+@query("page_list_places", "X17", r"SELECT page_id, name, description FROM (SELECT page_id, regexp_replace(regexp_replace(d, '^[0-9]+\.\s*', ''), '^\s*[-–—]\s*', '') AS name, d AS description"
+       r" FROM (SELECT page_id, " + _ITEM + r" AS d FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li\b[^>]*>.*?</li>')) AS i FROM pages)) WHERE length(d) >= 4) WHERE length(name) >= 3")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.explode(H.list_places("html", 4)).alias("p")).select("page_id", "p.name", "p.description")
+
+
 @query("page_text", "X18", f"SELECT page_id, length({_VIS}) AS n, md5({_VIS}) AS h FROM pages")
 def _(spark, sf):
     v = H.visible_text("html")

@@ -33,7 +33,7 @@ def _(spark, sf):
 
 @query("source_statistics", "A3", with_places("SELECT source, flag, area, count(*) AS n FROM (SELECT source, area, unnest(flags) AS flag FROM places) GROUP BY 1, 2, 3"))
 def _(spark, sf):
-    return places(spark, sf).select("source", "area", F.explode("flags").alias("flag")).groupBy("source", "flag", "area").agg(F.count(F.lit(1)).alias("n"))
+    return R.source_statistics(places(spark, sf), "source", "flags", "area")
 
 
 @query("flag_labels", "A4", with_places("SELECT flag, array_to_string(list_transform(string_split(replace(flag, '_', ' '), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS label FROM (SELECT DISTINCT unnest(flags) AS flag FROM places)"))

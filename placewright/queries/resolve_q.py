@@ -7,7 +7,7 @@ from .. import rules
 from ..functions import tagging as TG
 from ..functions import text as X
 from ..operators import extract as E
-from ..operators import graph, merge
+from ..operators import graph, merge, reports
 from ..operators import resolve as R
 from ..operators import similarity as SIM
 from ..plans import curation as C
@@ -111,6 +111,11 @@ def _(spark, sf):
     return C.curate(curation_places(spark, sf)).groupBy("status", F.coalesce("strategy", F.lit("")).alias("strategy")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("curation_rates", "A10", with_places(f", {QUALITY_SQL}, {_MATCH}, st AS (SELECT CASE WHEN b.seq IS NOT NULL THEN 'duplicate' WHEN accepted THEN 'new' ELSE 'rejected' END AS status FROM rated LEFT JOIN best b USING (seq)) SELECT count(*) AS total, count(*) FILTER (status = 'new') AS new_places, count(*) FILTER (status = 'duplicate') AS duplicates, count(*) FILTER (status = 'rejected') AS rejected, 0 AS errors, round(count(*) FILTER (status = 'new') / count(*), 4) AS success_rate, 0.0 AS error_rate FROM st"))
+def _(spark, sf):
+    return reports.status_statistics(C.curate(curation_places(spark, sf)))
+
+
 # ---- event merge -------------------------------------------------------------------------------------
 
 _GROUP = f"""t AS (SELECT *, lower({S.norm('title')}) AS nt, lower({S.norm('venue')}) AS nv FROM shows),

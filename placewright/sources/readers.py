@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import json
+import time
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,11 +126,22 @@ def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def readable(read, empty: DataFrame) -> DataFrame:
-    """A failing source gives no rows instead of failing the union; only the schema is read here."""
+def retried(read, attempts: int = 3, wait_s: float = 0.3) -> DataFrame:
+    """The frame that ``read`` gives, tried again after growing waits; the last failure is raised. Only the schema is read here."""
+    for attempt in range(1, attempts + 1):
+        try:
+            df = read()
+            df.schema
+            return df
+        except Exception:
+            if attempt == attempts:
+                raise
+            time.sleep(wait_s * attempt)
+
+
+def readable(read, empty: DataFrame, attempts: int = 3, wait_s: float = 0.3) -> DataFrame:
+    """A source that fails every time gives no rows instead of failing the union."""
     try:
-        df = read()
-        df.schema
-        return df
+        return retried(read, attempts, wait_s)
     except Exception:  # the source is unreachable or unreadable
         return empty

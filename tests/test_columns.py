@@ -142,3 +142,10 @@ def test_every_reference(spark):
                                  "&#x%x" % rng.randrange(0x120000), "é", "<"]) for _ in range(4)) for _ in range(500)]
     df = spark.createDataFrame([(t,) for t in told], "t string")
     assert all(r.u == html.unescape(r.t) for r in df.select("t", X.unescape("t").alias("u")).collect())
+
+
+def test_list_places(spark):
+    html = "<ul><li>1. Blue Door by the river bank</li><li>– <b>Old Hall</b>, open every day</li><li>short</li><li>12. - x and more text here</li></ul>"
+    got = one(spark, H.list_places("x"), data=html)[0]
+    assert [(p["name"], p["description"]) for p in got] == [("Blue Door by the river bank", "1. Blue Door by the river bank"),
+                                                           ("Old Hall, open every day", "– Old Hall, open every day"), ("x and more text here", "12. - x and more text here")]

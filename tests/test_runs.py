@@ -109,3 +109,19 @@ def test_registry():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["flag", "rank", "seq", "overall"] and df.count() > 0
+
+
+def test_retry_then_give_up(spark):
+    tried = []
+
+    def read():
+        tried.append(1)
+        if len(tried) < 3:
+            raise OSError("not yet")
+        return spark.range(2)
+    assert readers.retried(read, 3, 0).count() == 2 and len(tried) == 3
+    tried.clear()
+    with pytest.raises(OSError):
+        readers.retried(read, 2, 0)
+    tried.clear()
+    assert readers.readable(read, spark.range(0), 2, 0).count() == 0
