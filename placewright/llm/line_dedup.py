@@ -7,7 +7,7 @@ Equal lines become one row first. Each distinct line is cut into ``errors + 1``
 the distance share a segment, at a place that differs by few characters. Lines index their own segments by (length,
 number, text); every line probes the indexes of its own and the ``errors`` next shorter lengths at the few places that
 the multi-match-aware bounds leave (12 for two errors). Keys are 64-bit hashes; probes for which a bitmap of fixed size
-shows no segment are dropped before the shuffle. Each side carries the counts of eight frequent characters, whose distance
+shows no segment are dropped before the shuffle. Each side carries the counts of sixteen frequent characters, whose distance
 is part of the join condition: lines that differ in a whole word rarely come out as candidates, so a template with many
 fillings does not give all its pairs. The candidates' texts are then read and compared by a
 banded bit-parallel edit distance, exact, in one ``aggregate`` over the longer line's characters.
@@ -25,7 +25,7 @@ from .common import stored, table
 
 ERRORS, MIN_CHARS = 2, 40
 #: frequent characters whose counts are compared; any choice is right, frequent ones tell more
-COUNTED = "etnhaior"
+COUNTED = ("etnhaior", "sldcumgp")
 #: words of the bitmap of segment keys, 64 bits each: its size does not grow with the table
 BITMAP_WORDS = 1 << 19
 
@@ -65,21 +65,22 @@ def probe_keys(line: str, errors: int) -> Column:
     return F.array(*out)
 
 
-def char_counts(line: str) -> Column:
+def char_counts(line: str, chars: str) -> Column:
     """Eight counts modulo 256 in one number."""
     out = F.lit(0).cast("bigint")
-    for k, char in enumerate(COUNTED):
+    for k, char in enumerate(chars):
         n = (F.length(line) - F.length(F.replace(line, F.lit(char), F.lit("")))) % 256
         out = out.bitwiseOR(F.shiftleft(n.cast("bigint"), 8 * k))
     return out
 
 
-def counts_fit(a: Column, b: Column, errors: int) -> Column:
+def counts_fit(a: list[Column], b: list[Column], errors: int) -> Column:
     """An edit changes at most two of the counts by one."""
     total = F.lit(0)
-    for k in range(len(COUNTED)):
-        d = F.abs(F.shiftrightunsigned(a, 8 * k).bitwiseAND(255) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(255))
-        total = total + F.least(d, 256 - d)
+    for x, y in zip(a, b):
+        for k in range(8):
+            d = F.abs(F.shiftrightunsigned(x, 8 * k).bitwiseAND(255) - F.shiftrightunsigned(y, 8 * k).bitwiseAND(255))
+            total = total + F.least(d, 256 - d)
     return total <= 2 * errors
 
 
@@ -131,14 +132,14 @@ def copied_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", err
     """(h, c, first, removed): of each distinct long line its earliest place, and whether an earlier line is within the distance."""
     lines = lines_of(docs, ident, text, min_chars)
     once = lines.groupBy("line").agg(F.min(F.struct("id", "at")).alias("first"))
-    keyed = stored(once.select(*_names(), "first", char_counts("line").alias("counts"), index_keys("line", errors).alias("own"),
+    keyed = stored(once.select(*_names(), "first", *[char_counts("line", x).alias(f"counts{i}") for i, x in enumerate(COUNTED)], index_keys("line", errors).alias("own"),
                                probe_keys("line", errors).alias("near")), "lines")
-    one = keyed.select(F.col("h").alias("h_a"), F.col("c").alias("c_a"), F.col("counts").alias("counts_a"), F.explode("own").alias("key"))
-    two = keyed.select(F.col("h").alias("h_b"), F.col("c").alias("c_b"), F.col("counts").alias("counts_b"), F.explode("near").alias("key"))
+    one = keyed.select(F.col("h").alias("h_a"), F.col("c").alias("c_a"), F.col("counts0").alias("a0"), F.col("counts1").alias("a1"), F.explode("own").alias("key"))
+    two = keyed.select(F.col("h").alias("h_b"), F.col("c").alias("c_b"), F.col("counts0").alias("b0"), F.col("counts1").alias("b1"), F.explode("near").alias("key"))
     # every line finds its own segments: probes that only its own line can answer are not told apart here, the join drops them
     two = _in_bitmap(two, keyed.select(F.explode("own").alias("key")))
     fits = (one["key"] == two["key"]) & ((F.col("h_a") != F.col("h_b")) | (F.col("c_a") != F.col("c_b"))) & counts_fit(
-        F.col("counts_a"), F.col("counts_b"), errors)
+        [F.col("a0"), F.col("a1")], [F.col("b0"), F.col("b1")], errors)
     found = one.join(two, fits).select("h_a", "c_a", "h_b", "c_b").distinct()
     place = keyed.select("h", "c", "first")
     found = found.join(place.select(F.col("h").alias("h_a"), F.col("c").alias("c_a"), F.col("first").alias("first_a")), ["h_a", "c_a"])
