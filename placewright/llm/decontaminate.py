@@ -2,7 +2,8 @@
 
 An item is cut into windows of ten consecutive words (an item of fewer words, but not none, is one window). A window is
 contained in a text only if all its five-word shingles occur there, so one necessary shingle, the rarest over all
-documents, is its whole prefix. Documents are joined on those shingles alone; length and position bounds and the exact
+documents, is its whole prefix. A window of fewer than five words is its own shingle; texts are also cut into runs of each
+such length that the benchmark has (four at most). Documents are joined on those shingles alone; length and position bounds and the exact
 comparison of the window's words are part of the join, which therefore puts out true occurrences only.
 
 Two passes over the documents: shingle frequencies, then candidates. Both look shingles up in a bitmap of fixed size
@@ -59,11 +60,25 @@ def bitmap(hashes: DataFrame, name: str) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
 
 
+def short_sizes(windows: DataFrame) -> list[int]:
+    """The word numbers below SHINGLE that windows have."""
+    found = windows.select(F.size("words").alias("n")).where(F.col("n") < SHINGLE).distinct().collect()
+    return sorted(r.n for r in found)
+
+
+def text_shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, place) of each run of that many words; texts of fewer words have none."""
+    grams, of = w.shingles(size)
+    pos = np.arange(len(of)) - np.searchsorted(of, np.arange(len(w.counts)))[of]  # shingles of a text stand together, in order
+    whole = w.counts[of] >= size
+    return grams[whole], of[whole], pos[whole]
+
+
 def _packed(bits: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def shingle_counts(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
+def shingle_counts(docs: DataFrame, text: str, wanted: np.ndarray, short: list[int]) -> DataFrame:
     """(shingle, n): how often each wanted shingle occurs in all texts, combined per block before the shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(_packed(wanted))
 
@@ -71,8 +86,8 @@ def shingle_counts(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
         bits = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").view(bool)
         for batch in batches:
             for _, held in blocks(batch["text"].tolist()):
-                grams, _ = Words(held, ALNUM_LOWER).shingles(SHINGLE)
-                grams = grams[bits[grams & np.uint64((1 << BITS) - 1)]]
+                w = Words(held, ALNUM_LOWER)
+                grams = np.concatenate([g[bits[g & np.uint64((1 << BITS) - 1)]] for g, _, _ in (text_shingles(w, n) for n in [*short, SHINGLE])])
                 values, n = np.unique(grams, return_counts=True)
                 yield pd.DataFrame({"shingle": values.view(np.int64), "n": n})
     return docs.select(F.col(text).alias("text")).mapInPandas(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -87,8 +102,11 @@ def window_prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return best.where("seen = all").select(F.col("best.shingle").alias("shingle"), F.col("best.offset").alias("offset"), "item", "words")
 
 
-def _candidates(docs: DataFrame, ident: str, text: str, wanted: np.ndarray) -> DataFrame:
-    """(row, id, n_words, c): each text with its places that hold a wanted shingle and the words around them."""
+def _candidates(docs: DataFrame, ident: str, text: str, wanted: np.ndarray, short: list[int]) -> DataFrame:
+    """(row, id, n_words, c): each text with its places that hold a wanted shingle and the words around them.
+
+    A shingle of fewer than SHINGLE words is a whole window, so it stands alone.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(_packed(wanted))
     lead = WINDOW - 1
 
@@ -98,14 +116,14 @@ def _candidates(docs: DataFrame, ident: str, text: str, wanted: np.ndarray) -> D
             for at, held in blocks(batch["text"].tolist()):
                 w = Words(held, ALNUM_LOWER)
                 found: list[list[dict]] = [[] for _ in held]
-                grams, of = w.shingles(SHINGLE)
-                start = np.searchsorted(of, np.arange(len(held)))  # shingles of a text stand together, in order
-                for k in np.flatnonzero(bits[grams & np.uint64((1 << BITS) - 1)]):
-                    d = int(of[k])
-                    pos, lo, hi = int(k - start[d]), int(w.first[d]), int(w.first[d + 1])
-                    a, b = max(lo, lo + pos - lead), min(hi, lo + pos + WINDOW)
-                    found[d].append({"shingle": int(grams[k].view(np.int64)), "pos": pos, "before": lo + pos - a,
-                                     "near": [w.word(i).decode("utf-8", "replace") for i in range(a, b)]})
+                for size in [*short, SHINGLE]:
+                    grams, of, at_word = text_shingles(w, size)
+                    for k in np.flatnonzero(bits[grams & np.uint64((1 << BITS) - 1)]):
+                        d = int(of[k])
+                        pos, lo, hi = int(at_word[k]), int(w.first[d]), int(w.first[d + 1])
+                        a, b = (max(lo, lo + pos - lead), min(hi, lo + pos + WINDOW)) if size == SHINGLE else (lo + pos, lo + pos + size)
+                        found[d].append({"shingle": int(grams[k].view(np.int64)), "pos": pos, "before": lo + pos - a,
+                                         "near": [w.word(i).decode("utf-8", "replace") for i in range(a, b)]})
                 part = batch.iloc[at:at + len(held)]
                 yield pd.DataFrame({"row": part["row"], "id": part["id"], "n_words": w.counts, "c": found})
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("id"), F.col(text).alias("text"))
@@ -124,10 +142,10 @@ def covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id",
                   item_text: str = "text") -> DataFrame:
     """One row per text: id, n_words, ``spans`` of hit words, ``items`` (sorted ids of items with an occurring window)."""
-    windows = item_windows(items, item, item_text)
-    counts = shingle_counts(docs, text, bitmap(windows.select(F.explode("shingles").alias("s")), "s"))
+    windows = stored(item_windows(items, item, item_text), "windows")
+    counts = shingle_counts(docs, text, bitmap(windows.select(F.explode("shingles").alias("s")), "s"), short_sizes(windows))
     prefixes = stored(window_prefixes(windows, counts), "prefixes")
-    rows = _candidates(docs, ident, text, bitmap(prefixes, "shingle"))
+    rows = _candidates(docs, ident, text, bitmap(prefixes, "shingle"), short_sizes(prefixes))
     each = rows.select("row", "id", "n_words", F.explode_outer("c").alias("c")).select("row", "id", "n_words", "c.*")
     start, width = F.col("before") - F.col("offset"), F.size("words")
     fits = (each["shingle"] == prefixes["shingle"]) & (start >= 0) & (start + width <= F.size("near")) & (

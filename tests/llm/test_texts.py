@@ -101,6 +101,18 @@ def test_decontamination(spark):
     assert decontaminate.contamination(frame(spark, ["a"]).limit(0), tests).count() == 0
 
 
+def test_short_items_are_found_inside_long_texts(spark):
+    rng = random.Random(12)
+    long = words(rng, 200, 300).split()
+    texts = [" ".join([*long[:70], "Solo", *long[70:]]), " ".join([*long, "a", "PAIR"]), " ".join(["a", "b", "c", "d", *long]), " ".join(long), "solo", "a b c",
+             " ".join([*long[:9], "a", "b", "c", *long[9:20], "a", "b", "c"]), None]
+    items = [(0, "solo"), (1, "a pair"), (2, "a b c d"), (3, "a b c"), (4, "pair a")]
+    out = {r.doc_id: r for r in decontaminate.contamination(frame(spark, texts), spark.createDataFrame(items, "item_id bigint, text string"))
+           .withColumn("n_hit", decontaminate.covered(F.col("spans"))).collect()}
+    assert {d: (r.n_hit, r["items"]) for d, r in out.items()} == {0: (1, ["0"]), 1: (2, ["1"]), 2: (4, ["2", "3"]), 3: (0, []), 4: (1, ["0"]), 5: (3, ["3"]),
+                                                                6: (6, ["3"]), 7: (0, [])}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
