@@ -4,12 +4,14 @@ A text's set is its distinct word shingles (a text of fewer words, but not none,
 ``BUCKETS`` registers of 16 bits: the smallest hash of the bucket as leading-zero count and ``MANTISSA`` bits; empty buckets
 borrow. Texts with equal sets are one class, named by its smallest id. ``BANDS`` bands of ``ROWS`` registers are the candidate
 keys; a pair goes on if sizes allow the similarity and the estimate, corrected for register collisions, is not far below
-it; it links only if the full sets reach it. At a similarity of 0.8 a pair misses all bands with a chance of about 1e-5.
+it; it links only if the full sets reach it. At a similarity of 0.8 a pair misses all bands with a chance of about 1e-5;
+small sets borrow most registers from few, so there it is more (simulated: 11 of 64,000 pairs of 4 and 5 shingles, 3 of 64,000 at
+8 and 10, 9 and 9, 18 and 18, 1 of 48,000 at 40).
 
 No bucket is paired with itself. Each bucket first links its members to the one that shares most bands with others, the
 likely origin of a group of copies. Where members of a bucket are then still in several components, every member outside
-the bucket's largest component meets the members of other components, and only these, with sizes and one bit per
-register as part of the join condition. So no pair of candidates in different components stays untested, whatever the size of a bucket.
+the bucket's largest component meets the members of other components, and only these, with sizes and, for sets that
+fill most registers themselves, one bit per register as part of the join condition. So no pair of candidates in different components stays untested, whatever the size of a bucket.
 
 Full sets are read for candidate texts only, as 48 bits per shingle. Results of each phase are written to the shared
 folder, so a lost executor costs a task, not the job.
@@ -34,6 +36,8 @@ from .words import WHITE_LOWER, Words, blocks, mix
 BUCKETS, BANDS, ROWS, MANTISSA = 256, 64, 8, 10
 BUCKET_BITS = BUCKETS.bit_length() - 1
 SLACK = 0.15  # six standard deviations of the estimate at a similarity of 0.8
+#: registers of smaller sets are mostly copies of others and differ together: no test of their bits, and none of the estimate
+BITS_FROM, ESTIMATE_FROM = BUCKETS, 32
 _order = mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64)).reshape(BUCKETS, BUCKETS)
 #: the order in which an empty bucket borrows from others, and the place of each bucket in it
 PROBES = np.argsort(_order, axis=1)
@@ -155,7 +159,8 @@ def _close(least: float):
     def close(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
         left = np.frombuffer(b"".join(a), np.uint16).reshape(len(a), BUCKETS)
         right = np.frombuffer(b"".join(b), np.uint16).reshape(len(b), BUCKETS)
-        return pd.Series(estimate(left, right, (n.to_numpy() + m.to_numpy()) / 2) >= least)
+        small = np.minimum(n.to_numpy(), m.to_numpy()) < ESTIMATE_FROM
+        return pd.Series(small | (estimate(left, right, (n.to_numpy() + m.to_numpy()) / 2) >= least))
     return close
 
 
@@ -233,7 +238,8 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     there = still.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("size").alias("n_b"), F.col("bits").alias("bits_b"))
     # two outsiders meet once; an outsider meets all of the largest component
     meet = here.join(there, (here["key"] == there["key"]) & (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("largest")) | (F.col("a") < F.col("b")))
-                     & _sizes_fit(F.col("n_a"), F.col("n_b"), percent) & _bits_fit(F.col("bits_a"), F.col("bits_b"), percent)).select("a", "b").distinct()
+                     & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)
+                     & ((F.least("n_a", "n_b") < BITS_FROM) | _bits_fit(F.col("bits_a"), F.col("bits_b"), percent))).select("a", "b").distinct()
     # pairs that were tested as stars and failed need no second test
     rest = stored(_likely(meet.join(stars, ["a", "b"], "left_anti"), classes, percent), "rest")
     more = stored(_verified(rest, docs, ident, text, words, percent), "more-links")

@@ -250,6 +250,13 @@ def test_near_duplicates(spark):
     assert hyper_minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_small_sets_are_not_lost_in_open_buckets(spark):
+    """The seeds give texts whose only link, 4 of 5 words, is met in an open bucket with more than 54 unequal low bits."""
+    texts = [" ".join(f"w{seed}x{c}" for c in own) for seed in (3368, 8759, 17478) for own in ("01235", "0123", "01234", "012356", "012357", "012358")]
+    got = {r.doc_id: r.component_id for r in hyper_minhash.near_duplicates(frame(spark, texts), words=1).collect()}
+    assert got == {d: d // 6 * 6 for d in range(len(texts))}
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(1)
     for n, shared in ((400, 360), (2000, 1500)):
