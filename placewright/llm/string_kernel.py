@@ -1,6 +1,6 @@
 """Toxicity: a support vector machine on a gap-weighted subsequence kernel, with Nyström landmarks.
 
-A text's sentences are read as fragments: words by white space, A-Z lower-cased, ASCII punctuation left out, and runs of
+A text is read as fragments, and no sentence is cut or rated: words by white space, A-Z lower-cased, ASCII punctuation left out, and runs of
 single letters joined, so ``i-d-i-o-t`` and ``i d i o t`` are the fragment ``idiot``. The kernel of two fragments sums,
 over all three-byte subsequences within ``SPAN`` bytes, the product of their weights ``DECAY ** length``; inserted or
 missing characters lower it but do not break it. It is divided by the roots of a norm that depends on length alone.
@@ -11,7 +11,7 @@ lack, the ones that cover the toxic texts greedily and those that many of them h
 group of near copies shares. Witnesses, variants of them with a character inserted or left out, and fragments of clean
 texts (drawn by hash, then those the first machine rates worst) train the machine on the Nyström map of the landmarks. As the
 kernel is linear in subsequences, landmarks and machine collapse to one weight per hashed subsequence, and a fragment is
-scored in time linear in its length. A sentence rates as its worst fragment, a text as its worst sentence; a logistic
+scored in time linear in its length. A text rates as its worst fragment; a logistic
 fit on the sample turns that into the score.
 
 Labels, language, source and id are no inputs of a score. Every text is scored whole, in one pass without shuffle. Null
