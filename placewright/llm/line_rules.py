@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 from .words import WHITE, Words, blocks, shingles
 
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -71,14 +71,12 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(small, SPACE, " "), "[0-9]+", "0"))
 
 
-def line_rules(docs: DataFrame, ident: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS,
-               min_percent: int = MIN_PERCENT, keep_percent: int = KEEP_PERCENT) -> DataFrame:
-    """One row per text: id, host, the base measures, ``base_failed``, ``removed_words`` (in frequent lines) and ``kept``."""
-    rows = docs.select(F.col(ident).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit(NO_HOST)).alias("host"),
-                       F.xxhash64(F.col(text)).alias("content"), F.col(text).alias("text"))
-    kind = docs.schema[ident].dataType.simpleString()
-    base = rows.mapInPandas(_measure, f"id {kind}, host string, content bigint, n_words bigint, word_chars bigint, n_symbols bigint, "
-                                      "n_dup_lines bigint, n_repeat_words bigint")
+def _keyed(docs: DataFrame, text: str, host: str, *more: Column) -> DataFrame:
+    return docs.select(*more, F.coalesce(F.col(host).cast("string"), F.lit(NO_HOST)).alias("host"), F.xxhash64(F.col(text)).alias("content"), F.col(text).alias("text"))
+
+
+def _counted(rows: DataFrame, min_docs: int, min_percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(host, line, content, n, words) of each line in one text; (host, content, copies); (host, line) of the frequent lines."""
     each = rows.select("host", "content", F.explode(F.split("text", "\n")).alias("line")).select("host", "content", normal_line(F.col("line")).alias("line"))
     each = each.where("line != ''").select("host", "content", F.xxhash64("line").alias("line"),
                                            (F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).alias("words"))
@@ -87,7 +85,30 @@ def line_rules(docs: DataFrame, ident: str = "doc_id", text: str = "text", host:
     seen = rows.groupBy("host", "content").agg(F.count(F.lit(1)).alias("copies"))
     size = seen.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     often = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("in_docs")).where(F.col("in_docs") >= min_docs).join(size, "host")
-    often = often.where(100 * F.col("in_docs") >= min_percent * F.col("docs")).select("host", "line")
+    return once, seen, often.where(100 * F.col("in_docs") >= min_percent * F.col("docs")).select("host", "line")
+
+
+def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_percent: int = MIN_PERCENT) -> DataFrame:
+    """(host, line): hashes of the normalised lines above both limits, as ``strip_lines`` takes them."""
+    return _counted(_keyed(docs, text, host), min_docs, min_percent)[2]
+
+
+def clean_lines(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_percent: int = MIN_PERCENT) -> DataFrame:
+    """The rows with frequent lines removed from the text, and ``removed_words``, counted as the words that the text lost."""
+    count = lambda t: F.size(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    had = docs.withColumn("_words", count(F.col(text)))
+    out = strip_lines(had, frequent_lines(docs, text, host, min_docs, min_percent), text, host)
+    return out.withColumn("removed_words", (F.col("_words") - count(F.col(text))).cast("long")).drop("_words")
+
+
+def line_rules(docs: DataFrame, ident: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS,
+               min_percent: int = MIN_PERCENT, keep_percent: int = KEEP_PERCENT) -> DataFrame:
+    """One row per text: id, host, the base measures, ``base_failed``, ``removed_words`` (in frequent lines) and ``kept``."""
+    rows = _keyed(docs, text, host, F.col(ident).alias("id"))
+    kind = docs.schema[ident].dataType.simpleString()
+    base = rows.mapInPandas(_measure, f"id {kind}, host string, content bigint, n_words bigint, word_chars bigint, n_symbols bigint, "
+                                      "n_dup_lines bigint, n_repeat_words bigint")
+    once, seen, often = _counted(rows, min_docs, min_percent)
     gone = once.join(often, ["host", "line"]).groupBy("host", "content").agg(F.sum(F.col("n") * F.col("words")).alias("all_removed"))
     gone = gone.join(seen, ["host", "content"]).select("host", "content", F.expr("all_removed div copies").alias("removed_words"))
     out = base.join(gone, ["host", "content"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
@@ -100,7 +121,7 @@ def line_rules(docs: DataFrame, ident: str = "doc_id", text: str = "text", host:
 
 def strip_lines(docs: DataFrame, often: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The texts without the lines of ``often`` (host, line hash), line ends kept; one row per input row."""
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "strip")  # numbered once, read twice
     each = keyed.select("_row", F.coalesce(F.col(host).cast("string"), F.lit(NO_HOST)).alias("_host"),
                         F.posexplode(F.split(text, "\n")).alias("_at", "_line"))
     mark = often.select(F.col("host").alias("_host"), F.col("line").alias("_hash"))

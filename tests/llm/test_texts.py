@@ -77,6 +77,17 @@ def test_line_rules(spark):
     assert line_rules.line_rules(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_frequent_lines_are_removed_from_the_text(spark):
+    rng = random.Random(13)
+    own = [words(rng, 60) for _ in range(25)]
+    texts = hard_texts(rng) + [f"Site  notice no {d}\n\n{t}\nsite notice no 7" for d, t in enumerate(own)] + ["site notice no 1"]
+    docs = frame(spark, texts, None)
+    out = {r.doc_id: r for r in line_rules.clean_lines(docs).collect()}
+    assert [out[d].text for d in range(len(texts))] == texts[:11] + [f"\n{t}" for t in own] + [""]
+    assert {d: r.removed_words for d, r in out.items()} == {r.doc_id: r.removed_words for r in line_rules.line_rules(docs).collect()}
+    assert {out[d].removed_words for d in range(11, 36)} == {8} and out[36].removed_words == 4
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     items = [words(rng, 25, 300), words(rng, 10, 300), words(rng, 4, 300), "", None, words(rng, 25, 300)]
