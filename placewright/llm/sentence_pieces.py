@@ -7,8 +7,8 @@ without a piece.
 
 A normalised text falls into units: a run of markers and what follows it. No piece of the model reaches over the start
 of a unit (checked when the model is read; otherwise the text is one unit), so each unit is encoded once per task and
-kept in a bounded table, in batches on several threads. Parity: every unit that is encoded is also encoded by
-the sentencepiece library and the ids compared; a text is marked ``parity`` only if all its units agree.
+kept in a bounded table, in batches on several threads. Parity: every text is also encoded whole by
+the sentencepiece library, and its ids are compared with the joined ids of the units.
 
 Empty and null texts have no tokens. Each input row gives one output row; other columns are not carried. One pass without
 shuffle; memory in a task is bounded by one block of text and the unit table (``UNITS`` entries of at most ``LONGEST``
@@ -177,7 +177,7 @@ def encode_texts(df: DataFrame, ident: str = "doc_id", text: str = "text", model
                  threads: int = 2) -> DataFrame:
     """(id, ids, n_bytes, round_trip, parity) per row.
 
-    ``round_trip``: the ids decode to the normalised text (a literal marker counts as the blank that the model makes of it).
+    ``round_trip``: the decoded ids give the text back (a literal marker counts as the blank that the model makes of it).
     The model file, a parameter, is read once by the driver and sent to tasks (its size is that of a vocabulary).
     """
     with open(model_path or default_model(), "rb") as f:
@@ -194,7 +194,7 @@ def encode_texts(df: DataFrame, ident: str = "doc_id", text: str = "text", model
         backend = Backend(read_model(sent.value))
         other = sentencepiece.SentencePieceProcessor(model_proto=sent.value) if check else None
         known: dict[str, bytes] = {}  # ids as 32-bit numbers: plain bytes, which the collector of Python has no need to visit
-        unlike: dict[str, tuple[bool, bool]] = {}  # units that don't come back, or that the two libraries encode unlike
+        unlike: dict[str, str] = {}  # the decoded text of units that don't come back
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
@@ -206,15 +206,17 @@ def encode_texts(df: DataFrame, ident: str = "doc_id", text: str = "text", model
                     known, unlike, fresh = {}, {}, list(seen)
                 made = backend.encode(fresh)
                 back = backend.tokenizer.decode_batch(made, skip_special_tokens=False)
-                told = _reference(other, fresh, backend.model) if check else made
-                unlike.update((u, (t == u.replace(MARK, " "), a == b)) for u, a, t, b in zip(fresh, made, back, told)
-                              if a != b or t != u.replace(MARK, " "))
+                told = other.encode(texts, num_threads=threads) if check else [None] * len(texts)
+                unlike.update((u, t) for u, t in zip(fresh, back) if t != u.replace(MARK, " "))
                 known.update((u, array("i", a).tobytes()) for u, a in zip(fresh, made))
                 rows = []
-                for t, units in zip(texts, cut):
+                for t, units, ref in zip(texts, cut, told):
                     ids = np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32)
-                    odd = [unlike[u] for u in unlike.keys() & set(units)] if unlike else []
-                    rows.append((ids, len(t.encode("utf-8", "surrogatepass")), all(o[0] for o in odd), all(o[1] for o in odd)))
+                    # units that come back are their own decoded text
+                    whole = ("".join([unlike.get(u, u) for u in units]) if unlike else "".join(units)).replace(MARK, " ")
+                    whole = whole[1:] if backend.model.dummy_prefix else whole
+                    rows.append((ids, len(t.encode("utf-8", "surrogatepass")), whole == t.replace(MARK, " "),
+                                 ref is None or np.array_equal(ids, np.array(ref, np.int32))))
                 for u in fresh:
                     if len(u) > LONGEST:
                         del known[u]
@@ -227,13 +229,6 @@ def encode_texts(df: DataFrame, ident: str = "doc_id", text: str = "text", model
     return rows.mapInArrow(encode, f"id {kind}, ids array<int>, n_bytes bigint, round_trip boolean, parity boolean").withColumnRenamed("id", ident)
 
 
-def _reference(other, units: list[str], model: Model) -> list[list[int]]:
-    """The units' ids by the sentencepiece library, which adds the dummy blank itself and gives nothing for no text."""
-    texts = [u.replace(MARK, " ") for u in units]
-    found = other.encode([t[1:] for t in texts] if model.dummy_prefix else texts)
-    return [ids if u != MARK or not model.dummy_prefix else [other.piece_to_id(MARK)] for u, ids in zip(units, found)]
-
-
 def decode_texts(df: DataFrame, ident: str = "doc_id", ids: str = "ids", model_path: str | None = None) -> DataFrame:
     """(id, text) of token ids; null or no ids give the empty text."""
     with open(model_path or default_model(), "rb") as f:

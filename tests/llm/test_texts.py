@@ -319,6 +319,19 @@ def test_sentence_pieces(spark):
     assert sentence_pieces.encode_texts(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_flags_compare_whole_texts(spark, tmp_path):
+    """A model that squeezes blanks does not give them back, so round_trip is false where blanks are lost."""
+    with open(sentence_pieces.default_model(), "rb") as f:
+        data = f.read()
+    path = tmp_path / "squeeze.model"
+    path.write_bytes(data + bytes([0x1A, 2, 0x20, 1]))  # normaliser flag 4: white space is squeezed
+    texts = ["a b", "a  b", " a b", "", "a b ", None]
+    assert sentence_pieces.read_model(path.read_bytes()).squeeze
+    out = {r.doc_id: r for r in sentence_pieces.encode_texts(frame(spark, texts), model_path=str(path)).collect()}
+    assert [out[d].round_trip for d in range(len(texts))] == [True, False, False, True, False, True]
+    assert all(r.parity for r in out.values())
+
+
 def test_unigram_model_is_rebuilt():
     """A small hand-made unigram model with byte fallback, serialised as the format has it."""
     import struct
