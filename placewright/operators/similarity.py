@@ -1,59 +1,112 @@
-"""Similarity joins through rare-element prefixes.
+"""Similarity joins whose keys grow more selective with the rows.
 
-Texts become sets of numbered q-grams (or words). Two texts close enough must share one of their rarest few
-elements, so an equi-join on those finds every pair; no block is ever multiplied with itself. The element
-frequencies are kept in an array of fixed size, whatever the table holds.
+Texts: a text of length l is cut into one segment more than the edits it allows; a close text has to hold one of them unchanged, near
+its place. So each text offers its own segments and asks for the pieces of itself that could be a segment of a text of its length
+or longer, and an equi-join on (length, segment number, piece) finds every pair. Sets: the rarest few elements of a set, by exact
+counts, and a pair has to share one of them at places that leave room for the wanted overlap. An element that only one
+row has can meet nothing and is never joined.
+
+Only ids and numbers travel with the keys; inside the join two bit signatures (letters and letter pairs) or places and sizes discard
+what cannot be close. Texts and sets are fetched for the pairs that are left, and compared exactly.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import gestalt_ratio, jaccard, let, levenshtein_ratio
+from ..functions.text import gestalt_ratio, jaccard, levenshtein_ratio
 from ..session import cut_lineage
 from .skew import HOT_ROWS, salted_join
 
-BUCKETS = 4096
+#: words of 64 bits of a signature
+LETTERS, PAIRS = 3, 3
+EPS = 1e-9
+
+
+def _edits(length: str, share: float) -> str:
+    """SQL: edits allowed in a text that is the longer one of its pair."""
+    return f"cast(floor({length} * {share!r}D + {EPS!r}D) as int)"
 
 
-def _bucket(element):
-    return F.pmod(F.xxhash64(element), F.lit(BUCKETS)).cast("int")
+def _segment(length: str, edits: str, i: str) -> tuple[str, str]:
+    """SQL: first place (from 1) and size of the i-th of edits + 1 segments; the last ones are the longer by one."""
+    base, short = f"cast(({length}) div ({edits} + 1) as int)", f"({edits} + 1 - ({length}) % ({edits} + 1))"
+    return f"(1 + ({i} - 1) * {base} + greatest(0, {i} - 1 - {short}))", f"({base} + if({i} > {short}, 1, 0))"
 
 
-def _bucket_counts(rows: DataFrame, elements: str):
-    """How often each hash bucket of elements occurs, as a constant array of BUCKETS numbers.
+def _own_keys(rows: DataFrame, block: str, *carry: Column) -> DataFrame:
+    """Keys of the segments of each text (_t of length _n with _k edits)."""
+    at, size = _segment("_n", "_k", "_i")
+    cut = rows.where("_k > 0").select("*", F.expr("explode(sequence(1, _k + 1))").alias("_i"))
+    return cut.select(F.expr(f"xxhash64({block}_n, _i, substring(_t, {at}, {size}))").alias("_key"), *carry)
 
-    The count is combined on the map side; only BUCKETS numbers reach the driver, whatever the table holds.
-    Buckets merely order the elements, so a shared bucket costs speed, never a pair.
+
+def _asked_keys(rows: DataFrame, block: str, share: float, *carry: Column) -> DataFrame:
+    """Keys of the pieces of each text that could be a segment of a text of the same length or of a longer one.
+
+    A piece lies at most i - 1 places from the i-th segment seen from the left, and as many as there are segments behind
+    it seen from the right: errors on that side are fewer, or another segment matches.
     """
-    found = rows.select(F.explode(elements).alias("_e")).groupBy(_bucket("_e").alias("b")).count().collect()
-    counts = ["0"] * BUCKETS
-    for b, n in found:
-        counts[b] = str(n)
-    return F.split(F.lit(",".join(counts)), ",").cast("array<bigint>")
+    at, size = _segment("_l", "_m", "_i")
+    lengths = rows.select("*", F.expr("explode(sequence(_n, _n + _far))").alias("_l")).withColumn("_m", F.expr(_edits("_l", share))).where("_l - _n <= _m and _m > 0")
+    cut = lengths.select("*", F.expr("explode(sequence(1, _m + 1))").alias("_i")).withColumns({"_at": F.expr(at), "_size": F.expr(size)})
+    near = cut.withColumns({"_low": F.expr("greatest(1, _at - (_i - 1), _at + _n - _l - (_m + 1 - _i))"),
+                            "_high": F.expr("least(_n - _size + 1, _at + (_i - 1), _at + _n - _l + (_m + 1 - _i))")}).where("_low <= _high")
+    return near.select("*", F.expr("explode(sequence(_low, _high))").alias("_p")).select(F.expr(f"xxhash64({block}_l, _i, substring(_t, _p, _size))").alias("_key"), *carry)
+
 
+def _bits(places: str, words: int) -> list[Column]:
+    """Numbers of bits as 64-bit words."""
+    return [F.expr(f"aggregate(filter({places}, b -> b div 64 = {w}), 0L, (a, b) -> a | shiftleft(1L, cast(b % 64 as int)))") for w in range(words)]
 
-def _rare_prefix(rows: DataFrame, carry: list[str], elements: str, length: str) -> DataFrame:
-    """One row per element of the rarest-first prefix of each row, without a shuffle."""
-    counts = _bucket_counts(rows, elements)
-    ranked = F.array_sort(F.transform(elements, lambda e: F.struct(F.get(counts, _bucket(e)).alias("f"), e.alias("e"))))
-    head = F.slice(ranked, F.lit(1), F.least(F.col(length), F.size(elements)))
-    return rows.select(*carry, F.explode(head).alias("_h")).select(*carry, F.col("_h.e").alias("_e"))
 
+def with_signature(df: DataFrame, text: str = "_t", signature: str = "_s") -> DataFrame:
+    """Adds bits of which one edit turns at most two (numbered letters, first words) or four (letter pairs, last words)."""
+    letters = (f"flatten(transform(array_distinct(split({text}, '')), c -> if(c = '', cast(array() as array<string>), transform(sequence(1, "
+               f"least(4, length({text}) - length(replace({text}, c, '')))), j -> concat(c, j)))))")
+    pairs = f"array_distinct(transform(sequence(1, greatest(1, length({text}) - 1)), p -> substring({text}, p, 2)))"
+    placed = df.withColumns({f"_b{i}": F.expr(f"transform({e}, e -> pmod(xxhash64(e), {64 * n}))") for i, (e, n) in enumerate([(letters, LETTERS), (pairs, PAIRS)])})
+    return placed.withColumn(signature, F.array(*_bits("_b0", LETTERS), *_bits("_b1", PAIRS))).drop("_b0", "_b1")
 
-def _numbered_grams(text: str, q: int):
-    n = F.length(text) - q + 1
-    grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                                     lambda i: F.substr(F.col(text), i, F.lit(q))))
-    return let(grams, lambda gs: F.transform(
-        gs, lambda g, i: F.concat(g, F.lit("#"), (i + 1 - F.array_position(gs, g)).cast("string"))))
 
+def _turned(a: str, b: str, first: int, words: int) -> Column:
+    return sum((F.bit_count(F.get(a, F.lit(w)).bitwiseXOR(F.get(b, F.lit(w)))) for w in range(first, first + words)), F.lit(0))
 
-def _pairs(prefix: DataFrame, carry: list[str], block: list[str], at_least: int) -> DataFrame:
-    rest = [c for c in carry if c not in block]
-    left = prefix.select(*block, "_e", *[F.col(c).alias(f"{c}_a") for c in rest])
-    right = prefix.select(*block, "_e", *[F.col(c).alias(f"{c}_b") for c in rest])
-    return salted_join(left, right, [*block, "_e"], [f"{rest[0]}_a"], "inner", at_least)
+
+def text_candidates(nodes: DataFrame, share: float, block: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Distinct pairs (id_a, id_b) of nodes (_id, _t, block columns) that may lie within ``share`` of the longer length in edits."""
+    prefix = "".join(f"{b}, " for b in block)
+    # dealt out by number: a row becomes many keys, so its bytes say little about its work
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.repartition(parts, "_id").withColumn("_n", F.length("_t")).withColumn("_k", F.expr(_edits("_n", share)))
+    rows = rows.withColumn("_far", F.expr(f"cast(floor(_n * {share / (1 - share)!r}D + {EPS!r}D) as int)")).where("_k + _far > 0")
+    rows = cut_lineage(with_signature(rows))
+    own = _own_keys(rows, prefix, F.col("_id").alias("_id_a"), F.col("_n").alias("_n_a"), F.col("_k"), F.col("_s").alias("_s_a"))
+    asked = _asked_keys(rows, prefix, share, F.col("_id").alias("_id_b"), F.col("_n").alias("_n_b"), F.col("_s").alias("_s_b"))
+    met = salted_join(own, asked, ["_key"], ["_id_a"], "inner", hot_rows)
+    near = (((F.col("_n_b") < F.col("_n_a")) | (F.col("_id_b") < F.col("_id_a"))) & (F.col("_n_a") - F.col("_n_b") <= F.col("_k")) & (F.col("_n_b") <= F.col("_n_a"))
+            & (_turned("_s_a", "_s_b", 0, LETTERS) <= 2 * F.col("_k")) & (_turned("_s_a", "_s_b", LETTERS, PAIRS) <= 4 * F.col("_k")))
+    return met.where(near).select(F.least("_id_a", "_id_b").alias("id_a"), F.greatest("_id_a", "_id_b").alias("id_b")).distinct()
+
+
+def _nodes(rows: DataFrame, value: Column, block: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with a hash of block and value, one row per block and value, the values that several rows share with their smallest id).
+
+    Rows are read several times, so they are stored once and the source is not scanned and normalised again.
+    """
+    for b in block:
+        rows = rows.where(F.col(b).isNotNull())
+    rows = cut_lineage(rows.withColumn("_key", F.unhex(F.sha2(F.to_json(F.struct(*block, value.alias("_v"))).cast("binary"), 256))))
+    firsts = cut_lineage(rows.groupBy("_key").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies")))
+    nodes = rows.join(firsts.select(F.col("_key"), F.col("_first").alias("_id")), ["_key", "_id"], "left_semi").drop("_key")
+    return rows, nodes, firsts.where("_copies > 1")
+
+
+def _fetched(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """Pairs with the values of both sides."""
+    one = rows.select(F.col("_id").alias("id_a"), F.col(value).alias("_v_a"))
+    two = rows.select(F.col("_id").alias("id_b"), F.col(value).alias("_v_b"))
+    return pairs.join(one, "id_a").join(two, "id_b")
 
 
 def similar_texts(df: DataFrame, ident: str, text: str, ratio: float, block: list[str] | None = None,
@@ -61,41 +114,51 @@ def similar_texts(df: DataFrame, ident: str, text: str, ratio: float, block: lis
     """Pairs (id_a, id_b, score) with id_a < id_b whose ratio reaches the threshold, complete.
 
     Equal texts are one node, named by their smallest id; with ``copies`` each other copy is linked to it (score 1).
-    ``metric`` is levenshtein (1 - distance / longer length) or gestalt (2 * matching / total length).
+    ``metric`` is levenshtein (1 - distance / longer length; any ratio) or gestalt (2 * matching / total length; above one half).
     """
-    floor = {"levenshtein": 0.80, "gestalt": 0.86}[metric]
-    if not floor <= ratio < 1:
-        raise ValueError(f"{metric} ratio must lie in [{floor}, 1)")
+    if not (0 if metric == "levenshtein" else 0.5) < ratio < 1:
+        raise ValueError("a ratio lies between 0 (gestalt: one half) and 1")
     block = block or []
-    rows = df.where((F.coalesce(F.col(text), F.lit("")) != "")).select(ident, *block, F.col(text).alias("_t"))
-    for b in block:
-        rows = rows.where(F.col(b).isNotNull())
-    # read several times below: stored once, so that the source is not scanned and normalised again
-    nodes = cut_lineage(rows.groupBy(*block, "_t").agg(F.min(ident).alias("_id"), F.count(F.lit(1)).alias("_copies")))
-    factor = (1 - ratio) / ratio * (2 if metric == "gestalt" else 1)
-    q = 3 if metric == "levenshtein" and ratio >= 0.84 else 2
-    carry = ["_id", *block, "_t", "_k"]
-    wide = (nodes.withColumn("_k", F.floor(F.length("_t") * F.lit(factor) + 1e-9).cast("int")).where("_k > 0")
-            .withColumn("_len", (F.col("_k") * q + 1).cast("int")).withColumn("_g", _numbered_grams("_t", q)))
-    cand = _pairs(_rare_prefix(wide, carry, "_g", "_len"), carry, block, hot_rows)
-    gap = F.abs(F.length("_t_a") - F.length("_t_b"))
-    cand = cand.where((F.col("_id_a") < F.col("_id_b")) & (gap <= F.least("_k_a", "_k_b")))
+    rows, nodes, copied = _nodes(df.where((F.coalesce(F.col(text), F.lit("")) != "")).select(F.col(ident).alias("_id"), *block, F.col(text).alias("_t")), F.col("_t"), block)
+    # what does not match is inserted or deleted, so two texts lie within twice that share of the longer one
+    share = (1 - ratio) * (1 if metric == "levenshtein" else 2)
+    both = _fetched(text_candidates(nodes, share, block, hot_rows), rows, "_t")
     if metric == "levenshtein":
-        close = cand.withColumn("score", levenshtein_ratio("_t_a", "_t_b"))
+        close = both.withColumn("score", levenshtein_ratio("_v_a", "_v_b"))
     else:
-        cand = cand.dropDuplicates(["_id_a", "_id_b"])
-        close = cand.withColumn("score", gestalt_ratio("_t_a", "_t_b"))
-    found = (close.where(F.col("score") >= ratio).select(F.col("_id_a").alias("id_a"), F.col("_id_b").alias("id_b"), "score")
-             .dropDuplicates(["id_a", "id_b"]))
-    return found.unionByName(copy_links(rows, nodes, ident, [*block, "_t"], hot_rows)) if copies else found
+        close = both.withColumn("score", gestalt_ratio("_v_a", "_v_b"))
+    found = close.where(F.col("score") >= ratio).select("id_a", "id_b", "score")
+    return found.unionByName(copy_links(rows, copied, hot_rows)) if copies else found
+
 
+def copy_links(rows: DataFrame, copied: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Each further row of a value linked to the smallest id that has it."""
+    linked = salted_join(rows.select("_id", "_key"), copied, ["_key"], ["_id"], "inner", hot_rows, hot=copied.where(F.col("_copies") >= hot_rows).select("_key"))
+    return linked.where(F.col("_id") != F.col("_first")).select(F.col("_first").alias("id_a"), F.col("_id").alias("id_b"), F.lit(1.0).alias("score"))
 
-def copy_links(rows: DataFrame, nodes: DataFrame, ident: str, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Each further copy linked to the smallest id of its key."""
-    many = nodes.where("_copies > 1").select(*keys, "_id")
-    linked = salted_join(rows, many, keys, [ident], "inner", hot_rows)
-    return linked.where(F.col(ident) != F.col("_id")).select(
-        F.col("_id").alias("id_a"), F.col(ident).alias("id_b"), F.lit(1.0).alias("score"))
+
+def set_candidates(nodes: DataFrame, above: float, block: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Distinct pairs (id_a, id_b) of nodes (_id, _w, block columns) whose Jaccard index may exceed ``above``.
+
+    Elements are 64-bit hashes (of block and element), ordered by how many nodes hold them. Elements of one node alone stand
+    first in that order and use up places of the prefix without being joined.
+    """
+    prefix = "".join(f"{b}, " for b in block)
+    single = cut_lineage(nodes.select("_id", F.size("_w").alias("_n"), F.explode(F.expr(f"transform(_w, e -> xxhash64({prefix}e))")).alias("_e")))
+    counts = single.groupBy("_e").agg(F.count(F.lit(1)).alias("_f")).where("_f > 1")
+    counts = cut_lineage(counts)
+    hot = counts.where(F.col("_f") >= hot_rows).select("_e")
+    held = salted_join(single, counts, ["_e"], ["_id"], "inner", hot_rows, hot=hot)
+    ranked = held.groupBy("_id", "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_e"))).alias("_h"))
+    # the places before the first shared element belong to elements of one node
+    ranked = ranked.withColumn("_lone", F.col("_n") - F.size("_h")).withColumn("_len", (F.col("_n") - F.ceil(F.col("_n") * F.lit(above)) + 1).cast("int"))
+    keyed = cut_lineage(ranked.where("_len > _lone").select("_id", "_n", "_lone", F.posexplode(F.slice("_h", F.lit(1), F.col("_len") - F.col("_lone"))).alias("_p", "_x"))
+                        .select("_id", "_n", (F.col("_p") + F.col("_lone")).alias("_p"), F.col("_x._e").alias("_e")))
+    left, right = (keyed.select("_e", F.col("_id").alias(f"_id_{s}"), F.col("_n").alias(f"_n_{s}"), F.col("_p").alias(f"_p_{s}")) for s in "ab")
+    n, m = F.col("_n_a"), F.col("_n_b")
+    room = F.least(n - F.col("_p_a"), m - F.col("_p_b"))
+    fits = (F.col("_id_a") < F.col("_id_b")) & (F.least(n, m) >= F.greatest(n, m) * F.lit(above) - EPS) & (room >= (n + m) * F.lit(above / (1 + above)) - EPS)
+    return salted_join(left, right, ["_e"], ["_id_a"], "inner", hot_rows, hot=hot).where(fits).select(F.col("_id_a").alias("id_a"), F.col("_id_b").alias("id_b")).distinct()
 
 
 def similar_sets(df: DataFrame, ident: str, words: str, above: float, block: list[str] | None = None,
@@ -105,19 +168,10 @@ def similar_sets(df: DataFrame, ident: str, words: str, above: float, block: lis
     Equal sets are one node; copies are linked to the smallest id.
     """
     block = block or []
-    rows = df.select(ident, *block, F.array_sort(F.array_distinct(words)).alias("_w")).where(F.size("_w") > 0)
-    for b in block:
-        rows = rows.where(F.col(b).isNotNull())
-    nodes = cut_lineage(rows.groupBy(*block, "_w").agg(F.min(ident).alias("_id"), F.count(F.lit(1)).alias("_copies")))
-    size = F.size("_w")
-    wide = nodes.withColumn("_len", (size - F.ceil(size * F.lit(above)) + 1).cast("int"))
-    carry = ["_id", *block, "_w"]
-    cand = _pairs(_rare_prefix(wide, carry, "_w", "_len"), carry, block, hot_rows)
-    n, m = F.size("_w_a"), F.size("_w_b")
-    cand = cand.where((F.col("_id_a") < F.col("_id_b")) & (F.least(n, m) >= F.greatest(n, m) * F.lit(above)))
-    found = (cand.withColumn("score", jaccard("_w_a", "_w_b")).where(F.col("score") > above)
-             .select(F.col("_id_a").alias("id_a"), F.col("_id_b").alias("id_b"), "score").dropDuplicates(["id_a", "id_b"]))
-    return found.unionByName(copy_links(rows, nodes, ident, [*block, "_w"], hot_rows))
+    rows, nodes, copied = _nodes(df.select(F.col(ident).alias("_id"), *block, F.sort_array(F.array_distinct(words)).alias("_w")).where(F.size("_w") > 0), F.col("_w"), block)
+    both = _fetched(set_candidates(nodes, above, block, hot_rows), rows, "_w")
+    found = both.withColumn("score", jaccard("_v_a", "_v_b")).where(F.col("score") > above).select("id_a", "id_b", "score")
+    return found.unionByName(copy_links(rows, copied, hot_rows))
 
 
 def contains_lookup(df: DataFrame, ident: str, text: str, dim: DataFrame, key: str, order: str, values: list[str],

@@ -270,3 +270,31 @@ def test_search_terms(spark):
     df = spark.createDataFrame([(1, "jazz bar bar", None), (2, "jazz", None), (3, None, ["bar", "Jazz"]), (4, None, None)], "id long, t string, g array<string>")
     p, n = search.build_postings(df, "id", ["t"], ["g"]), search.collection_size(df, "id", ["t"], ["g"])
     assert {r["id"] for r in search.match_all(p, n, "Jazz bar").collect()} == {1, 3} and search.match_all(p, n, " ").count() == 0
+
+
+def test_similar_texts_low_ratio(spark):
+    texts = names(60, 9) + ["a", "b", "ab", "abc", "xabc", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {tuple(r) for r in similarity.similar_texts(df, "id", "t", 0.6, hot_rows=HOT).select("id_a", "id_b").collect()}
+    want = expect_pairs(texts, lambda a, b: a and b and 1 - lev(a, b) / max(len(a), len(b)) >= 0.6)
+    assert got == want
+
+
+def test_candidates_grow_with_the_rows(spark):
+    """Ten times the rows, under fifteen times the candidates: texts of random letters with a common tail, sets of common and rare words."""
+    def letters(n):
+        rnd = random.Random(n)
+        stems = ["".join(rnd.choice("aeioubdfgklmnprs") for _ in range(13)) for _ in range(n // 2)]
+        return [(i, s + end) for i, s in enumerate(s for stem in stems for s in (stem, stem + "s")) for end in [" bar"]]
+
+    def sets(n):
+        rnd = random.Random(n)
+        base = [[f"c{rnd.randrange(50)}" for _ in range(10)] + [f"r{rnd.randrange(20 * n)}" for _ in range(30)] for _ in range(n // 2)]
+        return [(i, w) for i, w in enumerate(w for b in base for w in (b, b[:-1] + ["other"]))]
+    count = {}
+    for n in (400, 4000):
+        texts = spark.createDataFrame(letters(n), "_id long, _t string")
+        words = spark.createDataFrame(sets(n), "_id long, w array<string>").select("_id", F.array_distinct("w").alias("_w"))
+        count[n] = (similarity.text_candidates(texts, 0.14, []).count(), similarity.set_candidates(words, 0.8, []).count())
+    for small, large in zip(count[400], count[4000]):
+        assert small >= 200 and large < 15 * small
