@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(df: DataFrame, ident: str) -> tuple[Column, Callable[[str], Column]]:
+    """An id as text, and the way back: a null among whole numbers would turn a pandas column into floats and lose digits."""
+    kind = df.schema[ident].dataType
+    if kind.simpleString() == "binary":
+        return F.hex(ident), lambda c: F.unhex(c)
+    return F.col(ident).cast("string"), lambda c: F.col(c).cast(kind)
+
+
 def folded(i, modulus: int) -> Column:
     """crc32 of the id as text, modulo a number."""
     return F.crc32(F.col(i).cast("string").cast("binary")) % modulus

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import carried, stored, table
 from .words import ALNUM_LOWER, Words, blocks, shingles
 
 WINDOW, SHINGLE, BITS = 10, 5, 23
@@ -126,9 +126,10 @@ def _candidates(docs: DataFrame, ident: str, text: str, wanted: np.ndarray, shor
                                          "near": [w.word(i).decode("utf-8", "replace") for i in range(a, b)]})
                 part = batch.iloc[at:at + len(held)]
                 yield pd.DataFrame({"row": part["row"], "id": part["id"], "n_words": w.counts, "c": found})
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("id"), F.col(text).alias("text"))
-    kind = docs.schema[ident].dataType.simpleString()
-    return rows.mapInPandas(find, f"row bigint, id {kind}, n_words bigint, c array<struct<shingle:bigint,pos:int,before:int,near:array<string>>>")
+    said, back = carried(docs, ident)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), said.alias("id"), F.col(text).alias("text"))
+    found = rows.mapInPandas(find, "row bigint, id string, n_words bigint, c array<struct<shingle:bigint,pos:int,before:int,near:array<string>>>")
+    return found.withColumn("id", back("id"))
 
 
 def covered(spans: Column) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import stored, table
+from .common import carried, stored, table
 from .words import WHITE_LOWER, Words, blocks, mix
 
 BUCKETS, BANDS, ROWS, MANTISSA = 256, 64, 8, 10
@@ -128,9 +128,9 @@ def sketches(docs: DataFrame, ident: str, text: str, words: int) -> DataFrame:
                 yield pd.DataFrame({"id": batch["id"].iloc[at:at + len(held)], "n": n, "sum": (total[first[1:]] - total[first[:-1]]).view(np.int64),
                                     "xor": parity.view(np.int64), "registers": [r.tobytes() for r in reg],
                                     "bits": list(np.packbits(reg & 1, axis=1).view(np.int64))})
-    kind = docs.schema[ident].dataType.simpleString()
-    return docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).mapInPandas(
-        make, f"id {kind}, n bigint, sum bigint, xor bigint, registers binary, bits array<bigint>")
+    said, back = carried(docs, ident)
+    return docs.select(said.alias("id"), F.col(text).alias("text")).mapInPandas(
+        make, "id string, n bigint, sum bigint, xor bigint, registers binary, bits array<bigint>").withColumn("id", back("id"))
 
 
 def bands(classes: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import carried, stored, table
 from .words import WHITE, Words, blocks, shingles
 
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -96,17 +96,16 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", mi
 def clean_lines(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_percent: int = MIN_PERCENT) -> DataFrame:
     """The rows with frequent lines removed from the text, and ``removed_words``, counted as the words that the text lost."""
     count = lambda t: F.size(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    had = docs.withColumn("_words", count(F.col(text)))
-    out = strip_lines(had, frequent_lines(docs, text, host, min_docs, min_percent), text, host)
-    return out.withColumn("removed_words", (F.col("_words") - count(F.col(text))).cast("long")).drop("_words")
+    out = _stripped(docs, frequent_lines(docs, text, host, min_docs, min_percent), text, host)
+    return out.select(*_replaced(docs, text), (count(F.col(f"r.{text}")) - count(F.col("t"))).cast("long").alias("removed_words"))
 
 
 def line_rules(docs: DataFrame, ident: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS,
                min_percent: int = MIN_PERCENT, keep_percent: int = KEEP_PERCENT) -> DataFrame:
     """One row per text: id, host, the base measures, ``base_failed``, ``removed_words`` (in frequent lines) and ``kept``."""
-    rows = _keyed(docs, text, host, F.col(ident).alias("id"))
-    kind = docs.schema[ident].dataType.simpleString()
-    base = rows.mapInPandas(_measure, f"id {kind}, host string, content bigint, n_words bigint, word_chars bigint, n_symbols bigint, "
+    said, back = carried(docs, ident)
+    rows = _keyed(docs, text, host, said.alias("id"))
+    base = rows.mapInPandas(_measure, "id string, host string, content bigint, n_words bigint, word_chars bigint, n_symbols bigint, "
                                       "n_dup_lines bigint, n_repeat_words bigint")
     once, seen, often = _counted(rows, min_docs, min_percent)
     gone = once.join(often, ["host", "line"]).groupBy("host", "content").agg(F.sum(F.col("n") * F.col("words")).alias("all_removed"))
@@ -115,20 +114,29 @@ def line_rules(docs: DataFrame, ident: str = "doc_id", text: str = "text", host:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * left >= keep_percent * F.col("n_words"))).select(
-        F.col("id").alias(ident), F.nullif("host", F.lit(NO_HOST)).alias(host), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        back("id").alias(ident), F.nullif("host", F.lit(NO_HOST)).alias(host), "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", "base_failed", "removed_words", "kept")
 
 
 def strip_lines(docs: DataFrame, often: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The texts without the lines of ``often`` (host, line hash), line ends kept; one row per input row."""
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "strip")  # numbered once, read twice
-    each = keyed.select("_row", F.coalesce(F.col(host).cast("string"), F.lit(NO_HOST)).alias("_host"),
-                        F.posexplode(F.split(text, "\n")).alias("_at", "_line"))
-    mark = often.select(F.col("host").alias("_host"), F.col("line").alias("_hash"))
-    kept = each.withColumn("_hash", F.xxhash64(normal_line(F.col("_line")))).join(mark, ["_host", "_hash"], "left_anti")
-    made = kept.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_line"))).alias("_l"))
-    made = made.select("_row", F.array_join(F.transform("_l", lambda x: x["_line"]), "\n").alias("_t"))
-    return keyed.join(made, "_row", "left").withColumn(text, F.when(F.col(text).isNotNull(), F.coalesce("_t", F.lit("")))).drop("_row", "_t")
+    """The texts without the lines of ``often`` (host, line hash), line ends kept; one row per input row, other columns as they were."""
+    return _stripped(docs, often, text, host).select(*_replaced(docs, text))
+
+
+def _replaced(docs: DataFrame, text: str) -> list[Column]:
+    return [F.col("t").alias(c) if c == text else F.col(f"r.`{c}`").alias(c) for c in docs.columns]
+
+
+def _stripped(docs: DataFrame, often: DataFrame, text: str, host: str) -> DataFrame:
+    """(r, t): whole rows as one value, so that no name can clash, and their texts without the frequent lines."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), whole.alias("r")), "strip")  # numbered once, read twice
+    each = keyed.select("row", F.coalesce(F.col(f"r.`{host}`").cast("string"), F.lit(NO_HOST)).alias("host"),
+                        F.posexplode(F.split(F.col(f"r.`{text}`"), "\n")).alias("at", "said"))
+    kept = each.withColumn("line", F.xxhash64(normal_line(F.col("said")))).join(often.select("host", "line"), ["host", "line"], "left_anti")
+    made = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "said"))).alias("l"))
+    made = made.select("row", F.array_join(F.transform("l", lambda x: x["said"]), "\n").alias("left_over"))
+    return keyed.join(made, "row", "left").select("r", F.when(F.col(f"r.`{text}`").isNotNull(), F.coalesce("left_over", F.lit(""))).alias("t"))
 
 
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import carried, stored, table
 from .words import blocks, mix, spans_hash
 
 LENGTH, GRAM, BITS, CROWD = 200, 64, 25, 4096
@@ -221,11 +221,13 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; ``kept`` is the remaining bytes."""
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("id"), F.col(text).alias("text"))
+    said, back = carried(docs, ident)
+    # numbered once: spans are found and cut by the number, so both have to read the same rows
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), said.alias("id"), F.col(text).alias("text")), "numbered")
     spans = stored(repeated_intervals(keyed.select("row", "text"), length, crowd), "spans")
-    kind = docs.schema[ident].dataType.simpleString()
     joined = keyed.join(spans, "row", "left").select("id", "text", "spans")
-    return joined.mapInPandas(_cut, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").withColumnRenamed("id", ident)
+    done = joined.mapInPandas(_cut, "id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return done.select(back("id").alias(ident), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
 def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

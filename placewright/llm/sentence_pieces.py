@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import carried, table
 
 MARK = "▁"
 UNITS, LONGEST = 400_000, 64
@@ -238,8 +238,8 @@ def decode_texts(df: DataFrame, ident: str = "doc_id", ids: str = "ids", model_p
         backend = Backend(read_model(sent.value))
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "text": [backend.decode(list(x)) if x is not None and len(x) else "" for x in batch["ids"]]})
-    kind = df.schema[ident].dataType.simpleString()
-    return df.select(F.col(ident).alias("id"), F.col(ids).alias("ids")).mapInPandas(decode, f"id {kind}, text string").withColumnRenamed("id", ident)
+    said, back = carried(df, ident)
+    return df.select(said.alias("id"), F.col(ids).alias("ids")).mapInPandas(decode, "id string, text string").select(back("id").alias(ident), "text")
 
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
