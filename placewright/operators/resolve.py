@@ -74,6 +74,15 @@ def nearest_within(df: DataFrame, x: str, y: str, tolerance: float, seq: str = "
 STRATEGIES = ["identity", "fuzzy", "address", "geo"]
 
 
+def match_parts(base: DataFrame, seq: str, name_ratio: float, tolerance: float, block: list[str], metric: str = "levenshtein", hot_rows: int = HOT_ROWS) -> list[DataFrame]:
+    """(seq, match, score) of each strategy in their order; of a nearest point the score is its distance below zero."""
+    whole = F.lit(1.0).alias("score")
+    return [earliest_with_key(base, "match_key", seq, hot_rows).select(seq, "match", whole),
+            best_earlier_name(base, name_ratio, block, seq, metric, hot_rows),
+            earliest_with_key(base.where(F.col("match_address") != ""), "address_hash", seq, hot_rows).select(seq, "match", whole),
+            nearest_within(base, "geo_lat", "geo_lng", tolerance, seq, hot_rows=hot_rows).select(seq, "match", (-F.col("distance")).alias("score"))]
+
+
 def match_rows(df: DataFrame, seq: str = "seq", name_ratio: float = rules.FUZZY_NAME_RATIO,
                tolerance: float = rules.GEO_TOLERANCE, block_on: list[str] | None = None, metric: str = "levenshtein",
                hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -85,13 +94,7 @@ def match_rows(df: DataFrame, seq: str = "seq", name_ratio: float = rules.FUZZY_
     block = ["city"] if block_on is None else block_on
     # four strategies read the normalised columns: stored once
     base = cut_lineage(with_match_columns(df).select(seq, *[c for c in dict.fromkeys([*block, "match_name", "match_key", "match_address", "address_hash", "geo_lat", "geo_lng"])]))
-    parts = [
-        earliest_with_key(base, "match_key", seq, hot_rows),
-        best_earlier_name(base, name_ratio, block, seq, metric, hot_rows).select(seq, "match"),
-        earliest_with_key(base.where(F.col("match_address") != ""), "address_hash", seq, hot_rows),
-        nearest_within(base, "geo_lat", "geo_lng", tolerance, seq, hot_rows=hot_rows).select(seq, "match"),
-    ]
-    tagged = [p.withColumn("_s", F.lit(i)) for i, p in enumerate(parts)]
+    tagged = [p.select(seq, "match", F.lit(i).alias("_s")) for i, p in enumerate(match_parts(base, seq, name_ratio, tolerance, block, metric, hot_rows))]
     all_ = tagged[0]
     for t in tagged[1:]:
         all_ = all_.unionByName(t)

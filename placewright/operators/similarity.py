@@ -34,22 +34,39 @@ def _segment(length: str, edits: str, i: str) -> tuple[str, str]:
     return f"(1 + ({i} - 1) * {base} + greatest(0, {i} - 1 - {short}))", f"({base} + if({i} > {short}, 1, 0))"
 
 
-def _own_keys(rows: DataFrame, block: str, *carry: Column) -> DataFrame:
-    """Keys of the segments of each text (_t of length _n with _k edits)."""
-    at, size = _segment("_n", "_k", "_i")
-    cut = rows.where("_k > 0").select("*", F.expr("explode(sequence(1, _k + 1))").alias("_i"))
+def farthest(length: str, share: float) -> str:
+    """SQL: by how much the longest partner of a text is longer, which no number of edits between them exceeds."""
+    return f"cast(floor({length} * {share / (1 - share)!r}D + {EPS!r}D) as int)"
+
+
+def own_keys(rows: DataFrame, block: str, edits: str, *carry: Column) -> DataFrame:
+    """Keys of the segments of each text (_t of length _n), one more than its column of edits says."""
+    at, size = _segment("_n", edits, "_i")
+    cut = rows.where(f"{edits} > 0").select("*", F.expr(f"explode(sequence(1, {edits} + 1))").alias("_i"))
     return cut.select(F.expr(f"xxhash64({block}_n, _i, substring(_t, {at}, {size}))").alias("_key"), *carry)
 
 
-def _asked_keys(rows: DataFrame, block: str, share: float, *carry: Column) -> DataFrame:
-    """Keys of the pieces of each text that could be a segment of a text of the same length or of a longer one.
+def asked_keys(rows: DataFrame, block: str, share: float, *carry: Column) -> DataFrame:
+    """Keys of the pieces of each text that could be a segment of a text of the same length or of a longer one."""
+    lengths = rows.select("*", F.expr("explode(sequence(_n, _n + _far))").alias("_l")).withColumn("_m", F.expr(_edits("_l", share)))
+    return _pieces(lengths.where("_l - _n <= _m"), block, *carry)
+
+
+def asked_both_ways(rows: DataFrame, block: str, share: float, *carry: Column) -> DataFrame:
+    """The same for texts of any length, shorter ones too, cut for the most edits that any partner of theirs allows."""
+    least = f"cast(ceil(_n * {1 - share!r}D - {EPS!r}D) as int)"
+    lengths = rows.select("*", F.expr(f"explode(sequence({least}, _n + _far))").alias("_l")).withColumn("_m", F.expr(farthest("_l", share)))
+    return _pieces(lengths.where("abs(_l - _n) <= _m"), block, *carry)
+
+
+def _pieces(lengths: DataFrame, block: str, *carry: Column) -> DataFrame:
+    """Keys of the pieces of texts that could be a segment of a text of length _l cut for _m edits.
 
     A piece lies at most i - 1 places from the i-th segment seen from the left, and as many as there are segments behind
     it seen from the right: errors on that side are fewer, or another segment matches.
     """
     at, size = _segment("_l", "_m", "_i")
-    lengths = rows.select("*", F.expr("explode(sequence(_n, _n + _far))").alias("_l")).withColumn("_m", F.expr(_edits("_l", share))).where("_l - _n <= _m and _m > 0")
-    cut = lengths.select("*", F.expr("explode(sequence(1, _m + 1))").alias("_i")).withColumns({"_at": F.expr(at), "_size": F.expr(size)})
+    cut = lengths.where("_m > 0").select("*", F.expr("explode(sequence(1, _m + 1))").alias("_i")).withColumns({"_at": F.expr(at), "_size": F.expr(size)})
     near = cut.withColumns({"_low": F.expr("greatest(1, _at - (_i - 1), _at + _n - _l - (_m + 1 - _i))"),
                             "_high": F.expr("least(_n - _size + 1, _at + (_i - 1), _at + _n - _l + (_m + 1 - _i))")}).where("_low <= _high")
     return near.select("*", F.expr("explode(sequence(_low, _high))").alias("_p")).select(F.expr(f"xxhash64({block}_l, _i, substring(_t, _p, _size))").alias("_key"), *carry)
@@ -79,10 +96,10 @@ def text_candidates(nodes: DataFrame, share: float, block: list[str], hot_rows:
     # dealt out by number: a row becomes many keys, so its bytes say little about its work
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = nodes.repartition(parts, "_id").withColumn("_n", F.length("_t")).withColumn("_k", F.expr(_edits("_n", share)))
-    rows = rows.withColumn("_far", F.expr(f"cast(floor(_n * {share / (1 - share)!r}D + {EPS!r}D) as int)")).where("_k + _far > 0")
+    rows = rows.withColumn("_far", F.expr(farthest("_n", share))).where("_k + _far > 0")
     rows = cut_lineage(with_signature(rows))
-    own = _own_keys(rows, prefix, F.col("_id").alias("_id_a"), F.col("_n").alias("_n_a"), F.col("_k"), F.col("_s").alias("_s_a"))
-    asked = _asked_keys(rows, prefix, share, F.col("_id").alias("_id_b"), F.col("_n").alias("_n_b"), F.col("_s").alias("_s_b"))
+    own = own_keys(rows, prefix, "_k", F.col("_id").alias("_id_a"), F.col("_n").alias("_n_a"), F.col("_k"), F.col("_s").alias("_s_a"))
+    asked = asked_keys(rows, prefix, share, F.col("_id").alias("_id_b"), F.col("_n").alias("_n_b"), F.col("_s").alias("_s_b"))
     met = salted_join(own, asked, ["_key"], ["_id_a"], "inner", hot_rows)
     near = (((F.col("_n_b") < F.col("_n_a")) | (F.col("_id_b") < F.col("_id_a"))) & (F.col("_n_a") - F.col("_n_b") <= F.col("_k")) & (F.col("_n_b") <= F.col("_n_a"))
             & (_turned("_s_a", "_s_b", 0, LETTERS) <= 2 * F.col("_k")) & (_turned("_s_a", "_s_b", LETTERS, PAIRS) <= 4 * F.col("_k")))

@@ -1,12 +1,18 @@
 """Full-text search and query relevance."""
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import filters as P
 from ..operators import ranking as W
 from ..operators import search as T
+from ..operators import search_index as X
+from ..session import work_dir
 from ..sources.readers import table
+from ..sources.store import Store
 from . import sqltext as S
 from .inputs import places, with_places
 from .registry import query
@@ -34,13 +40,37 @@ def _(spark, sf):
 _BM = "ln(1 + ((SELECT count(*) FROM w) - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * doc_len / (SELECT avg(len(t)) FROM w)))"
 
 
+def _document_index(spark, sf) -> Store:
+    """The stored index of the documents: made once for the files as they stand, then only read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listStatus(path)
+    seen = "|".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+    store = Store(spark, f"{work_dir(spark)}/search-{hashlib.sha256(seen.encode()).hexdigest()[:24]}")
+    if not store.has("postings"):
+        X.update_index(store, 0, table(spark, sf, "documents"), "doc_id", ["text"])
+    return store
+
+
 @query("bm25_search", "T3 J1", f"WITH {_POST}, q AS (SELECT term, count(*) AS df FROM post WHERE term IN ('with', 'this', 'erth') GROUP BY 1) SELECT id, score FROM (SELECT id, round(sum({_BM}), 6) AS score, count(*) AS n FROM post JOIN q USING (term) GROUP BY 1) WHERE n = 3 ORDER BY score DESC, id LIMIT 50")
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
-    hits = T.match_all(T.build_postings(docs, "doc_id", ["text"]), T.collection_size(docs, "doc_id", ["text"]), "this with ERTH")
+    hits = X.best_matches(_document_index(spark, sf), "this with ERTH", 50)
     return W.first_rows(hits.withColumn("score", F.round("score", 6)), [F.desc("score"), F.asc("id")], 50)
 
 
+@query("index_after_updates", "T2 T3", f"WITH w AS (SELECT doc_id AS id, CASE WHEN source = 'src1' THEN ['changed', 'text', 'with', 'this'] ELSE {_TERMS.format(e='text')} END AS t FROM documents WHERE source <> 'src2'), "
+       f"post AS (SELECT term, id, n AS doc_len, count(*) AS tf FROM (SELECT id, len(t) AS n, unnest(t) AS term FROM w) GROUP BY 1, 2, 3), q AS (SELECT term, count(*) AS df FROM post WHERE term IN ('with', 'this') GROUP BY 1) SELECT id, score FROM (SELECT id, round(sum({_BM}), 6) AS score, count(*) AS n FROM post JOIN q USING (term) GROUP BY 1) WHERE n = 2 ORDER BY score DESC, id LIMIT 40")
+def _(spark, sf):
+    """One run changes the rows of a source, one removes another; the stored blocks of all other rows stay as they were."""
+    docs = table(spark, sf, "documents")
+    store = Store(spark, f"{work_dir(spark)}/search-{uuid.uuid4().hex}")
+    X.update_index(store, 0, docs, "doc_id", ["text"])
+    X.update_index(store, 1, docs.where("source = 'src1'").select("doc_id", F.lit("changed text with this").alias("text")), "doc_id", ["text"])
+    X.update_index(store, 2, docs.limit(0), "doc_id", ["text"], removed=docs.where("source = 'src2'"))
+    hits = X.best_matches(store, "with this", 40)
+    return W.first_rows(hits.withColumn("score", F.round("score", 6)), [F.desc("score"), F.asc("id")], 40)
+
+
 @query("filtered_search", "T3 J1 W10 W11", with_places(f", w AS (SELECT seq AS id, {_TERMS.format(e='''concat_ws(' ', name, coalesce(description, ''), area, array_to_string(tags, ' '))''')} AS t FROM places), post AS (SELECT term, id, n AS doc_len, count(*) AS tf FROM (SELECT id, len(t) AS n, unnest(t) AS term FROM w) GROUP BY 1, 2, 3), q AS (SELECT term, count(*) AS df FROM post WHERE term IN ('jazz', 'bar') GROUP BY 1) "
        f"SELECT seq, city, round(score, 6) AS score FROM (SELECT id AS hit, sum({_BM}) AS score, count(*) AS n FROM post JOIN q USING (term) GROUP BY 1) JOIN places ON seq = hit WHERE n = 2 AND city = 'bangkok' AND list_has_any(flags, ['jazz_blues'])"))
 def _(spark, sf):

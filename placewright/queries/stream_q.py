@@ -5,10 +5,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import resolve as R
 from ..session import work_dir
 from ..sources.readers import table
-from ..streaming import jobs
+from ..streaming import jobs, matching
+from .inputs import places
 from .registry import ORACLE, query
 
 
@@ -24,9 +24,9 @@ def _folder(spark) -> str:
 @query("stream_ingest", "ST1 ST5 S12 S17", "SELECT user_id, arg_max(event_id, event_id) AS event_id, strftime(max(ts), '%Y-%m-%d') AS last_day FROM events GROUP BY 1")
 def _(spark, sf):
     root = _folder(spark)
-    sink = jobs.versioned_upsert(f"{root}/t", "user_id", "ts", "event_id", "event_type")
+    sink = jobs.keyed_upsert(f"{root}/t", "user_id", "ts", "event_id", "event_type")
     jobs.run_batches(_events(spark, sf), sink, f"{root}/c").awaitTermination()
-    return jobs.last_version(spark, f"{root}/t").select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("last_day"))
+    return jobs.upserted(spark, f"{root}/t", "user_id", "ts").select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("last_day"))
 
 
 @query("stream_exact_dedup", "ST2", "SELECT DISTINCT user_id, event_type FROM events")
@@ -42,13 +42,29 @@ def _(spark, sf):
     root = _folder(spark)
     schema = table(spark, sf, "embeddings").schema
     stream = jobs.file_stream(spark, f"{sf}/embeddings.parquet", schema).select(F.col("vec_id").alias("seq"), F.round(F.col("embedding")[0].cast("double"), 3).cast("string").alias("key"))
-    jobs.run_batches(stream, jobs.against_stored(f"{root}/t", lambda both: R.earliest_with_key(both, "key")), f"{root}/c").awaitTermination()
-    return jobs.last_version(spark, f"{root}/t").select("seq")
+    plain = stream.select("seq", F.col("key").alias("name"), *[F.lit(None).cast(t).alias(c) for c, t in {"city": "string", "domain": "string", "address": "string",
+                                                                                                        "geo_lat": "double", "geo_lng": "double"}.items()])
+    jobs.run_batches(plain, matching.against_stored(f"{root}/t", block=[]), f"{root}/c").awaitTermination()
+    return matching.kept_rows(spark, f"{root}/t").select("seq")
+
+
+@query("stream_place_matches", "ST2 J10 J12 J13 J14", ORACLE["matched_rows"])
+def _(spark, sf):
+    """Places arrive in two runs in their order; each is matched against the stored index of those before."""
+    root = _folder(spark)
+    rows = places(spark, sf).select("seq", "name", "city", "domain", "address", "geo_lat", "geo_lng")
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    for i in range(2):
+        bounds = [low + (high + 1 - low) * k // 2 for k in (i, i + 1)]
+        rows.where((F.col("seq") >= bounds[0]) & (F.col("seq") < bounds[1])).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = jobs.file_stream(spark, f"{root}/in", rows.schema)
+        jobs.run_batches(stream, matching.against_stored(f"{root}/t"), f"{root}/c").awaitTermination()
+    return matching.matched(spark, f"{root}/t")
 
 
 @query("stream_rolling", "ST3 W8", ORACLE["rolling_metrics"])
 def _(spark, sf):
     root = _folder(spark)
     states = jobs.rolling_metrics(_events(spark, sf), ["event_type"], "ts", "value")
-    jobs.run_batches(states, jobs.versioned_states(f"{root}/t", ["event_type", "window_start"]), f"{root}/c", mode="update").awaitTermination()
-    return jobs.last_version(spark, f"{root}/t").select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n", F.round("total", 4).alias("total"))
+    jobs.run_batches(states, jobs.keyed_states(f"{root}/t", ["event_type", "window_start"]), f"{root}/c", mode="update").awaitTermination()
+    return jobs.last_states(spark, f"{root}/t", ["event_type", "window_start"]).select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n", F.round("total", 4).alias("total"))

@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import tables
 from ..operators.facets import freshness_state
+from ..session import cut_lineage
+from ..sources.store import BUCKETS, MOST_PARTS, Store, current, latest
 
 
 def _path(spark: SparkSession, name: str):
@@ -26,14 +28,6 @@ def file_stream(spark: SparkSession, table: str, schema: T.StructType, files_per
     return reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
 
 
-def last_version(spark: SparkSession, root: str) -> DataFrame:
-    """The newest complete version that a versioned sink wrote."""
-    path, fs = _path(spark, root)
-    done = [f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("v")]
-    done = [p for p in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return spark.read.parquet(max(done, key=lambda p: int(p.getName()[1:])).toString())
-
-
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None,
                 mode: str = "append") -> StreamingQuery:
     """One run at a time, every given interval, or once over all that is there."""
@@ -41,38 +35,36 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def versioned_upsert(root: str, key: str, stamp: str, order: str | None = None, log_source: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: the table lives in numbered folders, the batch id names the next one.
+def keyed_upsert(root: str, key: str, stamp: str, order: str | None = None, log_source: str | None = None, buckets: int = BUCKETS,
+                 most_parts: int = MOST_PARTS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: table ``rows`` in hash buckets of the key, and ``log`` with what each source gave.
 
-    A replayed batch rewrites its own folder from the one before it, so the result is the same.
+    A batch writes its own rows, one per key, and their log in one change; a replayed batch changes nothing. Buckets that
+    have gathered many parts are rewritten.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # only the first batch starts empty: a missing earlier version is an error, not an empty table
-        base = spark.read.parquet(f"{root}/v{batch_id - 1}") if batch_id > 0 else batch.limit(0)
-        table = tables.upsert_events(base, batch, key, stamp, order)
-        table.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
+        change = Store(batch.sparkSession, root, buckets).change(batch_id)
+        if change is None:
+            return
+        rows = cut_lineage(batch)
+        change.put("rows", tables.first_version(rows, key, stamp, order), [key])
         if log_source:
-            (tables.ingest_log(batch, log_source, F.current_timestamp()).withColumn("batch_id", F.lit(batch_id))
-             .write.mode("overwrite").parquet(f"{root}/log/batch_id={batch_id}"))
+            change.put("log", tables.ingest_log(rows, log_source, F.current_timestamp()).withColumn("batch_id", F.lit(batch_id)))
+        change.compact("rows", latest([key], stamp), most_parts)
+        change.commit()
     return write
 
 
+def upserted(spark: SparkSession, root: str, key: str, stamp: str) -> DataFrame:
+    """What a keyed sink has stored: of each key the last batch's columns, with the highest stamp."""
+    return current(Store(spark, root), "rows", [key], stamp)
+
+
 def drop_exact_copies(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
     """Exact keys only: state is kept within the watermark."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def against_stored(root: str, match: Callable[[DataFrame], DataFrame], seq: str = "seq") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink for fuzzy and geo dedup: a batch is matched together with the kept rows so far."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        both = spark.read.parquet(f"{root}/v{batch_id - 1}").unionByName(batch) if batch_id > 0 else batch
-        dup = match(both)
-        both.join(dup.select(seq), seq, "left_anti").write.mode("overwrite").parquet(f"{root}/v{batch_id}")
-    return write
-
-
 def rolling_metrics(stream: DataFrame, keys: list[str], ts: str, value: str, delay: str = "5 minutes", length: str = "15 minutes", step: str = "1 minute") -> DataFrame:
     """Counts, sums and means per sliding window; windows older than the watermark leave the state."""
     w = F.window(F.col(ts), length, step)
@@ -80,16 +72,22 @@ def rolling_metrics(stream: DataFrame, keys: list[str], ts: str, value: str, del
             .select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "total"))
 
 
-def versioned_states(root: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+def keyed_states(root: str, keys: list[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink in update mode: the last state of each key wins, so open windows are kept too."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id > 0:
-            batch = spark.read.parquet(f"{root}/v{batch_id - 1}").join(batch, keys, "left_anti").unionByName(batch)
-        batch.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
+        change = Store(batch.sparkSession, root, buckets).change(batch_id)
+        if change is None:
+            return
+        change.put("rows", batch, keys)
+        change.compact("rows", latest(keys))
+        change.commit()
     return write
 
 
+def last_states(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
+    return current(Store(spark, root), "rows", keys)
+
+
 def append_parquet(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

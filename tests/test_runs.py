@@ -3,17 +3,17 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from placewright import queries, schemas
 from placewright.operators import normalize as N
-from placewright.operators import tables
+from placewright.operators import resolve, tables
 from placewright.plans import curation
-from placewright.queries.inputs import curation_places
+from placewright.queries.inputs import curation_places, places
 from placewright.sources import readers, sinks
-from placewright.streaming import jobs
+from placewright.sources.store import Store, current, latest
+from placewright.streaming import jobs, matching
 
 from .conftest import rows
 
@@ -56,15 +56,20 @@ def test_stream_batches(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     spark.createDataFrame([("a", "1", 1, t), ("b", "1", 2, t)], schema).coalesce(1).write.mode("append").parquet(str(src))
     stream = jobs.file_stream(spark, str(src), spark.read.parquet(str(src)).schema)
-    sink = jobs.versioned_upsert(str(tmp_path / "t"), "id", "fetched_at", "ord", "v")
+    sink = jobs.keyed_upsert(str(tmp_path / "t"), "id", "fetched_at", "ord", "v")
     jobs.run_batches(stream, sink, str(tmp_path / "c")).awaitTermination()
-    spark.createDataFrame([("a", "2", 3, t - dt.timedelta(days=1))], schema).coalesce(1).write.mode("append").parquet(str(src))
+    late = spark.createDataFrame([("a", "2", 3, t - dt.timedelta(days=1))], schema)
+    late.coalesce(1).write.mode("append").parquet(str(src))
     jobs.run_batches(stream, sink, str(tmp_path / "c")).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "t" / "v1")), "id", "v", "fetched_at") == [("a", "2", t), ("b", "1", t)]
+    want = [("a", "2", t), ("b", "1", t)]
+    assert rows(jobs.upserted(spark, str(tmp_path / "t"), "id", "fetched_at"), "id", "v", "fetched_at") == want
+    sink(late.withColumn("v", F.lit("replayed")), 1)  # a batch that is in the manifest is not applied again
+    assert rows(jobs.upserted(spark, str(tmp_path / "t"), "id", "fetched_at"), "id", "v", "fetched_at") == want
+    assert rows(Store(spark, str(tmp_path / "t")).read("log"), "source", "count", "batch_id") == [("1", 2, 0), ("2", 1, 1)]
 
 
 def test_stream_faults(spark, tmp_path):
-    """A lost version stops the run; many files are many batches; a folder of parts is one table; open windows are kept."""
+    """A lost part stops the read; many files are many batches; a folder of parts is one table; open windows are kept."""
     import shutil
     schema = "id string, v string, ord timestamp, fetched_at timestamp"
     t = dt.datetime(2024, 1, 1)
@@ -72,21 +77,79 @@ def test_stream_faults(spark, tmp_path):
     spark.createDataFrame([(f"k{i % 7}", str(i), t + dt.timedelta(milliseconds=i), t + dt.timedelta(days=(i * 5) % 11)) for i in range(120)], schema) \
         .repartition(120).write.parquet(src)
     stream = jobs.file_stream(spark, src, spark.read.parquet(src).schema, files_per_batch=30)
-    sink = jobs.versioned_upsert(str(tmp_path / "t"), "id", "fetched_at", "ord")
+    sink = jobs.keyed_upsert(str(tmp_path / "t"), "id", "fetched_at", "ord", most_parts=2)
     jobs.run_batches(stream, sink, str(tmp_path / "c")).awaitTermination()
-    got, stream_rows = jobs.last_version(spark, str(tmp_path / "t")), spark.read.parquet(src)
-    newest = max(int(p.name[1:]) for p in (tmp_path / "t").glob("v*"))
-    assert got.count() == 7 and newest > 0
-    assert got.agg(F.max("fetched_at")).first()[0] == t + dt.timedelta(days=10)
-    shutil.rmtree(tmp_path / "t" / f"v{newest}")
-    with pytest.raises(AnalysisException):
-        sink(stream_rows, newest + 1)
+    got = jobs.upserted(spark, str(tmp_path / "t"), "id", "fetched_at")
+    assert got.count() == 7 and got.agg(F.max("fetched_at")).first()[0] == t + dt.timedelta(days=10)
+    store = Store(spark, str(tmp_path / "t"))
+    assert store.state()["run"] > 1
+    shutil.rmtree(tmp_path / "t" / store.state()["tables"]["rows"]["parts"][-1]["path"])
+    with pytest.raises(Exception):
+        jobs.upserted(spark, str(tmp_path / "t"), "id", "fetched_at").collect()
     wins = jobs.rolling_metrics(stream.withColumn("n", F.lit(1.0)), ["id"], "fetched_at", "n", delay="30 days")
-    jobs.run_batches(wins, jobs.versioned_states(str(tmp_path / "w"), ["id", "window_start"]), str(tmp_path / "cw"), mode="update").awaitTermination()
-    last = jobs.last_version(spark, str(tmp_path / "w"))
+    jobs.run_batches(wins, jobs.keyed_states(str(tmp_path / "w"), ["id", "window_start"]), str(tmp_path / "cw"), mode="update").awaitTermination()
+    last = jobs.last_states(spark, str(tmp_path / "w"), ["id", "window_start"])
     assert last.agg(F.sum("n")).first()[0] == 120 * 15
 
 
+def _bytes(folder) -> int:
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+def test_keyed_table(spark, tmp_path):
+    """A batch writes its own bytes whatever is stored, reads of keys touch their buckets, compaction keeps the rows, lost runs leave no trace."""
+    store = Store(spark, str(tmp_path / "s"), buckets=8, bucket_rows=200)
+    make = lambda lo, hi, v: spark.range(lo, hi).select("id", F.lit(v).alias("v"), F.sha2(F.col("id").cast("string"), 512).alias("pad"))
+    sizes = []
+    for run in range(6):
+        change = store.change(run)
+        change.put("t", make(0, 4000, "old") if run == 0 else make(run * 10, run * 10 + 20, f"r{run}"), ["id"])
+        before = _bytes(tmp_path / "s")
+        sizes.append(sum(_bytes(tmp_path / "s" / p["path"]) for p in change.state["tables"]["t"]["parts"] if p["run"] == run))
+        if run == 3:
+            assert change.compact("t", latest(["id"]), most_parts=2) != []
+        change.commit()
+        assert store.change(run) is None and before > 0
+    assert max(sizes[1:]) < sizes[0] / 10
+    state = store.state()["tables"]["t"]
+    assert state["buckets"] == 32 and state["rows"] >= 4000  # doubled as its buckets were full
+    got = {r.id: r.v for r in current(store, "t", ["id"]).collect()}
+    want = {i: "old" for i in range(4000)} | {i: f"r{run}" for run in range(1, 6) for i in range(run * 10, run * 10 + 20)}
+    assert got == want
+    some = spark.createDataFrame([(15,), (3999,)], "id long")
+    part = current(store, "t", ["id"], wanted=some)
+    assert part.count() <= 4000 * 2 / 32 * 2 and {r.id: r.v for r in part.join(some, "id").collect()} == {15: want[15], 3999: "old"}
+    lost = store.change(9)
+    lost.put("t", make(0, 4000, "lost"), ["id"])
+    lost.put("u", make(0, 5, "lost"))
+    assert {r.id: r.v for r in current(store, "t", ["id"]).collect()} == want and not store.has("u")
+    assert len(store.sweep()) >= 2 and {r.id: r.v for r in current(store, "t", ["id"]).collect()} == want
+    other = store.change(9)
+    store.change(9).commit()
+    with pytest.raises(RuntimeError):
+        other.commit()
+    wider = store.change(10)
+    wider.put("t", make(0, 1, "new").withColumn("more", F.lit(1)), ["id"])
+    wider.commit()
+    assert sorted((r.v, r.more) for r in current(store, "t", ["id"]).where("id in (0, 1)").collect()) == [("new", 1), ("old", None)]
+
+
+def test_matching_against_stored_rows(spark, tmp_path):
+    """Batches in order match as one run over all rows does, and a batch reads and writes by its own size."""
+    df = places(spark, SF).select("seq", "name", "city", "domain", "address", "geo_lat", "geo_lng")
+    hard = [(10 ** 6 + i, n, c, "", a, la, ln) for i, (n, c, a, la, ln) in enumerate([
+        ("", "x", None, None, None), (None, None, "1 A Road", 1.0, 2.0), ("blue moon cafe", "x", "1 A Road", 1.0, 2.0), ("blue mooon", "x", None, 1.0005, 2.0),
+        ("blue moon", "y", None, None, None), ("Blue Moon", "x", "", 1.0, 2.0), ("a", "x", None, 50.0, 50.0), ("a", "x", None, 50.0009, 50.0), ("ab", "x", None, None, None)])]
+    df = df.unionByName(spark.createDataFrame(hard, df.schema)).orderBy("seq")
+    sink, ids = matching.against_stored(str(tmp_path / "m"), buckets=8), sorted(r.seq for r in df.select("seq").collect())
+    cuts = [ids[0], ids[len(ids) // 2], ids[-6], ids[-3], ids[-1] + 1]
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        sink(df.where((F.col("seq") >= lo) & (F.col("seq") < hi)), i)
+    assert rows(matching.matched(spark, str(tmp_path / "m")), "seq", "match", "strategy") == rows(resolve.match_rows(df), "seq", "match", "strategy")
+    kept = {r.seq for r in matching.kept_rows(spark, str(tmp_path / "m")).select("seq").collect()}
+    assert kept == set(ids) - {r.seq for r in resolve.match_rows(df).collect()}
+
+
 def test_upsert_order(spark):
     """Rows of one second are told apart, text orders hold, and the first write keeps the highest stamp."""
     t = dt.datetime(2024, 1, 1)
