@@ -13,6 +13,7 @@ from placewright.operators import facets as FA
 from placewright.operators import graph, lookups, merge, ranking, reports, resolve, search, similarity, tables
 from placewright.operators.quantiles import exact_percentiles
 from placewright.operators.skew import salted_join
+from placewright.session import cut_lineage
 
 from .conftest import rows
 
@@ -298,3 +299,19 @@ def test_candidates_grow_with_the_rows(spark):
         count[n] = (similarity.text_candidates(texts, 0.14, []).count(), similarity.set_candidates(words, 0.8, []).count())
     for small, large in zip(count[400], count[4000]):
         assert small >= 200 and large < 15 * small
+
+
+def test_components_of_a_long_chain(spark):
+    """A chain of 100,000 in random order, a star, a clique and a loop; the edges shrink every turn."""
+    order = list(range(100_000))
+    random.Random(1).shuffle(order)
+    edges = list(zip(order, order[1:])) + [(200_000, 200_000 + i) for i in range(1, 50)] + list(itertools.combinations(range(300_000, 300_006), 2)) + [(400_000, 400_000)]
+    df = spark.createDataFrame(edges, "id_a long, id_b long").repartition(4)
+    got = graph.components(df, hot_rows=HOT * 1000)
+    assert {tuple(r) for r in got.groupBy("component").count().collect()} == {(0, 100_000), (200_000, 50), (300_000, 6), (400_000, 1)}
+    rest, counts = cut_lineage(df.where("id_a != id_b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))), []
+    for turn in range(3):
+        _, rest = graph.contracted(rest, turn == 0, turn)
+        counts.append(rest.count())
+    assert counts[1] < 0.6 * counts[0] and counts[2] < 0.6 * counts[1]
+    assert graph.components(df.limit(0)).count() == 0
