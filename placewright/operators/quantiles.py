@@ -4,64 +4,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 4096
+#: a sketch's ranks are off by a group's rows divided by this at most
+ACCURACY = 10_000
 
 
-def _bin(value, lo, hi):
-    """Monotone bin of a value inside [lo, hi]."""
-    width = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    return F.least(F.floor((value - lo) / width * BINS), F.lit(BINS - 1)).cast("int")
-
-
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """Linear-interpolated percentiles (index p*(n-1)); one row per group, one column per point.
 
-    Equal values are counted first; then two rounds of bin counts (the second inside the bins that hold a
-    wanted rank, with their own bounds) narrow each rank to a small cell, and only those cells are ordered.
-    Keys must not be null.
+    A mergeable sketch of each group brackets every wanted rank, whatever the values' spread. One exact pass then counts what lies
+    below a bracket and each value inside it, and only these (some ten-thousandths of a group, or all of a group smaller than
+    ``accuracy``) are ordered. Keys must not be null.
     """
     keys = list(keys)
-    v = F.col("_v")
-    counts = (df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     if not keys:
-        counts, keys = counts.withColumn("_all", F.lit(1)), ["_all"]
-    lo, hi = counts.agg(F.min("_v"), F.max("_v")).first()
-    lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
-
-    ranks = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("_n") - 1)).alias("pos"))
-                      for name, p in points.items()])
-    wanted = (counts.groupBy(*keys).agg(F.sum("_c").alias("_n")).select(*keys, F.explode(ranks).alias("r"))
-              .select(*keys, "r.name", F.col("r.pos").alias("pos"),
-                      F.explode(F.array_distinct(F.array(F.floor("r.pos"), F.ceil("r.pos")))).alias("rank")))
-
-    def narrow(rows: DataFrame, path: list[str], targets: DataFrame, base: str | None):
-        new = f"_b{len(path)}"
-        cells = rows.groupBy(*keys, *path, new).agg(F.sum("_c").alias("_cell"), F.min("_v").alias("_lo"),
-                                                    F.max("_v").alias("_hi"))
-        running = Window.partitionBy(*keys, *path).orderBy(new)
-        start = F.sum("_cell").over(running) - F.col("_cell")
-        cells = cells.withColumn("_start", start)
-        offset = F.col(base) if base else F.lit(0)
-        hit = (targets.join(cells, [*keys, *path])
-               .where((F.col("rank") >= offset + F.col("_start"))
-                      & (F.col("rank") < offset + F.col("_start") + F.col("_cell")))
-               .withColumn("_base", offset + F.col("_start"))
-               .select(*keys, *path, new, "name", "pos", "rank", "_base", "_lo", "_hi"))
-        return hit, [*path, new]
-
-    first = counts.withColumn("_b0", _bin(v, F.lit(lo), F.lit(hi)))
-    hit, path = narrow(first, [], wanted, None)
-    inside = first.join(hit.select(*keys, *path, "_lo", "_hi").distinct(), [*keys, *path])
-    second = inside.withColumn("_b1", _bin(v, F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
-    hit, path = narrow(second, path, hit.drop("_lo", "_hi").withColumnRenamed("_base", "_prev"), "_prev")
-    last = second.join(hit.select(*keys, *path).distinct(), [*keys, *path], "left_semi")
-    running = Window.partitionBy(*keys, *path).orderBy("_v")
-    last = last.withColumn("_upto", F.sum("_c").over(running))
-    found = (hit.join(last, [*keys, *path])
-             .where((F.col("rank") >= F.col("_base") + F.col("_upto") - F.col("_c"))
-                    & (F.col("rank") < F.col("_base") + F.col("_upto"))))
-    per_point = found.groupBy(*keys, "name", "pos").agg(F.min_by("_v", "rank").alias("a"), F.max_by("_v", "rank").alias("b"))
-    value_at = F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))
-    out = per_point.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, value_at)).alias(n) for n in points])
-    return out.drop("_all")
+        rows, keys = rows.withColumn("_all", F.lit(1)), ["_all"]
+    low, high = float("-inf"), float("inf")
+    # the rank itself, the sketch's error on either side, and one rank for the neighbour that is interpolated with
+    ends = [end for p in points.values() for end in (p - 3 / accuracy, p + 3 / accuracy)]
+    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", [min(max(e, 0.0), 1.0) for e in ends], accuracy).alias("_q"))
+    small = F.col("_n") <= accuracy
+    def end(k: int, open_end: float):
+        """A quantile of the sketch, open where the group is small or there is nothing beyond."""
+        beyond = ends[k] <= 0 or ends[k] >= 1
+        return F.lit(open_end) if beyond else F.when(small, F.lit(open_end)).otherwise(F.get("_q", F.lit(k)))
+    brackets = F.array(*[F.struct(F.lit(name).alias("_name"), (F.lit(p) * (F.col("_n") - 1)).alias("_pos"), end(2 * i, low).alias("_lo"), end(2 * i + 1, high).alias("_hi"))
+                         for i, (name, p) in enumerate(points.items())])
+    wanted = sketch.select(*keys, F.explode(brackets).alias("_b")).select(*keys, "_b.*")
+    near = rows.join(wanted, keys).where(F.col("_v") <= F.col("_hi"))
+    counted = near.groupBy(*keys, "_name", "_pos", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_name").orderBy(F.col("_v").asc_nulls_first()))
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    found = counted.withColumn("_upto", upto).groupBy(*keys, "_name").agg(F.first("_pos").alias("_pos"), at(F.floor("_pos")).alias("_a"), at(F.ceil("_pos")).alias("_z"))
+    between = F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, between)).alias(n) for n in points]).drop("_all")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from ..sources.store import Store, latest
+from ..sources.store import Change, Store, latest
 from .search import B, K1, _query_terms, build_postings
 
 SLOT_ROWS = 1024
@@ -41,9 +41,14 @@ def _unpacked(blocks: DataFrame) -> DataFrame:
 def update_index(store: Store, run: int, changed: DataFrame, ident: str, columns: list[str], lists: list[str] | None = None, removed: DataFrame | None = None) -> None:
     """Rows put into the index (``changed``: new ones and new versions) and taken out (``removed``: their ids), as one change."""
     change = store.change(run)
-    if change is None:
-        return
-    state = change.state
+    if change is not None:
+        index_rows(change, changed, ident, columns, lists, removed)
+        change.commit()
+
+
+def index_rows(change: Change, changed: DataFrame, ident: str, columns: list[str], lists: list[str] | None = None, removed: DataFrame | None = None) -> None:
+    """The same within a change that other tables share."""
+    store, state = change.store, change.state
     fresh = "docs" not in state["tables"]
     postings = cut_lineage(build_postings(changed, ident, columns, lists))
     lens = changed.select(F.col(ident).alias("id")).join(postings.groupBy("id").agg(F.first("doc_len").alias("n")), "id", "left").select(
@@ -65,7 +70,6 @@ def update_index(store: Store, run: int, changed: DataFrame, ident: str, columns
     change.put("postings", _blocks(postings, change.state["values"]["slots"]), ["term"])
     change.put("docs", lens, ["id"])
     change.compact("docs", latest(["id"]))
-    change.commit()
 
 
 def rebuild_blocks(store: Store, run: int) -> None:

@@ -315,3 +315,22 @@ def test_components_of_a_long_chain(spark):
         counts.append(rest.count())
     assert counts[1] < 0.6 * counts[0] and counts[2] < 0.6 * counts[1]
     assert graph.components(df.limit(0)).count() == 0
+
+
+def test_percentiles_of_large_groups(spark):
+    """Groups larger than the sketch, with a far outlier, a heavy tail and one value for most rows; few exchanges."""
+    rnd = random.Random(3)
+    values = {"far": [rnd.random() for _ in range(5000)] + [1e12], "tail": [rnd.paretovariate(0.2) for _ in range(5000)], "same": [5.0] * 4000 + [float(i) for i in range(1000)],
+              "two": [1.0, 2.0], "one": [-3.5]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double").repartition(6)
+    points = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    out = exact_percentiles(df, ["k"], "v", points, accuracy=100)
+    import numpy as np
+    for r in out.collect():
+        assert [r[n] for n in points] == pytest.approx([float(np.quantile(values[r["k"]], p)) for p in points.values()])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange ") <= 6
+    whole = exact_percentiles(df, [], "v", points, accuracy=100).first()
+    every = [v for vs in values.values() for v in vs]
+    assert [whole[n] for n in points] == pytest.approx([float(np.quantile(every, p)) for p in points.values()])
+    assert exact_percentiles(df.limit(0), ["k"], "v", points).count() == 0

@@ -9,10 +9,10 @@ import __spark_entry__ as entry
 from placewright import queries, schemas
 from placewright.operators import normalize as N
 from placewright.operators import resolve, tables
-from placewright.plans import curation
+from placewright.plans import curation, runs
 from placewright.queries.inputs import curation_places, places
 from placewright.sources import readers, sinks
-from placewright.sources.store import Store, current, latest
+from placewright.sources.store import Change, Store, current, latest
 from placewright.streaming import jobs, matching
 
 from .conftest import rows
@@ -188,3 +188,19 @@ def test_retry_then_give_up(spark):
         readers.retried(read, 2, 0)
     tried.clear()
     assert readers.readable(read, spark.range(0), 2, 0).count() == 0
+
+
+def test_a_lost_run_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"), buckets=4)
+    df = curation_places(spark, SF).where("seq < 90")
+    half = [df.where("seq < 60"), df.where("seq >= 60")]
+    assert runs.curation_run(store, 0, half[0], dt.date(2024, 1, 1)) is not None
+    before = (store.state(), store.read("places").count(), runs.stored_facets(store).count())
+    with monkeypatch.context() as m:
+        m.setattr(Change, "commit", lambda self: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            runs.curation_run(store, 1, half[1], dt.date(2024, 1, 2))
+    assert (store.state(), store.read("places").count(), runs.stored_facets(store).count()) == before
+    assert runs.curation_run(store, 1, half[1], dt.date(2024, 1, 2)) is not None and runs.curation_run(store, 1, half[1], dt.date(2024, 1, 2)) is None
+    assert store.read("places").count() > before[1] and runs.index_size(store).first().docs == store.read("places").count()
+    assert runs.status_rates(store).first().total == 90
