@@ -40,6 +40,18 @@ def districts_of(lat, lng, districts=rules.DISTRICTS) -> Column:
                               for name, la, ln, r in districts]), lambda n: n.isNotNull())
 
 
+def centre_by_words(name: Column | str, address: Column | str, districts=rules.DISTRICTS, center=rules.CENTER) -> Column:
+    """Struct (lat, lng, district) of the first listed district that name or address mentions, else of the city's centre."""
+    low_name, low_address = F.lower(F.coalesce(col(name), F.lit(""))), F.lower(F.coalesce(col(address), F.lit("")))
+
+    def point(lat: float, lng: float, district: str | None) -> Column:
+        return F.struct(F.lit(lat).alias("lat"), F.lit(lng).alias("lng"), F.lit(district).cast("string").alias("district"))
+    found = F.when(F.lit(False), point(*center, None))
+    for district, lat, lng, _ in districts:
+        found = found.when(low_name.contains(district) | low_address.contains(district), point(lat, lng, district))
+    return found.otherwise(point(*center, None))
+
+
 def nearest_district(lat, lng, districts=rules.DISTRICTS) -> Column:
     """Struct (distance, name) of the nearest centre."""
     return F.array_min(F.array(*[F.struct(degree_distance(lat, lng, F.lit(la), F.lit(ln)).alias("distance"),

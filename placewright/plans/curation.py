@@ -42,6 +42,15 @@ def curate(df: DataFrame, seq: str = "seq", hot_rows: int = HOT_ROWS, **matching
     return scored.withColumn("status", status)
 
 
+def with_coordinates(df: DataFrame, lat: str = "geo_lat", lng: str = "geo_lng", name: str = "name", address: str = "address") -> DataFrame:
+    """Missing coordinates from the district that name or address mentions, else the city's centre; ``geo_source`` tells which."""
+    known = F.col(lat).isNotNull() & F.col(lng).isNotNull()
+    near = G.centre_by_words(name, address)
+    found = df.withColumn("_c", F.when(~known, near))
+    return (found.withColumn("geo_source", F.when(known, "given").when(F.col("_c.district").isNotNull(), F.col("_c.district")).otherwise("centre"))
+            .withColumn(lat, F.when(known, F.col(lat)).otherwise(F.col("_c.lat"))).withColumn(lng, F.when(known, F.col(lng)).otherwise(F.col("_c.lng"))).drop("_c"))
+
+
 def enrich_geo(df: DataFrame, lat: str = "geo_lat", lng: str = "geo_lng", price: str = "price_level") -> DataFrame:
     """Distance from the centre, city and district marks, nearest district, price band; local rules only."""
     near = G.nearest_district(lat, lng)

@@ -56,7 +56,9 @@ def _(spark, sf):
     return W.plan_week(shows(spark, sf), [F.col("popularity").desc_nulls_last(), F.asc("seq")], "title", "source", "tags").drop("tags")
 
 
-@query("week_plan_text", "F69")
+@query("week_plan_text", "F69", with_shows("""SELECT '=== WEEK PLAN: bangkok ===' || chr(10) || 'Tags: music, art' || chr(10) || string_agg(chr(10) || d || ':' || chr(10) || coalesce(line, '  - (free)'), chr(10) ORDER BY n) AS text
+ FROM (SELECT unnest(['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun']) AS d, unnest(range(1, 8)) AS n) LEFT JOIN
+ (SELECT row_number() OVER (ORDER BY popularity DESC NULLS LAST, seq) AS n, '  - Evening — ' || title || ' [' || array_to_string(tags, ', ') || '] (' || source || ')' AS line FROM shows QUALIFY n <= 7) p USING (n)"""))
 def _(spark, sf):
     plan = W.plan_week(shows(spark, sf), [F.col("popularity").desc_nulls_last(), F.asc("seq")], "title", "source", "tags")
     return W.week_plan_text(plan, "bangkok", ["music", "art"])

@@ -67,6 +67,13 @@ def _(spark, sf):
     return R.collection_report(places(spark, sf), _FIELDS, "city").withColumn("mean_score", F.round("mean_score", 2))
 
 
+@query("tag_venue_distribution", "A13", with_shows("SELECT kind, key, count(*) AS n FROM (SELECT 'tag' AS kind, lower(trim(unnest(tags))) AS key FROM shows UNION ALL SELECT 'venue', venue FROM shows WHERE venue IS NOT NULL) GROUP BY 1, 2"))
+def _(spark, sf):
+    df = shows(spark, sf)
+    tags = R.list_counts(df.select(F.transform("tags", lambda t: F.lower(F.trim(t))).alias("tags")), "tags", "tag")
+    return tags.unionByName(R.list_counts(df.select(F.array_compact(F.array("venue")).alias("venue")), "venue", "venue"))
+
+
 @query("day_diagnostics", "A14 J16", with_shows("""SELECT kind, key, count(*) AS n FROM (SELECT 'source' AS kind, source AS key FROM d UNION ALL SELECT 'day', cast(d AS varchar) FROM d UNION ALL SELECT 'flag', unnest(categories) FROM d WHERE venue IS NOT NULL UNION ALL SELECT 'unflagged', 'all' FROM d WHERE venue IS NULL) GROUP BY 1, 2""")
        .replace(" SELECT kind", ", d AS (SELECT *, cast(unnest(generate_series(day, greatest(day, coalesce(until, day)), INTERVAL 1 DAY)) AS date) AS d FROM shows) SELECT kind", 1))
 def _(spark, sf):

@@ -14,6 +14,7 @@ from ..operators import reports as R
 from ..sources.readers import table
 from . import sqltext as S
 from .inputs import pick, places, shows, web, with_places, with_shows, with_web
+from .lookup_q import AREA_SQL, area_dim
 from .registry import query
 
 J = lambda c: F.concat_ws("|", c)
@@ -134,11 +135,32 @@ def _(spark, sf):
     return counts.withColumn("_k", F.lit(1)).join(marks.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-@query("normalised_places", "PL5 UD1 F27")
+def _titled(e):
+    words = f"regexp_split_to_array(trim(lower(trim(regexp_replace(regexp_replace({e}, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')))), '\\s+')"
+    small = ", ".join(S.q(w) for w in rules.SMALL_WORDS)
+    return _abbr(f"array_to_string(list_transform({words}, lambda w, i: CASE WHEN i > 1 AND w IN ({small}) THEN w ELSE upper(substr(w, 1, 1)) || substr(w, 2) END), ' ')", rules.ABBREVIATIONS)
+
+
+_CLEAN_TAG = "array_to_string(list_transform(list_filter(list_transform({c}, lambda t: lower(trim(t))), lambda t, i: list_position(list_transform({c}, lambda u: lower(trim(u))), t) = i), lambda t: replace(regexp_replace(t, '[^a-z0-9_\\s\\-]', '', 'g'), ' ', '{to}')), '|')"
+_LISTS = f"{_CLEAN_TAG.format(c='tags', to='-')} AS tags, {_CLEAN_TAG.format(c='flags', to='_')} AS flags"
+
+
+@query("normalised_places", "PL5 UD1 F27", with_places(f"SELECT seq, {_titled('name')} AS name, {_removed(_DESC, rules.DESCRIPTION_CLEANUP)} AS description, {_removed(_titled('area'), rules.AREA_CLEANUP)} AS area, {_LISTS} FROM places"))
 def _(spark, sf):
     return N.Normalizer()(places(spark, sf)).select("seq", "name", "description", "area", J("tags").alias("tags"), J("flags").alias("flags"))
 
 
+@query("normalised_by_city", "PL5 UD1 J9", with_places(", " + AREA_SQL + f""", b AS (SELECT seq, {_titled('name')} AS name, {_titled('area')} AS area, {_removed(_DESC, rules.DESCRIPTION_CLEANUP)} AS description FROM places),
+ sp AS (SELECT DISTINCT lower(trim(area)) AS a FROM b), ex AS (SELECT a, arg_min(d.area, ord) AS std FROM sp JOIN area_dim d ON a = synonym GROUP BY a),
+ pt AS (SELECT a, arg_min(d.area, ord) AS std FROM sp JOIN area_dim d ON contains(a, synonym) OR contains(synonym, a) GROUP BY a),
+ f AS (SELECT seq, name, description, area AS was, coalesce(upper(substr(coalesce(ex.std, pt.std), 1, 1)) || substr(coalesce(ex.std, pt.std), 2), area) AS area FROM b LEFT JOIN ex ON ex.a = lower(trim(area)) LEFT JOIN pt ON pt.a = lower(trim(area)))
+ SELECT seq, name, description, {_removed('area', rules.AREA_CLEANUP)} AS area, was FROM f"""))
+def _(spark, sf):
+    """City rules as a step of the chain, with the phrases switched off that they stand for; the original area is kept."""
+    chain = N.Normalizer().with_step("keep", lambda d: d.withColumn("was", F.col("area"))).with_step("city", N.city_step(area_dim(spark)))
+    return chain.enable("phrases", False)(places(spark, sf)).select("seq", "name", "description", "area", "was")
+
+
 @query("recipe_cleaning", "F31 F63", with_places(r"""
 SELECT seq, regexp_replace(name, '^-\s*', '') AS trimmed, CASE WHEN length(description) > 30 THEN substr(description, 1, 27) || '...' ELSE description END AS cut,
  """ + S.ladder("lower(coalesce(description, '') || ' ' || name)", rules.PRICE_WORDS_RECIPE, str) + " AS price_level, " + S.ladder("lower(coalesce(description, ''))", rules.PRICE_WORDS_PROSE, str, "2") + " AS prose_level, "
@@ -173,11 +195,24 @@ def _(spark, sf):
     return places(spark, sf).select("seq", K.flag_key("city", "updated_at", F.col("flags")[0]).alias("flag_key"), K.index_key("city", "updated_at").alias("index_key"), K.query_key("city", F.lit(""), "name", F.lit(50)).alias("query_key"))
 
 
-@query("maps_links", "F33")
+@query("maps_links", "F33", with_places("""
+SELECT seq, 'https://www.google.com/maps/search/?api=1&query=' || url_encode(concat_ws(' ', name, nullif(address, ''), 'Bangkok, Thailand')) ||
+  CASE WHEN geo_lat <> 0 AND geo_lng <> 0 THEN '&ll=' || geo_lat::varchar || ',' || geo_lng::varchar ELSE '' END AS link FROM places"""))
 def _(spark, sf):
     return places(spark, sf).select("seq", U.maps_search_url("name", "address", "geo_lat", "geo_lng").alias("link"))
 
 
+_WORDS = "CASE " + " ".join(f"WHEN contains(lower(name), '{d}') OR contains(lower(coalesce(address, '')), '{d}') THEN {{'lat': {la}, 'lng': {ln}, 'd': '{d}'}}" for d, la, ln, _ in rules.DISTRICTS) \
+    + f" ELSE {{'lat': {rules.CENTER[0]}, 'lng': {rules.CENTER[1]}, 'd': 'centre'}} END"
+
+
+@query("coordinates_completed", "J15 PL4", with_places(f"""SELECT seq, round(coalesce(geo_lat, w.lat)::double, 6) AS lat, round(coalesce(geo_lng, w.lng)::double, 6) AS lng, CASE WHEN geo_lat IS NULL THEN w.d ELSE 'given' END AS geo_source
+ FROM (SELECT *, {_WORDS} AS w FROM places)"""))
+def _(spark, sf):
+    from ..plans.curation import with_coordinates
+    return with_coordinates(places(spark, sf)).select("seq", F.round("geo_lat", 6).alias("lat"), F.round("geo_lng", 6).alias("lng"), "geo_source")
+
+
 @query("geo_forms", "F24 J20 P20", with_places("""
 SELECT seq, round(sqrt((geo_lat - 13.7563) * (geo_lat - 13.7563) + (geo_lng - 100.5018) * (geo_lng - 100.5018)), 6) AS distance,
   coalesce(geo_lat BETWEEN 13.5 AND 14.0 AND geo_lng BETWEEN 100.3 AND 100.8, false) AS in_city FROM places WHERE geo_lat IS NOT NULL"""))
