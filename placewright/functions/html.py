@@ -19,9 +19,16 @@ def group(text, pattern: str, i: int = 1) -> Column:
 def meta_content(html, key: str, attribute: str = "property") -> Column:
     """``content`` of a meta tag, attributes in either order, single or double quotes."""
     k = re.escape(key)
-    a = rf"""(?is)<meta\b[^>]*\b{attribute}\s*=\s*["']{k}["'][^>]*\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    b = rf"""(?is)<meta\b[^>]*\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*\b{attribute}\s*=\s*["']{k}["']"""
-    return unescape(F.coalesce(group(html, a, 1), group(html, a, 2), group(html, b, 1), group(html, b, 2)))
+    a = rf"""(?is)<meta\b[^>]*\b{attribute}\s*=\s*["']{k}["'][^>]*\bcontent\s*=\s*("[^"]*"|'[^']*')"""
+    b = rf"""(?is)<meta\b[^>]*\bcontent\s*=\s*("[^"]*"|'[^']*')[^>]*\b{attribute}\s*=\s*["']{k}["']"""
+    # most pages lack most keys: a plain search spares them the patterns
+    there = F.lower(col(html)).contains(key.lower())
+    return unescape(F.when(there, F.coalesce(_unquoted(group(html, a, 1)), _unquoted(group(html, b, 1)))))
+
+
+def _unquoted(quoted: Column) -> Column:
+    """Without its quotes; null where nothing is between them."""
+    return F.nullif(F.substr(quoted, F.lit(2), F.length(quoted) - 2), F.lit(""))
 
 
 def open_graph(html, url) -> Column:

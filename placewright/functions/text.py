@@ -96,6 +96,10 @@ def _numbered(number: Column) -> Column:
     return let(F.coalesce(number, F.lit(0x110000)), char)
 
 
+#: the references that nearly all texts use, with what they stand for (fixed values)
+COMMON = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "nbsp;": "\u00a0", "#39;": "'"}
+
+
 def _reference(part: Column) -> Column:
     """What follows an ampersand, decoded; text that is no reference gets its ampersand back."""
     dec, hexed = F.regexp_extract(part, "^#([0-9]+);?", 1), F.regexp_extract(part, "^#[xX]([0-9a-fA-F]+);?", 1)
@@ -103,7 +107,10 @@ def _reference(part: Column) -> Column:
     old = F.regexp_extract(part, "^(?:" + "|".join(OLD_NAMES) + ")", 0)
     table = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
     known = F.coalesce(F.element_at(table, F.when(name != "", name)), F.lit(""))
-    return (F.when(dec != "", F.concat(_numbered(dec.try_cast("bigint")), F.regexp_replace(part, "^#[0-9]+;?", "")))
+    chain = F.when(~part.rlike("^[#A-Za-z]"), F.concat(F.lit("&"), part))
+    for word, value in COMMON.items():  # tested first, without a pattern or a look at the table
+        chain = chain.when(part.startswith(word), F.concat(F.lit(value), F.substr(part, F.lit(len(word) + 1))))
+    return (chain.when(dec != "", F.concat(_numbered(dec.try_cast("bigint")), F.regexp_replace(part, "^#[0-9]+;?", "")))
             .when(hexed != "", F.concat(_numbered(F.conv(F.when(F.length(F.ltrim(hexed, F.lit("0"))) <= 8, hexed), 16, 10).try_cast("bigint")),
                                         F.regexp_replace(part, "^#[xX][0-9a-fA-F]+;?", "")))
             .when(known != "", F.concat(known, F.substr(part, F.length(name) + 1)))
