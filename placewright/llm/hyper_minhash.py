@@ -10,8 +10,9 @@ small sets borrow most registers from few, so there it is more (simulated: 11 of
 
 No bucket is paired with itself. Each bucket first links its members to the one that shares most bands with others, the
 likely origin of a group of copies. Where members of a bucket are then still in several components, every member outside
-the bucket's largest component meets the members of other components, and only these, with sizes and, for sets that
-fill most registers themselves, one bit per register as part of the join condition. So no pair of candidates in different components stays untested, whatever the size of a bucket.
+the bucket's largest component meets the members of other components, and only these, with sizes, parity bits of the sets
+(which bound their difference from below, so they lose nothing) and, for sets that fill most registers themselves, one bit
+per register as part of the join condition. So no pair of candidates in different components stays untested, whatever the size of a bucket.
 
 Full sets are read for candidate texts only, as 48 bits per shingle. Results of each phase are written to the shared
 folder, so a lost executor costs a task, not the job.
@@ -31,10 +32,13 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .common import carried, stored, table
+from .line_dedup import in_bitmap
 from .words import WHITE_LOWER, Words, blocks, mix
 
 BUCKETS, BANDS, ROWS, MANTISSA = 256, 64, 8, 10
 BUCKET_BITS = BUCKETS.bit_length() - 1
+#: bits that hold how often, odd or even, the elements of a set fall on them
+PARITY = 1024
 SLACK = 0.15  # six standard deviations of the estimate at a similarity of 0.8
 #: registers of smaller sets are mostly copies of others and differ together: no test of their bits, and none of the estimate
 BITS_FROM, ESTIMATE_FROM = BUCKETS, 32
@@ -68,6 +72,14 @@ def registers(grams: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return _filled(np.where(least == np.iinfo(np.uint64).max, 0, value).astype(np.uint16).reshape(n, BUCKETS))
 
 
+def parities(grams: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """n rows of PARITY bits; each element of a set turns one of them, so two sets differ in at least as many elements as bits."""
+    at, times = np.unique(of * PARITY + (grams & np.uint64(PARITY - 1)).astype(np.int64), return_counts=True)
+    bits = np.zeros(n * PARITY, np.uint8)
+    bits[at[times % 2 == 1]] = 1
+    return np.packbits(bits.reshape(n, PARITY), axis=1).view(np.int64)
+
+
 def _filled(reg: np.ndarray) -> np.ndarray:
     """Empty buckets borrow from the first filled one in their own order, so small sets agree as often as large ones."""
     out, held = reg.copy(), reg > 0
@@ -127,10 +139,10 @@ def sketches(docs: DataFrame, ident: str, text: str, words: int) -> DataFrame:
                 reg = registers(grams, of, len(held))
                 yield pd.DataFrame({"id": batch["id"].iloc[at:at + len(held)], "n": n, "sum": (total[first[1:]] - total[first[:-1]]).view(np.int64),
                                     "xor": parity.view(np.int64), "registers": [r.tobytes() for r in reg],
-                                    "bits": list(np.packbits(reg & 1, axis=1).view(np.int64))})
+                                    "bits": list(np.packbits(reg & 1, axis=1).view(np.int64)), "parity": list(parities(mix(grams), of, len(held)))})
     said, back = carried(docs, ident)
     return docs.select(said.alias("id"), F.col(text).alias("text")).mapInPandas(
-        make, "id string, n bigint, sum bigint, xor bigint, registers binary, bits array<bigint>").withColumn("id", back("id"))
+        make, "id string, n bigint, sum bigint, xor bigint, registers binary, bits array<bigint>, parity array<bigint>").withColumn("id", back("id"))
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -154,6 +166,12 @@ def _bits_fit(a: Column, b: Column, percent: int) -> Column:
     return differ <= int(most)
 
 
+def _parity_fits(a: Column, b: Column, n: Column, m: Column, percent: int) -> Column:
+    """Sets that reach the similarity differ in at most this share of their elements, and so of their parity bits: no link is lost."""
+    differ = reduce(lambda acc, k: acc + F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))), range(PARITY // 64), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (n + m)
+
+
 def _close(least: float):
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
@@ -186,7 +204,9 @@ def _sets(docs: DataFrame, ident: str, text: str, words: int, wanted: DataFrame)
                 out = [np.unique(grams[first[d]:first[d + 1]] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for d in range(len(held))]
                 yield pd.DataFrame({"id": batch["id"].iloc[at:at + len(held)], "set": out})
     kind = docs.schema[ident].dataType.simpleString()
-    rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
+    # a bitmap of the wanted ids, of fixed size, spares most texts the shuffle; what it lets through by chance the join drops
+    named = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(ident)).alias("key"))
+    rows = in_bitmap(named, wanted.select(F.xxhash64("id").alias("key"))).drop("key").join(wanted, "id", "left_semi")
     return rows.mapInPandas(make, f"id {kind}, set binary")
 
 
@@ -219,8 +239,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, ident: str, text: str, words: i
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row: the smallest id reachable over links of at least ``percent`` similarity."""
     made = stored(sketches(docs, ident, text, words), "sketches")
-    classes = stored(made.where("n > 0 and id is not null").groupBy("sum", "xor", "n").agg(F.min("id").alias("id"), F.first(F.struct("registers", "bits")).alias("s"))
-                     .select("id", "n", "s.registers", "s.bits", "sum", "xor"), "classes")
+    classes = stored(made.where("n > 0 and id is not null").groupBy("sum", "xor", "n").agg(F.min("id").alias("id"), F.first(F.struct("registers", "bits", "parity")).alias("s"))
+                     .select("id", "n", "s.registers", "s.bits", "s.parity", "sum", "xor"), "classes")
     keyed = bands(classes)
     many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = stored(keyed.join(many, "key"), "buckets")
@@ -233,12 +253,12 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     placed = shared.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     open_keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1")
-    still = stored(placed.join(open_keys.select("key", "largest"), "key").join(classes.select("id", F.col("n").alias("size"), "bits"), "id"), "open")
-    here = still.where("component != largest").select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("size").alias("n_a"), F.col("bits").alias("bits_a"), "largest")
-    there = still.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("size").alias("n_b"), F.col("bits").alias("bits_b"))
+    still = stored(placed.join(open_keys.select("key", "largest"), "key").join(classes.select("id", F.col("n").alias("size"), "bits", "parity"), "id"), "open")
+    here = still.where("component != largest").select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("size").alias("n_a"), F.col("bits").alias("bits_a"), F.col("parity").alias("par_a"), "largest")
+    there = still.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("size").alias("n_b"), F.col("bits").alias("bits_b"), F.col("parity").alias("par_b"))
     # two outsiders meet once; an outsider meets all of the largest component
     meet = here.join(there, (here["key"] == there["key"]) & (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("largest")) | (F.col("a") < F.col("b")))
-                     & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)
+                     & _sizes_fit(F.col("n_a"), F.col("n_b"), percent) & _parity_fits(F.col("par_a"), F.col("par_b"), F.col("n_a"), F.col("n_b"), percent)
                      & ((F.least("n_a", "n_b") < BITS_FROM) | _bits_fit(F.col("bits_a"), F.col("bits_b"), percent))).select("a", "b").distinct()
     # pairs that were tested as stars and failed need no second test
     rest = stored(_likely(meet.join(stars, ["a", "b"], "left_anti"), classes, percent), "rest")

@@ -120,7 +120,7 @@ def within_edits(a: Column, b: Column, errors: int) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= errors) & (end <= errors)
 
 
-def _in_bitmap(probes: DataFrame, keys: DataFrame) -> DataFrame:
+def in_bitmap(probes: DataFrame, keys: DataFrame) -> DataFrame:
     """The probes whose key may be among the keys: a broadcast of at most BITMAP_WORDS rows spares the rest the shuffle."""
     word = lambda k: F.col(k).bitwiseAND(BITMAP_WORDS - 1)
     bits = keys.select(word("key").alias("word"), F.expr("shiftleft(1L, int(shiftrightunsigned(key, 58)))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
@@ -137,7 +137,7 @@ def copied_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", err
     one = keyed.select(F.col("h").alias("h_a"), F.col("c").alias("c_a"), F.col("counts0").alias("a0"), F.col("counts1").alias("a1"), F.explode("own").alias("key"))
     two = keyed.select(F.col("h").alias("h_b"), F.col("c").alias("c_b"), F.col("counts0").alias("b0"), F.col("counts1").alias("b1"), F.explode("near").alias("key"))
     # every line finds its own segments: probes that only its own line can answer are not told apart here, the join drops them
-    two = _in_bitmap(two, keyed.select(F.explode("own").alias("key")))
+    two = in_bitmap(two, keyed.select(F.explode("own").alias("key")))
     fits = (one["key"] == two["key"]) & ((F.col("h_a") != F.col("h_b")) | (F.col("c_a") != F.col("c_b"))) & counts_fit(
         [F.col("a0"), F.col("a1")], [F.col("b0"), F.col("b1")], errors)
     found = one.join(two, fits).select("h_a", "c_a", "h_b", "c_b").distinct()

@@ -83,3 +83,18 @@ def test_contaminated_rows_go_by_row(spark):
 def test_encoding_of_all_rows(spark):
     docs, rows = awkward(spark)
     assert sorted((r.doc_id for r in corpus_pipeline.encoding(spark, docs, SF).collect()), key=repr) == sorted((i for i, _ in rows), key=repr)
+
+
+def test_parity_bits_lose_no_link():
+    """Two sets differ in at least as many elements as parity bits, whatever their sizes."""
+    import numpy as np
+
+    from placewright.llm.words import mix
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 40, 700, 5000):
+        a = mix(rng.integers(0, 2 ** 62, n).astype(np.uint64))
+        for keep in (0, n // 2, n):
+            b = np.concatenate((a[:keep], mix(rng.integers(0, 2 ** 62, n // 3 + 1).astype(np.uint64))))
+            both = hyper_minhash.parities(np.concatenate((a, b)), np.repeat([0, 1], [len(a), len(b)]), 2)
+            turned = sum(int(x).bit_count() for x in (both[0] ^ both[1]).view(np.uint64))
+            assert turned <= len(np.setxor1d(a, b))
