@@ -145,3 +145,13 @@ def readable(read, empty: DataFrame, attempts: int = 3, wait_s: float = 0.3) ->
         return retried(read, attempts, wait_s)
     except Exception:  # the source is unreachable or unreadable
         return empty
+
+
+def read_and_log(read, empty: DataFrame, source: str, as_of: Column, attempts: int = 3, wait_s: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """(rows, log row): a source that fails every time gives no rows, and the log says that it failed and why."""
+    from ..operators.tables import ingest_log_row
+    try:
+        rows = retried(read, attempts, wait_s)
+        return rows, ingest_log_row(rows, source, as_of)
+    except Exception as failure:  # unreachable or unreadable: kept in the log
+        return empty, ingest_log_row(empty, source, as_of, False, f"{type(failure).__name__}: {failure}"[:500])

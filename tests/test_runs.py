@@ -188,6 +188,11 @@ def test_retry_then_give_up(spark):
         readers.retried(read, 2, 0)
     tried.clear()
     assert readers.readable(read, spark.range(0), 2, 0).count() == 0
+    tried.clear()
+    gone, log = readers.read_and_log(read, spark.range(0), "site", F.lit(dt.datetime(2024, 1, 1)), 2, 0)
+    assert gone.count() == 0 and rows(log, "source", "count", "ok", "note") == [("site", 0, False, "OSError: not yet")]
+    here, log = readers.read_and_log(read, spark.range(0), "site", F.lit(dt.datetime(2024, 1, 1)), 2, 0)
+    assert here.count() == 2 and rows(log, "count", "ok", "note") == [(2, True, None)]
 
 
 def test_a_lost_run_leaves_the_old_state(spark, tmp_path, monkeypatch):
