@@ -135,25 +135,22 @@ class _Cards(HTMLParser):
 def css_rows(pages: DataFrame, container: str, fields: dict[str, str], page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per container; ``fields`` maps a column to ``selector`` (text) or ``selector@attribute``.
 
-    Pages are parsed in Arrow batches, each page whole; nothing is shared between pages.
+    A table function in a lateral join: each page gives its rows and keeps its columns, so nothing is joined back by id and a page
+    that stands twice gives its rows twice. Null html has no rows. Nothing is shared between pages.
     """
     names = list(fields)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for ident, text in zip(batch[page], batch[html]):
-                cards = _Cards(container, fields)
-                cards.feed(text or "")
-                cards.close()
-                for i, row in enumerate(cards.rows):
-                    values = [" ".join(row[n].split()) or None if row.get(n) is not None else None for n in names]
-                    out.append([ident, i, *values])
-            yield pd.DataFrame(out, columns=[page, "pos", *names])
-
-    kind = dict(pages.dtypes)[page]
-    schema = ", ".join([f"{page} {kind}", "pos int", *[f"{n} string" for n in names]])
-    return pages.select(page, html).mapInPandas(parse, schema).join(pages.select(page, F.col(url).alias("source_url")), page)
+    class Rows:
+        def eval(self, text: str | None):
+            cards = _Cards(container, fields)
+            cards.feed(text or "")
+            cards.close()
+            for i, row in enumerate(cards.rows):
+                yield (i, *(" ".join(row[n].split()) or None if row.get(n) is not None else None for n in names))
+
+    rows = F.udtf(Rows, returnType=", ".join(["pos int", *[f"`{n}` string" for n in names]]), useArrow=True)
+    found = pages.select(page, F.col(url).alias("source_url"), F.col(html).alias("_html")).lateralJoin(rows(F.col("_html").outer()))
+    return found.select(page, "pos", *names, "source_url")
 
 
 # ---- several methods --------------------------------------------------------------------------------

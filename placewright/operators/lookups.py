@@ -5,7 +5,7 @@ by its key instead.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -160,11 +160,36 @@ def attach_by_name(df: DataFrame, name: str, dim: DataFrame, key: str, how: str
 
 # ---- areas -----------------------------------------------------------------------------------
 
+def _grams(text: str, size) -> Column:
+    """The distinct runs of ``size`` letters of a text; none where it is shorter."""
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substr(F.col(text), i, size)))
+
+
+def contained_candidates(inner: DataFrame, outer: DataFrame, size: int = 3) -> DataFrame:
+    """(inner, outer) of distinct texts that share the rarest letter group of the inner one, by counts over the outer ones.
+
+    One key per inner text, so a common group brings nothing together as long as a rarer one is there; an inner text with a group that no
+    outer one has is out at once. Texts shorter than a group are groups of their own length.
+    """
+    own = inner.select("inner", F.least(F.length("inner"), F.lit(size)).alias("_q")).withColumn("_g", F.explode(_grams("inner", F.col("_q"))))
+    held = outer.select("outer", F.explode(F.array_distinct(F.concat(*[_grams("outer", F.lit(q)) for q in range(1, size + 1)]))).alias("_g"))
+    counts = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = own.join(counts, "_g", "left").groupBy("inner").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_r")).where("_r.n > 0")
+    met = rarest.select("inner", F.col("_r.g").alias("_g")).join(held, "_g")
+    return met.where(F.length("inner") <= F.length("outer")).select("inner", "outer")
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer) of distinct texts where the outer one holds the inner one."""
+    return contained_candidates(inner, outer).where(F.col("outer").contains(F.col("inner")))
+
+
 def standard_areas(df: DataFrame, area: str, area_dim: DataFrame, out: str = "standard_area") -> DataFrame:
     """Standard area by exact synonym, then by containment either way, in listing order; unknown text is kept.
 
-    Areas are reduced to their distinct spellings first, so the containment test runs once per spelling. It
-    runs on letter groups shared by area and synonym, not on a product of the two tables.
+    Areas are reduced to their distinct spellings first, so the containment test runs once per spelling, and only for those
+    that no synonym equals.
     ``area_dim``: area, synonym, ord.
     """
     low = F.lower(F.trim(area))
@@ -173,15 +198,12 @@ def standard_areas(df: DataFrame, area: str, area_dim: DataFrame, out: str = "st
     first = spellings.join(sized(exact), F.col("_a") == F.col("synonym"), "left").drop("synonym")
     missing = first.where(F.col("_exact").isNull()).select("_a")
 
-    def grams(c, q):
-        return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - q + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(q)))))
-    short = F.least(F.length("_a"), F.length("synonym"))
-    pieces, dim = [], area_dim.where(F.length("synonym") > 0)
-    for q in (3, 2, 1):
-        at_least = short >= 3 if q == 3 else short == q
-        cand = missing.withColumn("_g", grams("_a", q)).join(sized(dim.withColumn("_g", grams("synonym", q))), "_g").where(at_least)
-        pieces.append(cand.where(F.col("_a").contains(F.col("synonym")) | F.col("synonym").contains(F.col("_a"))).select("_a", "area", "ord"))
-    both = pieces[0].unionByName(pieces[1]).unionByName(pieces[2]).groupBy("_a").agg(F.min_by("area", "ord").alias("_part"))
+    names = area_dim.where(F.length("synonym") > 0)
+    inside = contained(names.select(F.col("synonym").alias("inner")).distinct(), missing.select(F.col("_a").alias("outer"))).select(
+        F.col("outer").alias("_a"), F.col("inner").alias("synonym"))
+    around = contained(missing.select(F.col("_a").alias("inner")), names.select(F.col("synonym").alias("outer")).distinct()).select(
+        F.col("inner").alias("_a"), F.col("outer").alias("synonym"))
+    both = inside.unionByName(around).join(names, "synonym").groupBy("_a").agg(F.min_by("area", "ord").alias("_part"))
     known = first.join(both, "_a", "left").select("_a", F.initcap(F.coalesce("_exact", "_part")).alias("_std")).where("_std is not null")
     return df.join(known, low == F.col("_a"), "left").withColumn(out, F.coalesce("_std", area)).drop("_a", "_std")
 

@@ -334,3 +334,18 @@ def test_percentiles_of_large_groups(spark):
     every = [v for vs in values.values() for v in vs]
     assert [whole[n] for n in points] == pytest.approx([float(np.quantile(every, p)) for p in points.values()])
     assert exact_percentiles(df.limit(0), ["k"], "v", points).count() == 0
+
+
+def test_contained_texts(spark):
+    """Both ways against brute force, and few candidates for many synonyms with a common word."""
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdef") for _ in range(n))
+    inner = sorted({word(rnd.randint(1, 6)) for _ in range(150)} | {"é", "a b"})
+    outer = sorted({word(rnd.randint(1, 14)) for _ in range(150)} | {"xa bx", "", "éé"})
+    frame = lambda texts, name: spark.createDataFrame([(t,) for t in texts], f"{name} string")
+    got = {tuple(r) for r in lookups.contained(frame(inner, "inner"), frame(outer, "outer")).collect()}
+    assert got == {(i, o) for i in inner for o in outer if i in o}
+    synonyms = spark.range(100_000).select(F.concat(F.substr(F.md5(F.col("id").cast("string")), F.lit(1), F.lit(8)), F.lit(" district")).alias("inner"))
+    areas = synonyms.limit(500).select(F.concat(F.lit("near "), "inner").alias("outer"))
+    met = lookups.contained_candidates(synonyms, areas)
+    assert 500 <= met.count() <= 500 * 60 and lookups.contained(synonyms, areas).count() == 500
