@@ -68,3 +68,20 @@ def _(spark, sf):
     states = jobs.rolling_metrics(_events(spark, sf), ["event_type"], "ts", "value")
     jobs.run_batches(states, jobs.keyed_states(f"{root}/t", ["event_type", "window_start"]), f"{root}/c", mode="update").awaitTermination()
     return jobs.last_states(spark, f"{root}/t", ["event_type", "window_start"]).select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n", F.round("total", 4).alias("total"))
+
+
+@query("stream_expiry", "ST6 C1", """SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 12 HOUR - INTERVAL 1 MINUTE""")
+def _(spark, sf):
+    """Users of whom nothing has come for twelve hours leave the state."""
+    root = _folder(spark)
+    gone = jobs.expired_keys(_events(spark, sf), "user_id", "ts", 12 * 3600, "1 minute")
+    jobs.append_parquet(gone, f"{root}/t", f"{root}/c").awaitTermination()
+    return spark.read.parquet(f"{root}/t").select("user_id", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"))
+
+
+@query("live_index_rows", "ST6 C1", """SELECT user_id, CASE WHEN age <= 43200 THEN 'fresh' ELSE 'stale' END AS state FROM (SELECT user_id, epoch((SELECT max(ts) FROM events))::bigint - epoch(max(ts))::bigint AS age FROM events GROUP BY 1) WHERE age <= 86400""")
+def _(spark, sf):
+    """What a read at the time of the last event still takes: fresh for twelve hours, stale for twelve more."""
+    built = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("built_at"))
+    now = built.agg(F.max("built_at")).first()[0]
+    return jobs.live_rows(built, F.lit(now), 43200, 43200).select("user_id", "state")

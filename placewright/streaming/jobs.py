@@ -1,12 +1,14 @@
 """Structured Streaming: micro-batch ingest, stateful dedup, rolling metrics, upsert sink."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import tables
 from ..operators.facets import freshness_state
@@ -88,6 +90,31 @@ def last_states(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
     return current(Store(spark, root), "rows", keys)
 
 
+def expired_keys(stream: DataFrame, key: str, ts: str, ttl_s: int, delay: str = "0 seconds") -> DataFrame:
+    """(key, last): a key leaves the state, and is given out, once nothing newer has come for ``ttl_s`` seconds of event time.
+
+    Only the newest time of each live key is kept. A key that comes back starts anew.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        if not state.hasTimedOut:
+            last = max([*([last] if last is not None else []), *(int(f["us"].max()) for f in frames)])
+            until = last // 1000 + ttl_s * 1000
+            if until > state.getCurrentWatermarkMs():
+                state.update((last,))
+                state.setTimeoutTimestamp(until)
+                return
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame({"key": [group[0]], "last": pd.to_datetime([last], unit="us")})
+
+    rows = stream.withWatermark(ts, delay).select(F.col(key).alias("key"), F.col(ts), F.unix_micros(ts).alias("us")).where(F.col("key").isNotNull() & F.col("us").isNotNull())
+    gone = rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, last timestamp", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return gone.withColumnRenamed("key", key)
+
+
 def append_parquet(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
