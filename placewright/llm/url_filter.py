@@ -32,6 +32,22 @@ class Vocabulary:
 
 
 VOCABULARY = Vocabulary()
+#: a vocabulary is sent to every task, so a table of more terms is refused
+MOST_TERMS = 1_000_000
+
+
+def vocabulary_of(terms: DataFrame, term: str = "term", strict: str = "strict", soft_needed: int = 2) -> Vocabulary:
+    """A vocabulary from a table of (term, whether it is strict): a Parquet, CSV or other table read by Spark.
+
+    Terms are taken in small letters (A-Z) without white space around them; null and empty ones are left out, a null mark is soft, and a term
+    given both ways is strict.
+    """
+    word = F.trim(F.translate(F.col(term).cast("string"), A_Z, SMALL))
+    rows = (terms.select(word.alias("t"), F.coalesce(F.col(strict).cast("boolean"), F.lit(False)).alias("s")).where("t != ''")
+            .groupBy("t").agg(F.max("s").alias("s")).limit(MOST_TERMS + 1).collect())
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a vocabulary holds at most {MOST_TERMS} terms")
+    return Vocabulary(tuple(sorted(r.t for r in rows if r.s)), tuple(sorted(r.t for r in rows if not r.s)), soft_needed)
 
 
 @dataclass(frozen=True)
