@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .skew import HOT_ROWS, hot_keys, salted_join
+from .skew import HOT_ROWS, measured_join
 
 
 def _chosen(edges: DataFrame, first: bool, turn: int) -> DataFrame:
@@ -17,16 +17,10 @@ def _chosen(edges: DataFrame, first: bool, turn: int) -> DataFrame:
     return near.select("v", F.least(place("v"), "least")["v"].alias("to"))
 
 
-def _joined(left: DataFrame, right: DataFrame, key: str, salt_on: str, how: str, hot_rows: int) -> DataFrame:
-    """A join whose left side is salted where, and only where, it has hot keys; they are counted first, so the usual plan is a plain join."""
-    hot = written(hot_keys(left, [key], hot_rows))
-    return left.join(right, key, how) if hot.isEmpty() else salted_join(left, right, [key], [salt_on], how, hot_rows, hot=hot)
-
-
 def _followed(chosen: DataFrame, hot_rows: int) -> DataFrame:
     """Every vertex one step further: to what its choice has chosen."""
     target = chosen.select(F.col("v").alias("to"), F.col("to").alias("_next"))
-    return _joined(chosen, target, "to", "v", "left", hot_rows).select("v", F.coalesce("_next", "to").alias("to"))
+    return measured_join(chosen, target, ["to"], ["v"], "left", hot_rows).select("v", F.coalesce("_next", "to").alias("to"))
 
 
 def contracted(edges: DataFrame, first: bool, turn: int, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +29,7 @@ def contracted(edges: DataFrame, first: bool, turn: int, hot_rows: int = HOT_ROW
     moved = edges
     for side, other in (("a", "b"), ("b", "a")):
         target = chosen.select(F.col("v").alias(side), F.col("to").alias("_to"))
-        moved = written(_joined(moved, target, side, other, "inner", hot_rows).select(F.col("_to").alias(side), other))
+        moved = written(measured_join(moved, target, [side], [other], "inner", hot_rows).select(F.col("_to").alias(side), other))
     left = moved.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return chosen, written(left)
 
@@ -59,8 +53,8 @@ def components(edges: DataFrame, a: str = "id_a", b: str = "id_b", hot_rows: int
     roots = moves[-1]
     for chosen in reversed(moves[:-1]):
         target = roots.select(F.col("v").alias("to"), F.col("to").alias("_root"))
-        roots = written(_joined(chosen, target, "to", "v", "left", hot_rows).select("v", F.coalesce("_root", "to").alias("to")))
+        roots = written(measured_join(chosen, target, ["to"], ["v"], "left", hot_rows).select("v", F.coalesce("_root", "to").alias("to")))
     least = roots.groupBy("to").agg(F.min(F.least("v", "to")).alias("component"))
-    found = written(_joined(roots, written(least), "to", "v", "inner", hot_rows).select(F.col("v").alias("id"), "component"))
+    found = written(measured_join(roots, written(least), ["to"], ["v"], "inner", hot_rows).select(F.col("v").alias("id"), "component"))
     loops = alone.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component")).join(found, "id", "left_anti")
     return found.unionByName(loops)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import keys as K
 from ..functions.text import match_address, match_name
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .graph import components
 from .similarity import similar_texts
-from .skew import HOT_ROWS, salted_join
+from .skew import HOT_ROWS, measured_join, salted_join
 
 
 def with_match_columns(df: DataFrame) -> DataFrame:
@@ -62,12 +62,13 @@ def nearest_within(df: DataFrame, x: str, y: str, tolerance: float, seq: str = "
                  .select("_id", "_x", "_y", (F.floor(F.col("_x") / size) + F.col("dx")).alias("cx"),
                          (F.floor(F.col("_y") / size) + F.col("dy")).alias("cy")))
         dx, dy = F.col("_x") - F.col("px"), F.col("_y") - F.col("py")
-        near = (salted_join(held, asked, ["cx", "cy"], ["p"], "inner", hot_rows).where(F.col("p") < F.col("_id"))
+        near = (measured_join(held, asked, ["cx", "cy"], ["p"], "inner", hot_rows).where(F.col("p") < F.col("_id"))
                 .withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= size)
                 .groupBy("_id").agg(F.min(F.struct("d", "p")).alias("m")))
+        near = written(near)  # read by the result and by who still asks
         out = out.unionByName(near.select(F.col("_id").alias(seq), F.col("m.p").alias("match"), F.col("m.d").alias("distance")))
         if level:
-            asking = asking.join(near.select("_id"), "_id", "left_anti")
+            asking = written(asking.join(near.select("_id"), "_id", "left_anti"))
     return out
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 SALTS = 64
 HOT_ROWS = 1_000_000
 
@@ -15,6 +17,12 @@ def hot_keys(df: DataFrame, keys: list[str], at_least: int = HOT_ROWS) -> DataFr
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= at_least).select(*keys)
 
 
+def measured_join(left: DataFrame, right: DataFrame, keys: list[str], salt_on: list[str], how: str = "inner", at_least: int = HOT_ROWS) -> DataFrame:
+    """A join that is salted where, and only where, the left side has hot keys; they are counted first, so the usual plan is a plain join."""
+    hot = written(hot_keys(left, keys, at_least))
+    return left.join(right, keys, how) if hot.isEmpty() else salted_join(left, right, keys, salt_on, how, at_least, hot=hot)
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_on: list[str], how: str = "inner",
                 at_least: int = HOT_ROWS, salts: int = SALTS, hot: DataFrame | None = None) -> DataFrame:
     """Equi-join in which hot keys of the left side are spread over ``salts`` tasks.
