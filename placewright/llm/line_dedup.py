@@ -6,8 +6,8 @@ corpus (by id, then line number). Copies are removed, the earliest stays; shorte
 Equal lines become one row first. Each distinct line is cut into ``errors + 1`` nearly equal segments: two lines within
 the distance share a segment, at a place that differs by few characters. Lines index their own segments by (length,
 number, text); every line probes the indexes of its own and the ``errors`` next shorter lengths at the few places that
-the multi-match-aware bounds leave (12 for two errors). Keys are 64-bit hashes; probes for which a bitmap of fixed size
-shows no segment are dropped before the shuffle. Each side carries the counts of sixteen frequent characters, whose distance
+the multi-match-aware bounds leave (12 for two errors, of which three are its own segments). Keys are 64-bit hashes. Bitmaps of
+fixed size drop probes for which there is no segment, and segments that no other line has or asks for, before the shuffle. Each side carries the counts of sixteen frequent characters, whose distance
 is part of the join condition: lines that differ in a whole word rarely come out as candidates, so a template with many
 fillings does not give all its pairs. The candidates' texts are then read and compared by a
 banded bit-parallel edit distance, exact, in one ``aggregate`` over the longer line's characters.
@@ -55,12 +55,14 @@ def index_keys(line: str, errors: int) -> Column:
 
 
 def probe_keys(line: str, errors: int) -> Column:
-    """The keys under which a line of the same or a smaller length within ``errors`` must stand."""
+    """The keys under which a line of the same or a smaller length within ``errors`` must stand, but for the line's own keys."""
     n, out = F.length(line), []
     for gap in range(errors + 1):
         for i in range(errors + 1):
             p, size = _cut(n - gap, i, errors)
             for shift in range(max(-i, gap - (errors - i)), min(i, gap + errors - i) + 1):
+                if not gap and not shift:
+                    continue
                 out.append(F.xxhash64(n - gap, F.lit(i), F.substr(line, p + shift + 1, size)))
     return F.array(*out)
 
@@ -123,9 +125,9 @@ def within_edits(a: Column, b: Column, errors: int) -> Column:
 def in_bitmap(probes: DataFrame, keys: DataFrame) -> DataFrame:
     """The probes whose key may be among the keys: a broadcast of at most BITMAP_WORDS rows spares the rest the shuffle."""
     word = lambda k: F.col(k).bitwiseAND(BITMAP_WORDS - 1)
-    bits = keys.select(word("key").alias("word"), F.expr("shiftleft(1L, int(shiftrightunsigned(key, 58)))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    held = probes.withColumn("word", word("key")).join(F.broadcast(bits), "word")
-    return held.where("(bits & shiftleft(1L, int(shiftrightunsigned(key, 58)))) != 0").drop("word", "bits")
+    bits = keys.select(word("key").alias("_word"), F.expr("shiftleft(1L, int(shiftrightunsigned(key, 58)))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    held = probes.withColumn("_word", word("key")).join(F.broadcast(bits), "_word")
+    return held.where("(_bits & shiftleft(1L, int(shiftrightunsigned(key, 58)))) != 0").drop("_word", "_bits")
 
 
 def copied_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -134,13 +136,21 @@ def copied_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", err
     once = lines.groupBy("line").agg(F.min(F.struct("id", "at")).alias("first"))
     keyed = stored(once.select(*_names(), "first", *[char_counts("line", x).alias(f"counts{i}") for i, x in enumerate(COUNTED)], index_keys("line", errors).alias("own"),
                                probe_keys("line", errors).alias("near")), "lines")
+    # lines of one length that share a segment in its place meet on a key that several lines own; keys of a single line
+    # that no other line asks for bring nothing together, and neither they nor what asks in vain is shuffled
+    own = keyed.select(F.explode("own").alias("key"))
+    several = own.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key")
     one = keyed.select(F.col("h").alias("h_a"), F.col("c").alias("c_a"), F.col("counts0").alias("a0"), F.col("counts1").alias("a1"), F.explode("own").alias("key"))
     two = keyed.select(F.col("h").alias("h_b"), F.col("c").alias("c_b"), F.col("counts0").alias("b0"), F.col("counts1").alias("b1"), F.explode("near").alias("key"))
-    # every line finds its own segments: probes that only its own line can answer are not told apart here, the join drops them
-    two = in_bitmap(two, keyed.select(F.explode("own").alias("key")))
-    fits = (one["key"] == two["key"]) & ((F.col("h_a") != F.col("h_b")) | (F.col("c_a") != F.col("c_b"))) & counts_fit(
-        [F.col("a0"), F.col("a1")], [F.col("b0"), F.col("b1")], errors)
-    found = one.join(two, fits).select("h_a", "c_a", "h_b", "c_b").distinct()
+    two = in_bitmap(two, own)
+    close = counts_fit([F.col("a0"), F.col("a1")], [F.col("b0"), F.col("b1")], errors)
+    asked = in_bitmap(one, two.select("key"))
+    met = asked.join(two, (asked["key"] == two["key"]) & ((F.col("h_a") != F.col("h_b")) | (F.col("c_a") != F.col("c_b"))) & close)
+    shared = in_bitmap(one, several)
+    again = shared.select("key", *[F.col(x).alias(y) for x, y in (("h_a", "h_b"), ("c_a", "c_b"), ("a0", "b0"), ("a1", "b1"))])
+    alike = shared.join(again, (shared["key"] == again["key"]) & (F.struct("h_a", "c_a") < F.struct("h_b", "c_b")) & close)
+    names = ["h_a", "c_a", "h_b", "c_b"]
+    found = met.select(*names).unionByName(alike.select(*names)).distinct()
     place = keyed.select("h", "c", "first")
     found = found.join(place.select(F.col("h").alias("h_a"), F.col("c").alias("c_a"), F.col("first").alias("first_a")), ["h_a", "c_a"])
     found = found.join(place.select(F.col("h").alias("h_b"), F.col("c").alias("c_b"), F.col("first").alias("first_b")), ["h_b", "c_b"])
