@@ -186,10 +186,16 @@ def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be among the ids: a bitmap of fixed size spares the others the shuffle of a join that follows."""
+    return in_bitmap(rows.withColumn("key", F.xxhash64("id")), ids.select(F.xxhash64("id").alias("key"))).drop("key")
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and estimate allow a link."""
-    one = classes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
-    two = classes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
+    met = _among(classes, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    one = met.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
+    two = met.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
     both = pairs.join(one, "a").join(two, (pairs["b"] == two["b"]) & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)).drop(pairs["b"])
     return both.where(_close(percent / 100 - SLACK)("r_a", "r_b", "n_a", "n_b")).select("a", "b")
 
@@ -204,9 +210,8 @@ def _sets(docs: DataFrame, ident: str, text: str, words: int, wanted: DataFrame)
                 out = [np.unique(grams[first[d]:first[d + 1]] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for d in range(len(held))]
                 yield pd.DataFrame({"id": batch["id"].iloc[at:at + len(held)], "set": out})
     kind = docs.schema[ident].dataType.simpleString()
-    # a bitmap of the wanted ids, of fixed size, spares most texts the shuffle; what it lets through by chance the join drops
-    named = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(ident)).alias("key"))
-    rows = in_bitmap(named, wanted.select(F.xxhash64("id").alias("key"))).drop("key").join(wanted, "id", "left_semi")
+    # wanted ids are distinct; a semi join would be pushed below the bitmap and shuffle every text
+    rows = _among(docs.select(F.col(ident).alias("id"), F.col(text).alias("text")), wanted).join(wanted, "id")
     return rows.mapInPandas(make, f"id {kind}, set binary")
 
 
@@ -253,7 +258,8 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     placed = shared.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     open_keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1")
-    still = stored(placed.join(open_keys.select("key", "largest"), "key").join(classes.select("id", F.col("n").alias("size"), "bits", "parity"), "id"), "open")
+    unsettled = stored(placed.join(open_keys.select("key", "largest"), "key"), "unsettled")
+    still = stored(unsettled.join(_among(classes.select("id", F.col("n").alias("size"), "bits", "parity"), unsettled), "id"), "open")
     here = still.where("component != largest").select("key", F.col("id").alias("a"), F.col("component").alias("c_a"), F.col("size").alias("n_a"), F.col("bits").alias("bits_a"), F.col("parity").alias("par_a"), "largest")
     there = still.select("key", F.col("id").alias("b"), F.col("component").alias("c_b"), F.col("size").alias("n_b"), F.col("bits").alias("bits_b"), F.col("parity").alias("par_b"))
     # two outsiders meet once; an outsider meets all of the largest component
