@@ -9,8 +9,8 @@ from .urls import domain_of
 
 
 def fixed(x: Column | str, digits: int = 3) -> Column:
-    """Fixed decimals, so a key never depends on how doubles print."""
-    return F.format_string(f"%.{digits}f", F.bround(col(x), digits))
+    """Fixed decimals, so a key never depends on how doubles print. Ties are judged on the scaled number and go to the even digit."""
+    return F.format_string(f"%.{digits}f", F.rint(col(x) * 10.0 ** digits) / 10.0 ** digits)
 
 
 def event_identity(title: Column | str, start: Column | str, venue: Column | str) -> Column:

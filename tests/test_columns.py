@@ -149,3 +149,8 @@ def test_list_places(spark):
     got = one(spark, H.list_places("x"), data=html)[0]
     assert [(p["name"], p["description"]) for p in got] == [("Blue Door by the river bank", "1. Blue Door by the river bank"),
                                                            ("Old Hall, open every day", "– Old Hall, open every day"), ("x and more text here", "12. - x and more text here")]
+
+
+def test_fixed_ties(spark):
+    """A coordinate a last bit off a tie counts as the tie."""
+    assert [one(spark, K.fixed(F.lit(v)))[0] for v in (13.5005, 13.836500000000001, 100.74549999999999, 13.5534)] == ["13.500", "13.836", "100.746", "13.553"]
