@@ -53,9 +53,9 @@ def centre_by_words(name: Column | str, address: Column | str, districts=rules.D
 
 
 def nearest_district(lat, lng, districts=rules.DISTRICTS) -> Column:
-    """Struct (distance, name) of the nearest centre."""
-    return F.array_min(F.array(*[F.struct(degree_distance(lat, lng, F.lit(la), F.lit(ln)).alias("distance"),
-                                          F.lit(name).alias("name")) for name, la, ln, _ in districts]))
+    """Struct (distance, place, name) of the nearest centre, the first in the list on ties."""
+    return F.array_min(F.array(*[F.struct(degree_distance(lat, lng, F.lit(la), F.lit(ln)).alias("distance"), F.lit(i).alias("place"),
+                                          F.lit(name).alias("name")) for i, (name, la, ln, _) in enumerate(districts)]))
 
 
 def provider_price(level: Column | str) -> Column:

@@ -154,3 +154,7 @@ def test_list_places(spark):
 def test_fixed_ties(spark):
     """A coordinate a last bit off a tie counts as the tie."""
     assert [one(spark, K.fixed(F.lit(v)))[0] for v in (13.5005, 13.836500000000001, 100.74549999999999, 13.5534)] == ["13.500", "13.836", "100.746", "13.553"]
+
+
+def test_nearest_district_ties(spark):
+    assert one(spark, G.nearest_district(F.lit(13.5), F.lit(100.0), [("late", 13.0, 100.0, 1.0), ("early", 14.0, 100.0, 1.0)])["name"])[0] == "late"
