@@ -81,7 +81,8 @@ def _(spark, sf):
 
 @query("live_index_rows", "ST6 C1", """SELECT user_id, CASE WHEN age <= 43200 THEN 'fresh' ELSE 'stale' END AS state FROM (SELECT user_id, epoch((SELECT max(ts) FROM events))::bigint - epoch(max(ts))::bigint AS age FROM events GROUP BY 1) WHERE age <= 86400""")
 def _(spark, sf):
-    """What a read at the time of the last event still takes: fresh for twelve hours, stale for twelve more."""
-    built = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("built_at"))
+    """What a read at the time of the last event still takes: fresh for twelve hours, stale for twelve more. Times count by the nearest second."""
+    micros = F.unix_micros(F.max("ts").cast("timestamp"))
+    built = table(spark, sf, "events").groupBy("user_id").agg(F.timestamp_seconds(F.rint(micros / 1e6).cast("long")).alias("built_at"))
     now = built.agg(F.max("built_at")).first()[0]
     return jobs.live_rows(built, F.lit(now), 43200, 43200).select("user_id", "state")

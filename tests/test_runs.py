@@ -209,3 +209,10 @@ def test_a_lost_run_leaves_the_old_state(spark, tmp_path, monkeypatch):
     assert runs.curation_run(store, 1, half[1], dt.date(2024, 1, 2)) is not None and runs.curation_run(store, 1, half[1], dt.date(2024, 1, 2)) is None
     assert store.read("places").count() > before[1] and runs.index_size(store).first().docs == store.read("places").count()
     assert runs.status_rates(store).first().total == 90
+
+
+def test_live_rows_by_the_nearest_second(spark, tmp_path):
+    t = [dt.datetime(2024, 1, 1, 0, 0, 0, 400000), dt.datetime(2024, 1, 1, 0, 0, 0, 600000), dt.datetime(2024, 1, 1, 12, 0, 0, 600000)]
+    spark.createDataFrame(list(enumerate(t)), "user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    from placewright.queries import QUERIES
+    assert {tuple(r) for r in QUERIES["live_index_rows"](spark, str(tmp_path)).collect()} == {(0, "stale"), (1, "fresh"), (2, "fresh")}
