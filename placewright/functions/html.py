@@ -44,18 +44,28 @@ def json_ld_blocks(html) -> Column:
         r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
 
 
-def visible_text(html) -> Column:
+def _without_tags(html, between: str, closed: bool) -> Column:
     without = F.regexp_replace(F.regexp_replace(col(html), r"(?is)<!--.*?-->", ""),
                                r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    return strip(collapse_spaces(unescape(F.regexp_replace(without, r"<[^>]+>", ""))))
+    return strip(collapse_spaces(unescape(F.regexp_replace(without, r"<[^>]+>", between), closed)))
 
 
-def title_of(html) -> Column:
-    return strip(collapse_spaces(unescape(group(html, r"(?is)<title\b[^>]*>(.*?)</title>"))))
+def visible_text(html, closed: bool = False) -> Column:
+    """Text outside tags, comments, scripts and styles; ``closed`` leaves references without ``;`` as they stand."""
+    return _without_tags(html, "", closed)
 
 
-def first_heading(html) -> Column:
-    return strip(collapse_spaces(unescape(F.regexp_replace(group(html, r"(?is)<h1\b[^>]*>(.*?)</h1>"), r"<[^>]+>", ""))))
+def spaced_text(html) -> Column:
+    """The same with a blank for each tag, so that words of different elements stay apart."""
+    return _without_tags(html, " ", False)
+
+
+def title_of(html, closed: bool = False) -> Column:
+    return strip(collapse_spaces(unescape(group(html, r"(?is)<title\b[^>]*>(.*?)</title>"), closed)))
+
+
+def first_heading(html, closed: bool = False) -> Column:
+    return strip(collapse_spaces(unescape(F.regexp_replace(group(html, r"(?is)<h1\b[^>]*>(.*?)</h1>"), r"<[^>]+>", ""), closed)))
 
 
 def count_of(html, pattern: str) -> Column:

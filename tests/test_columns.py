@@ -158,3 +158,13 @@ def test_fixed_ties(spark):
 
 def test_nearest_district_ties(spark):
     assert one(spark, G.nearest_district(F.lit(13.5), F.lit(100.0), [("late", 13.0, 100.0, 1.0), ("early", 14.0, 100.0, 1.0)])["name"])[0] == "late"
+
+
+def test_closed_references(spark):
+    assert one(spark, X.unescape("x", closed=True), data="a&ampb &amp;lt; &#65 &#65; &x; &eacute;&lt &")[0] == "a&ampb &lt; &#65 A &x; é&lt &"
+
+
+def test_closed_references_of_pages(spark):
+    page = "<title>R&ampD &amp; Co</title><h1>it&amp</h1>"
+    assert tuple(one(spark, H.title_of("x", closed=True), H.first_heading("x", closed=True), H.visible_text("x", closed=True), data=page)) == ("R&ampD & Co", "it&amp", "R&ampD & Coit&amp")
+    assert one(spark, H.visible_text("x"), data=page)[0] == "R&D & Coit&"
