@@ -118,7 +118,7 @@ def coordinates(html) -> Column:
 
 def min_price(html, json_ld=None) -> Column:
     """Offer price, zero for free, else the first ``N THB``."""
-    text = visible_text(html)
+    text = spaced_text(html)
     thb = F.replace(group(text, rules.PAGE_PRICE), F.lit(","), F.lit("")).try_cast("double")
     free = F.when(text.rlike(rules.PAGE_FREE), F.lit(0.0))
     parts = [free, thb]

@@ -168,3 +168,8 @@ def test_closed_references_of_pages(spark):
     page = "<title>R&ampD &amp; Co</title><h1>it&amp</h1>"
     assert tuple(one(spark, H.title_of("x", closed=True), H.first_heading("x", closed=True), H.visible_text("x", closed=True), data=page)) == ("R&ampD & Co", "it&amp", "R&ampD & Coit&amp")
     assert one(spark, H.visible_text("x"), data=page)[0] == "R&D & Coit&"
+
+
+def test_prices_are_whole_words(spark):
+    page = "<p>call 216 thblehe, 9 goingly</p><h3>Hall 5</h3><span>1,250 THB</span><p>Rated; 12 interested</p>next"
+    assert tuple(one(spark, H.min_price("x"), H.popularity_number(H.spaced_text("x")), data=page)) == (1250.0, 12)
