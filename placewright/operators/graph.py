@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .skew import HOT_ROWS, measured_join
+from .skew import HOT_ROWS, measured_join, whole
 
 
 def _chosen(edges: DataFrame, first: bool, turn: int) -> DataFrame:
@@ -56,5 +56,5 @@ def components(edges: DataFrame, a: str = "id_a", b: str = "id_b", hot_rows: int
         roots = written(measured_join(chosen, target, ["to"], ["v"], "left", hot_rows).select("v", F.coalesce("_root", "to").alias("to")))
     least = roots.groupBy("to").agg(F.min(F.least("v", "to")).alias("component"))
     found = written(measured_join(roots, written(least), ["to"], ["v"], "inner", hot_rows).select(F.col("v").alias("id"), "component"))
-    loops = alone.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component")).join(found, "id", "left_anti")
+    loops = alone.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component")).join(whole(found), "id", "left_anti")
     return found.unionByName(loops)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import normalize_text
+from .skew import whole
 
 
 def source_rank(source: Column | str, priority: list[str] | None = None) -> Column:
@@ -52,9 +53,9 @@ def merge_events(df: DataFrame, group: str = "group_id", seq: str = "seq", prior
     attrs = true_attrs.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("attrs"))
     lists = [ordered_union(df, group, seq, "tags", "tags"), ordered_union(df, group, seq, "categories", "categories"),
              ordered_union(df.withColumn("_src", F.array("source")), group, seq, "_src", "sources")]
-    out = core.join(attrs, group, "left")
+    out = core.join(whole(attrs), group, "left")
     for part in lists:
-        out = out.join(part, group, "left")
+        out = out.join(whole(part), group, "left")
     return out
 
 
@@ -74,5 +75,5 @@ def merge_places(df: DataFrame, group: str = "group_id", seq: str = "seq") -> Da
     out = core
     for name in ("tags", "flags"):
         united = df.select(group, F.explode(name).alias("_v")).distinct().groupBy(group).agg(F.array_sort(F.collect_list("_v")).alias(name))
-        out = out.join(united, group, "left")
+        out = out.join(whole(united), group, "left")
     return out

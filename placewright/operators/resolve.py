@@ -10,7 +10,7 @@ from ..functions.text import match_address, match_name
 from ..session import cut_lineage, written
 from .graph import components
 from .similarity import similar_texts
-from .skew import HOT_ROWS, measured_join, salted_join
+from .skew import HOT_ROWS, measured_join, salted_join, whole
 
 
 def with_match_columns(df: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def nearest_within(df: DataFrame, x: str, y: str, tolerance: float, seq: str = "
         near = written(near)  # read by the result and by who still asks
         out = out.unionByName(near.select(F.col("_id").alias(seq), F.col("m.p").alias("match"), F.col("m.d").alias("distance")))
         if level:
-            asking = written(asking.join(near.select("_id"), "_id", "left_anti"))
+            asking = written(asking.join(whole(near.select("_id")), "_id", "left_anti"))
     return out
 
 
@@ -107,7 +107,7 @@ def match_rows(df: DataFrame, seq: str = "seq", name_ratio: float = rules.FUZZY_
 def resolve(df: DataFrame, matches: DataFrame, seq: str = "seq") -> DataFrame:
     """Every row with its kept row (``root``), strategy and duplicate mark."""
     roots = components(matches, "match", seq)
-    return (df.join(matches, seq, "left").join(roots.select(F.col("id").alias(seq), F.col("component").alias("root")), seq, "left")
+    return (df.join(whole(matches), seq, "left").join(whole(roots.select(F.col("id").alias(seq), F.col("component").alias("root"))), seq, "left")
             .withColumn("root", F.coalesce("root", seq)).withColumn("is_duplicate", F.col("match").isNotNull()))
 
 

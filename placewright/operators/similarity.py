@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import gestalt_ratio, jaccard, levenshtein_ratio
 from ..session import cut_lineage
-from .skew import HOT_ROWS, salted_join
+from .skew import HOT_ROWS, salted_join, whole
 
 #: words of 64 bits of a signature
 LETTERS, PAIRS = 3, 3
@@ -115,7 +115,7 @@ def _nodes(rows: DataFrame, value: Column, block: list[str]) -> tuple[DataFrame,
         rows = rows.where(F.col(b).isNotNull())
     rows = cut_lineage(rows.withColumn("_key", F.unhex(F.sha2(F.to_json(F.struct(*block, value.alias("_v"))).cast("binary"), 256))))
     firsts = cut_lineage(rows.groupBy("_key").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies")))
-    nodes = rows.join(firsts.select(F.col("_key"), F.col("_first").alias("_id")), ["_key", "_id"], "left_semi").drop("_key")
+    nodes = rows.join(whole(firsts.select(F.col("_key"), F.col("_first").alias("_id"))), ["_key", "_id"], "left_semi").drop("_key")
     return rows, nodes, firsts.where("_copies > 1")
 
 
@@ -123,7 +123,7 @@ def _fetched(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
     """Pairs with the values of both sides."""
     one = rows.select(F.col("_id").alias("id_a"), F.col(value).alias("_v_a"))
     two = rows.select(F.col("_id").alias("id_b"), F.col(value).alias("_v_b"))
-    return pairs.join(one, "id_a").join(two, "id_b")
+    return pairs.join(whole(one), "id_a").join(whole(two), "id_b")
 
 
 def similar_texts(df: DataFrame, ident: str, text: str, ratio: float, block: list[str] | None = None,

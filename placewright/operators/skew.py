@@ -17,10 +17,15 @@ def hot_keys(df: DataFrame, keys: list[str], at_least: int = HOT_ROWS) -> DataFr
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= at_least).select(*keys)
 
 
+def whole(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the rows: it is sorted and merged and never built in the driver, however few bytes its columns take in files."""
+    return df.hint("merge")
+
+
 def measured_join(left: DataFrame, right: DataFrame, keys: list[str], salt_on: list[str], how: str = "inner", at_least: int = HOT_ROWS) -> DataFrame:
     """A join that is salted where, and only where, the left side has hot keys; they are counted first, so the usual plan is a plain join."""
     hot = written(hot_keys(left, keys, at_least))
-    return left.join(right, keys, how) if hot.isEmpty() else salted_join(left, right, keys, salt_on, how, at_least, hot=hot)
+    return left.join(whole(right), keys, how) if hot.isEmpty() else salted_join(left, right, keys, salt_on, how, at_least, hot=hot)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_on: list[str], how: str = "inner",
@@ -37,4 +42,4 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_on: lis
     copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     a = left.join(mark, keys, "left").withColumn("_salt", salt).drop("_hot")
     b = right.join(mark, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+    return a.join(whole(b), [*keys, "_salt"], how).drop("_salt")

@@ -10,7 +10,7 @@ from ..functions import keys as K
 from ..functions import tagging as TG
 from ..functions.text import normalize_text
 from ..operators import facets, filters, graph, merge, ranking, reports, resolve, tables
-from ..operators.skew import HOT_ROWS
+from ..operators.skew import HOT_ROWS, whole
 from ..session import cut_lineage
 
 
@@ -25,7 +25,7 @@ def group_events(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     keyed = with_event_keys(df)
     narrow = cut_lineage(keyed.select("seq", "identity", "day", "norm_title", "norm_venue"))
     roots = graph.components(resolve.event_links(narrow, hot_rows=hot_rows), hot_rows=hot_rows)
-    return keyed.join(roots.select(F.col("id").alias("seq"), "component"), "seq", "left").withColumn("group_id", F.coalesce("component", "seq")).drop("component")
+    return keyed.join(whole(roots.select(F.col("id").alias("seq"), "component")), "seq", "left").withColumn("group_id", F.coalesce("component", "seq")).drop("component")
 
 
 def merge_run(df: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:

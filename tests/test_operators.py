@@ -349,3 +349,21 @@ def test_contained_texts(spark):
     areas = synonyms.limit(500).select(F.concat(F.lit("near "), "inner").alias("outer"))
     met = lookups.contained_candidates(synonyms, areas)
     assert 500 <= met.count() <= 500 * 60 and lookups.contained(synonyms, areas).count() == 500
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    """Sides that grow with the rows never pass through the driver, even where their files look small."""
+    from placewright.operators.skew import measured_join, salted_join
+    df = spark.createDataFrame([(1, 1, "a", "t", "d", "i", "u", "s", dt.datetime(2024, 1, 1), ["x"], ["y"], {"k": True}, dt.datetime(2024, 1, 1), "v")],
+                               "group_id long, seq long, id string, title string, desc string, image string, url string, source string, fetched_at timestamp, "
+                               "tags array<string>, categories array<string>, attrs map<string,boolean>, start timestamp, venue string")
+    a, b = spark.range(9).withColumn("v", F.col("id")), spark.range(9).withColumn("w", F.col("id"))
+    matches = spark.createDataFrame([(2, 1, "geo"), (3, 2, "geo")], "seq long, match long, strategy string")
+
+    def plan(out):
+        return out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(merge.merge_events(df))
+    assert "Broadcast" not in plan(measured_join(a, b, ["id"], ["v"]))
+    assert "SortMergeJoin [id" in plan(salted_join(a, b, ["id"], ["v"], hot=spark.createDataFrame([], "id long")))
+    out = resolve.resolve(spark.range(1, 5).withColumnRenamed("id", "seq"), matches)
+    assert "Broadcast" not in plan(out) and rows(out, "seq", "root") == [(1, 1), (2, 1), (3, 1), (4, 4)]
