@@ -367,3 +367,16 @@ def test_growing_sides_are_not_broadcast(spark):
     assert "SortMergeJoin [id" in plan(salted_join(a, b, ["id"], ["v"], hot=spark.createDataFrame([], "id long")))
     out = resolve.resolve(spark.range(1, 5).withColumnRenamed("id", "seq"), matches)
     assert "Broadcast" not in plan(out) and rows(out, "seq", "root") == [(1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_sets_keep_no_whole_rows(spark):
+    """Word sets are stored by columns; a checkpoint of whole rows took twice the disk."""
+    from pathlib import Path
+
+    from placewright.session import work_dir
+    cut_lineage(spark.range(1))  # a folder is set
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {p.name for p in folder.glob("**/rdd-*")}
+    df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b", "c"]), (3, ["x"])], "id long, w array<string>")
+    assert before and rows(similarity.similar_sets(df, "id", "w", 0.8), "id_a", "id_b") == [(1, 2)]
+    assert {p.name for p in folder.glob("**/rdd-*")} <= before and list(Path(work_dir(spark).removeprefix("file:")).glob("tables/*"))
