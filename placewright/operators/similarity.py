@@ -2,7 +2,9 @@
 
 Texts: a text of length l is cut into one segment more than the edits it allows; a close text has to hold one of them unchanged, near
 its place. So each text offers its own segments and asks for the pieces of itself that could be a segment of a text of its length
-or longer, and an equi-join on (length, segment number, piece) finds every pair. Sets: the rarest few elements of a set, by exact
+or longer, and an equi-join on (length, segment number, piece) finds every pair. A segment that a crowd of texts offers (a word
+that many names share) would make that crowd meet itself: it is offered together with one more piece of the rest of the text, cut so that one
+piece must be unchanged. Sets: the rarest few elements of a set, by exact
 counts, and a pair has to share one of them at places that leave room for the wanted overlap. An element that only one
 row has can meet nothing and is never joined.
 
@@ -21,6 +23,8 @@ from .skew import HOT_ROWS, salted_join, whole
 #: words of 64 bits of a signature
 LETTERS, PAIRS = 3, 3
 EPS = 1e-9
+#: a segment that so many texts offer is joined with a further piece of its text
+CROWD = 512
 
 
 def _edits(length: str, share: float) -> str:
@@ -72,6 +76,44 @@ def _pieces(lengths: DataFrame, block: str, *carry: Column) -> DataFrame:
     return near.select("*", F.expr("explode(sequence(_low, _high))").alias("_p")).select(F.expr(f"xxhash64({block}_l, _i, substring(_t, _p, _size))").alias("_key"), *carry)
 
 
+def _cuts(rows: DataFrame) -> DataFrame:
+    """Pieces (_from, _size2), one more than the edits _m, of the segments of a text of length _l that are not among the numbers _held."""
+    at, size = _segment("_l", "_m", "_j")
+    free = rows.withColumn("_free", F.expr("filter(sequence(1, _m + 1), i -> not array_contains(_held, i))"))
+    cut = free.select("*", F.expr("posexplode(_free)").alias("_r", "_j")).withColumns({
+        "_at2": F.expr(at), "_len2": F.expr(size), "_q": F.expr("cast((_m + 1) div size(_free) as int) + if(_r < (_m + 1) % size(_free), 1, 0)")})
+    part = cut.select("*", F.expr("explode(sequence(0, _q - 1))").alias("_u")).withColumns({
+        "_from": F.expr("_at2 + cast((_len2 * _u) div _q as int)"), "_size2": F.expr("cast((_len2 * (_u + 1)) div _q as int) - cast((_len2 * _u) div _q as int)")})
+    return part.drop("_free", "_r", "_j", "_at2", "_len2", "_q", "_u")
+
+
+def _crowded(rows: DataFrame, own: DataFrame, crowds: DataFrame) -> DataFrame:
+    """Rows with the numbers _held of those of their segments that are not joined alone: the most crowded, while what is left gives pieces of two letters."""
+    most = "size(filter(sequence(1, _k), h -> ((_n div (_k + 1)) div ((2 * _k + 1 - h) div (_k + 1 - h))) >= 2))"
+    held = own.join(whole(crowds), "_key").groupBy(F.col("_id_a").alias("_id")).agg(F.sort_array(F.collect_list(F.struct((-F.col("_f")).alias("f"), "_i"))).alias("_c"))
+    marked = rows.join(whole(held), "_id", "left").withColumn("_held", F.expr(f"if(_c is null or _k < 1, cast(array() as array<int>), array_sort(transform(slice(_c, 1, {most}), c -> c._i)))"))
+    return marked.drop("_c")
+
+
+def _crowd_pairs(marked: DataFrame, asked: DataFrame, prefix: str, hot_rows: int) -> DataFrame:
+    """Joined sides of pairs that share a segment of a crowd and one of the pieces that the rest of the longer text is cut into.
+
+    Of these pieces, one more than the edits, one lies unchanged in the other text too; its shift d, that of the segment s and the difference
+    of the lengths take at least as many edits as they differ from each other, in the order of their places.
+    """
+    at, size = _segment("_l", "_m", "_i")
+    held = marked.where("size(_held) > 0").withColumns({"_l": F.col("_n"), "_m": F.col("_k")}).select("*", F.explode("_held").alias("_i"))
+    held = held.withColumn("_key", F.expr(f"xxhash64({prefix}_l, _i, substring(_t, {at}, {size}))"))
+    patterns = held.select("_key", "_held").distinct()
+    own = _cuts(held).select(F.expr("xxhash64(_key, _from, _size2, substring(_t, _from, _size2))").alias("_key"),
+                             F.col("_id").alias("_id_a"), F.col("_n").alias("_n_a"), "_k", F.col("_s").alias("_s_a"))
+    met = salted_join(asked, patterns, ["_key"], ["_id_b", "_p"], "inner", hot_rows)
+    edits = "if(_from < _at, abs(_d) + abs(_p - _at - _d) + abs(_n_b - _l - _p + _at), abs(_p - _at) + abs(_d - _p + _at) + abs(_n_b - _l - _d)) <= _m"
+    moved = _cuts(met).select("*", F.expr("explode(sequence(-_m, _m))").alias("_d")).where(edits).where("_from + _d >= 1 and _from + _d + _size2 <= _n_b + 1")
+    asks = moved.select(F.expr("xxhash64(_key, _from, _size2, substring(_t, _from + _d, _size2))").alias("_key"), "_id_b", "_n_b", "_s_b").distinct()
+    return salted_join(own, asks, ["_key"], ["_id_a"], "inner", hot_rows)
+
+
 def _bits(places: str, words: int) -> list[Column]:
     """Numbers of bits as 64-bit words."""
     return [F.expr(f"aggregate(filter({places}, b -> b div 64 = {w}), 0L, (a, b) -> a | shiftleft(1L, cast(b % 64 as int)))") for w in range(words)]
@@ -90,7 +132,7 @@ def _turned(a: str, b: str, first: int, words: int) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(w)).bitwiseXOR(F.get(b, F.lit(w)))) for w in range(first, first + words)), F.lit(0))
 
 
-def text_candidates(nodes: DataFrame, share: float, block: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def text_candidates(nodes: DataFrame, share: float, block: list[str], hot_rows: int = HOT_ROWS, crowd: int = CROWD) -> DataFrame:
     """Distinct pairs (id_a, id_b) of nodes (_id, _t, block columns) that may lie within ``share`` of the longer length in edits."""
     prefix = "".join(f"{b}, " for b in block)
     # dealt out by number: a row becomes many keys, so its bytes say little about its work
@@ -98,9 +140,19 @@ def text_candidates(nodes: DataFrame, share: float, block: list[str], hot_rows:
     rows = nodes.repartition(parts, "_id").withColumn("_n", F.length("_t")).withColumn("_k", F.expr(_edits("_n", share)))
     rows = rows.withColumn("_far", F.expr(farthest("_n", share))).where("_k + _far > 0")
     rows = cut_lineage(with_signature(rows))
-    own = own_keys(rows, prefix, "_k", F.col("_id").alias("_id_a"), F.col("_n").alias("_n_a"), F.col("_k"), F.col("_s").alias("_s_a"))
-    asked = asked_keys(rows, prefix, share, F.col("_id").alias("_id_b"), F.col("_n").alias("_n_b"), F.col("_s").alias("_s_b"))
-    met = salted_join(own, asked, ["_key"], ["_id_a"], "inner", hot_rows)
+    sides = (F.col("_id").alias("_id_a"), F.col("_n").alias("_n_a"), F.col("_k"), F.col("_s").alias("_s_a"))
+    asks = (F.col("_id").alias("_id_b"), F.col("_n").alias("_n_b"), F.col("_s").alias("_s_b"))
+    own = own_keys(rows, prefix, "_k", *sides, F.col("_i"))
+    counts = written(own.groupBy("_key").agg(F.count(F.lit(1)).alias("_f")).where(F.col("_f") >= min(crowd, hot_rows)))
+    hot, crowds = counts.where(F.col("_f") >= hot_rows).select("_key"), counts.where(F.col("_f") >= crowd)
+    few = crowds.isEmpty()
+    if not few:
+        marked = cut_lineage(_crowded(rows, own, crowds))
+        own = own_keys(marked, prefix, "_k", *sides, F.col("_i"), F.col("_held")).where("not array_contains(_held, _i)")
+    met = salted_join(own.select("_key", "_id_a", "_n_a", "_k", "_s_a"), asked_keys(rows, prefix, share, *asks), ["_key"], ["_id_a"], "inner", hot_rows, hot=hot)
+    if not few:
+        more = _crowd_pairs(marked, asked_keys(rows, prefix, share, *asks, *(F.col(c) for c in ("_t", "_l", "_m", "_i", "_at", "_p"))), prefix, hot_rows)
+        met = met.unionByName(more)
     near = (((F.col("_n_b") < F.col("_n_a")) | (F.col("_id_b") < F.col("_id_a"))) & (F.col("_n_a") - F.col("_n_b") <= F.col("_k")) & (F.col("_n_b") <= F.col("_n_a"))
             & (_turned("_s_a", "_s_b", 0, LETTERS) <= 2 * F.col("_k")) & (_turned("_s_a", "_s_b", LETTERS, PAIRS) <= 4 * F.col("_k")))
     return met.where(near).select(F.least("_id_a", "_id_b").alias("id_a"), F.greatest("_id_a", "_id_b").alias("id_b")).distinct()
@@ -127,7 +179,7 @@ def _fetched(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
 
 
 def similar_texts(df: DataFrame, ident: str, text: str, ratio: float, block: list[str] | None = None,
-                  metric: str = "levenshtein", copies: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  metric: str = "levenshtein", copies: bool = True, hot_rows: int = HOT_ROWS, crowd: int = CROWD) -> DataFrame:
     """Pairs (id_a, id_b, score) with id_a < id_b whose ratio reaches the threshold, complete.
 
     Equal texts are one node, named by their smallest id; with ``copies`` each other copy is linked to it (score 1).
@@ -139,7 +191,7 @@ def similar_texts(df: DataFrame, ident: str, text: str, ratio: float, block: lis
     rows, nodes, copied = _nodes(df.where((F.coalesce(F.col(text), F.lit("")) != "")).select(F.col(ident).alias("_id"), *block, F.col(text).alias("_t")), F.col("_t"), block)
     # what does not match is inserted or deleted, so two texts lie within twice that share of the longer one
     share = (1 - ratio) * (1 if metric == "levenshtein" else 2)
-    both = _fetched(text_candidates(nodes, share, block, hot_rows), rows, "_t")
+    both = _fetched(text_candidates(nodes, share, block, hot_rows, crowd), rows, "_t")
     if metric == "levenshtein":
         close = both.withColumn("score", levenshtein_ratio("_v_a", "_v_b"))
     else:

@@ -281,6 +281,19 @@ def test_similar_texts_low_ratio(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("ratio", [0.6, 0.8, 0.86])
+def test_similar_texts_of_a_crowd(spark, ratio):
+    """Words that many texts share at their ends and starts: complete, and their segments are not joined alone."""
+    texts = [t + " restaurant" for t in names(50, 4)] + ["the old " + t for t in names(40, 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {tuple(r) for r in similarity.similar_texts(df, "id", "t", ratio, hot_rows=HOT, crowd=3).select("id_a", "id_b").collect()}
+    assert got == expect_pairs(texts, lambda a, b: 1 - lev(a, b) / max(len(a), len(b)) >= ratio)
+    rows = spark.createDataFrame([(i, f"{i * 7919:014d} restaurant") for i in range(40)], "_id long, _t string").selectExpr("*", "length(_t) as _n", "3 as _k")
+    own = similarity.own_keys(rows, "", "_k", F.col("_id").alias("_id_a"), F.col("_i"))
+    crowds = own.groupBy("_key").agg(F.count(F.lit(1)).alias("_f")).where("_f >= 40")
+    assert {tuple(r["_held"]) for r in similarity._crowded(rows, own, crowds).collect()} == {(1, 4)}
+
+
 def test_candidates_grow_with_the_rows(spark):
     """Ten times the rows, under fifteen times the candidates: texts of random letters with a common tail, sets of common and rare words."""
     def letters(n):
