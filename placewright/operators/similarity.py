@@ -120,7 +120,7 @@ def _bits(places: str, words: int) -> list[Column]:
 
 
 def with_signature(df: DataFrame, text: str = "_t", signature: str = "_s") -> DataFrame:
-    """Adds bits of which one edit turns at most two (numbered letters, first words) or four (letter pairs, last words)."""
+    """Adds bits of which one edit turns at most two (numbered letters, first words) or four (letter pairs, last words); no replacement, one or three."""
     letters = (f"flatten(transform(array_distinct(split({text}, '')), c -> if(c = '', cast(array() as array<string>), transform(sequence(1, "
                f"least(4, length({text}) - length(replace({text}, c, '')))), j -> concat(c, j)))))")
     pairs = f"array_distinct(transform(sequence(1, greatest(1, length({text}) - 1)), p -> substring({text}, p, 2)))"
@@ -132,8 +132,12 @@ def _turned(a: str, b: str, first: int, words: int) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(w)).bitwiseXOR(F.get(b, F.lit(w)))) for w in range(first, first + words)), F.lit(0))
 
 
-def text_candidates(nodes: DataFrame, share: float, block: list[str], hot_rows: int = HOT_ROWS, crowd: int = CROWD) -> DataFrame:
-    """Distinct pairs (id_a, id_b) of nodes (_id, _t, block columns) that may lie within ``share`` of the longer length in edits."""
+def text_candidates(nodes: DataFrame, share: float, block: list[str], hot_rows: int = HOT_ROWS, crowd: int = CROWD,
+                    replaced: bool = True) -> DataFrame:
+    """Distinct pairs (id_a, id_b) of nodes (_id, _t, block columns) that may lie within ``share`` of the longer length in edits.
+
+    Without ``replaced`` letters are only inserted and deleted, within half of ``share`` of both lengths: one turns fewer bits of the signatures.
+    """
     prefix = "".join(f"{b}, " for b in block)
     # dealt out by number: a row becomes many keys, so its bytes say little about its work
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -153,8 +157,12 @@ def text_candidates(nodes: DataFrame, share: float, block: list[str], hot_rows:
     if not few:
         more = _crowd_pairs(marked, asked_keys(rows, prefix, share, *asks, *(F.col(c) for c in ("_t", "_l", "_m", "_i", "_at", "_p"))), prefix, hot_rows)
         met = met.unionByName(more)
+    turns = (2 * F.col("_k"), 4 * F.col("_k"))
+    if not replaced:
+        both = F.floor((F.col("_n_a") + F.col("_n_b")) * F.lit(share / 2) + F.lit(EPS))
+        turns = (both, 3 * both)
     near = (((F.col("_n_b") < F.col("_n_a")) | (F.col("_id_b") < F.col("_id_a"))) & (F.col("_n_a") - F.col("_n_b") <= F.col("_k")) & (F.col("_n_b") <= F.col("_n_a"))
-            & (_turned("_s_a", "_s_b", 0, LETTERS) <= 2 * F.col("_k")) & (_turned("_s_a", "_s_b", LETTERS, PAIRS) <= 4 * F.col("_k")))
+            & (_turned("_s_a", "_s_b", 0, LETTERS) <= turns[0]) & (_turned("_s_a", "_s_b", LETTERS, PAIRS) <= turns[1]))
     return met.where(near).select(F.least("_id_a", "_id_b").alias("id_a"), F.greatest("_id_a", "_id_b").alias("id_b")).distinct()
 
 
@@ -191,11 +199,13 @@ def similar_texts(df: DataFrame, ident: str, text: str, ratio: float, block: lis
     rows, nodes, copied = _nodes(df.where((F.coalesce(F.col(text), F.lit("")) != "")).select(F.col(ident).alias("_id"), *block, F.col(text).alias("_t")), F.col("_t"), block)
     # what does not match is inserted or deleted, so two texts lie within twice that share of the longer one
     share = (1 - ratio) * (1 if metric == "levenshtein" else 2)
-    both = _fetched(text_candidates(nodes, share, block, hot_rows, crowd), rows, "_t")
+    both = _fetched(text_candidates(nodes, share, block, hot_rows, crowd, metric == "levenshtein"), rows, "_t")
     if metric == "levenshtein":
         close = both.withColumn("score", levenshtein_ratio("_v_a", "_v_b"))
     else:
-        close = both.withColumn("score", gestalt_ratio("_v_a", "_v_b"))
+        # what matches is a common subsequence, so all else can be deleted and inserted: most candidates fail this without Python
+        within = F.levenshtein("_v_a", "_v_b") <= (F.length("_v_a") + F.length("_v_b")) * F.lit(1 - ratio) + F.lit(EPS)
+        close = both.where(within).withColumn("score", gestalt_ratio("_v_a", "_v_b"))
     found = close.where(F.col("score") >= ratio).select("id_a", "id_b", "score")
     return found.unionByName(copy_links(rows, copied, hot_rows)) if copies else found
 

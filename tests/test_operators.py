@@ -67,6 +67,16 @@ def test_similar_texts_gestalt(spark):
     assert got == expect_pairs(texts, lambda a, b: SequenceMatcher(None, a, b).ratio() >= 0.86)
 
 
+def test_gestalt_candidates_of_a_common_word(spark):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("aeioubdfgklmnprs") for _ in range(14)) + " restaurant" for _ in range(150)]
+    texts += [t[:i % 14] + "x" + t[i % 14 + 1 + i % 2:] for i, t in enumerate(texts[:30])]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "_id long, _t string")
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if SequenceMatcher(None, texts[i], texts[j]).ratio() >= 0.86}
+    got = {tuple(r) for r in similarity.text_candidates(nodes, 0.28, [], replaced=False).collect()}
+    assert len(want) >= 30 and want <= got and len(got) < 1000  # of 16,110 pairs, most of which met and passed before
+
+
 def test_similar_sets(spark):
     rnd = random.Random(5)
     sets = [sorted(rnd.sample("abcdefgh", rnd.randint(1, 7))) for _ in range(60)]
