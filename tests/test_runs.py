@@ -216,3 +216,9 @@ def test_live_rows_by_the_nearest_second(spark, tmp_path):
     spark.createDataFrame(list(enumerate(t)), "user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
     from placewright.queries import QUERIES
     assert {tuple(r) for r in QUERIES["live_index_rows"](spark, str(tmp_path)).collect()} == {(0, "stale"), (1, "fresh"), (2, "fresh")}
+
+
+def test_places_are_dealt_out(spark):
+    """The one small file of customers makes as many tasks as the session asks for, below filters on derived columns too."""
+    found = places(spark, SF).where("length(name) > 3").groupBy(F.spark_partition_id()).count().collect()
+    assert len(found) > 1
