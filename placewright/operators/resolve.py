@@ -39,13 +39,14 @@ def best_earlier_name(df: DataFrame, ratio: float, block: list[str], seq: str =
     return pairs.groupBy(F.col("id_b").alias(seq)).agg(best.alias("match"), F.max("score").alias("score"))
 
 
-def nearest_within(df: DataFrame, x: str, y: str, tolerance: float, seq: str = "seq", levels: int = 3, shrink: int = 16,
+def nearest_within(df: DataFrame, x: str, y: str, tolerance: float, seq: str = "seq", levels: int = 5, shrink: int = 4,
                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """(seq, match, distance): nearest earlier row within the tolerance, the earliest on ties.
 
     Equal points are one node. The search runs from a fine grid to the full tolerance: a row that found a
     neighbour at a fine level is not asked again, and rows still asking at a coarser level lie apart from each
-    other, so a crowded cell never meets itself.
+    other, so a crowded cell never meets itself. A level is a quarter of the next, so that those still asking have few points
+    within reach however dense all lie.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(seq, F.col(x).alias("_x"), F.col(y).alias("_y"))
     nodes = cut_lineage(rows.groupBy("_x", "_y").agg(F.min(seq).alias("_id"), F.count(F.lit(1)).alias("_copies")))

@@ -283,6 +283,21 @@ def test_search_terms(spark):
     assert {r["id"] for r in search.match_all(p, n, "Jazz bar").collect()} == {1, 3} and search.match_all(p, n, " ").count() == 0
 
 
+def test_nearest_within_meets_few_points(spark, monkeypatch):
+    """Dense points: pairs that the levels look at stay a few per point."""
+    rnd = random.Random(8)
+    df = spark.createDataFrame([(i, rnd.uniform(0, 0.008), rnd.uniform(0, 0.008)) for i in range(4000)], "seq long, x double, y double")
+    met, join = [], resolve.measured_join
+
+    def counted(*args):
+        out = join(*args)
+        met.append(out.where("p < _id").count())
+        return out
+    monkeypatch.setattr(resolve, "measured_join", counted)
+    assert resolve.nearest_within(df, "x", "y", 0.001).count() >= 3900
+    assert sum(met) < 25 * 4000, met
+
+
 def test_similar_texts_low_ratio(spark):
     texts = names(60, 9) + ["a", "b", "ab", "abc", "xabc", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
