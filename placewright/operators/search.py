@@ -17,8 +17,11 @@ def terms_of(text: Column | str) -> Column:
 def build_postings(df: DataFrame, ident: str, columns: list[str], lists: list[str] | None = None) -> DataFrame:
     """(term, id, tf, doc_len): counts per term and row; nulls count as empty text."""
     parts = [F.coalesce(F.col(c), F.lit("")) for c in columns] + [F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), " ") for c in (lists or [])]
-    words = df.select(F.col(ident).alias("id"), terms_of(F.concat_ws(" ", *parts)).alias("_t"))
-    one = words.select("id", F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
+    # texts are dealt out by id before they are cut: fewer bytes than their words, which then need no second shuffle; by number, as words take more memory
+    deal = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = df.select(F.col(ident).alias("id"), F.concat_ws(" ", *parts).alias("_x")).repartition(deal, "id").select("id", terms_of("_x").alias("_t"))
+    # an outer one, as the planner cuts texts once more below the shuffle to leave out those without words
+    one = words.select("id", F.size("_t").alias("doc_len"), F.explode_outer("_t").alias("term")).where("term IS NOT NULL")
     return one.groupBy("term", "id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 

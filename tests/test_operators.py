@@ -298,6 +298,15 @@ def test_nearest_within_meets_few_points(spark, monkeypatch):
     assert sum(met) < 25 * 4000, met
 
 
+def test_postings_are_cut_after_the_shuffle(spark):
+    """Texts travel, not their words, and are cut once; rows of one id and length are one posting, empty and null texts none."""
+    df = spark.createDataFrame([(1, "Jazz bar bar"), (1, "bar jazz jazz"), (1, "bar"), (2, " .,"), (3, None), (None, "Bar")], "id long, t string")
+    out = search.build_postings(df, "id", ["t"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("split(") == 1 and plan.index("split(") < plan.index("Exchange")
+    assert sorted(((r["id"] or 0, r["doc_len"], r["term"], r["tf"]) for r in out.collect())) == [(0, 1, "bar", 1), (1, 1, "bar", 1), (1, 3, "bar", 3), (1, 3, "jazz", 3)]
+
+
 def test_similar_texts_low_ratio(spark):
     texts = names(60, 9) + ["a", "b", "ab", "abc", "xabc", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
