@@ -15,7 +15,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from ..sources.store import Change, Store, latest
 from .search import B, K1, _query_terms, build_postings
 
@@ -28,7 +28,8 @@ def _blocks(postings: DataFrame, slots: int) -> DataFrame:
     """(term, slot, n, most, least, ids, tfs, lens) of postings (term, id, tf, doc_len)."""
     slot = F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int").alias("slot")
     held = F.array_sort(F.collect_list(F.struct("id", "tf", "doc_len")))
-    grouped = postings.groupBy("term", slot).agg(held.alias("p"), F.max("tf").alias("most"), F.min("doc_len").alias("least"))
+    # dealt out as they are: arrays of parts of a block would be more bytes than the rows
+    grouped = postings.withColumn("slot", slot).repartition("term", "slot").groupBy("term", "slot").agg(held.alias("p"), F.max("tf").alias("most"), F.min("doc_len").alias("least"))
     return grouped.select("term", "slot", F.size("p").alias("n"), "most", "least", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.doc_len").alias("lens"))
 
 
@@ -50,7 +51,7 @@ def index_rows(change: Change, changed: DataFrame, ident: str, columns: list[str
     """The same within a change that other tables share."""
     store, state = change.store, change.state
     fresh = "docs" not in state["tables"]
-    postings = cut_lineage(build_postings(changed, ident, columns, lists))
+    postings = written(build_postings(changed, ident, columns, lists))
     lens = changed.select(F.col(ident).alias("id")).join(postings.groupBy("id").agg(F.first("doc_len").alias("n")), "id", "left").select(
         "id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.lit(True).alias("live"))
     if removed is not None:
@@ -77,7 +78,7 @@ def rebuild_blocks(store: Store, run: int) -> None:
     change = store.change(run)
     if change is None:
         return
-    live = _blocks(cut_lineage(_live(store, store.read("postings", state=change.state), change.state).drop("slot", "_run")), change.state["values"]["slots"])
+    live = _blocks(written(_live(store, store.read("postings", state=change.state), change.state).drop("slot", "_run")), change.state["values"]["slots"])
     change.state["tables"].pop("postings")
     change.state["tables"].pop("touched", None)
     change.put("postings", live, ["term"])
