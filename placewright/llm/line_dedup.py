@@ -3,18 +3,22 @@
 A line of at least ``min_chars`` characters is a copy if an equal line, or one within ``errors`` edits, stands earlier in the
 corpus (by id, then line number). Copies are removed, the earliest stays; shorter lines carry no evidence and stay.
 
-Equal lines become one row first. Each distinct line is cut into ``errors + 1`` nearly equal segments: two lines within
-the distance share a segment, at a place that differs by few characters. Lines index their own segments by (length,
-number, text); every line probes the indexes of its own and the ``errors`` next shorter lengths at the few places that
-the multi-match-aware bounds leave (12 for two errors). Keys are 64-bit hashes; probes for which a bitmap of fixed size
-shows no segment are dropped before the shuffle. Each side carries the counts of sixteen frequent characters, whose distance
+Equal lines become one row first: a 96-bit name and the line's keys, never its text. Lengths fall into classes, and the class,
+not the length, gives the size of the ``errors + 1`` segments; the first segments stand at the line's start, the last ones at its end, what
+is left over lies between. Of two lines within the distance one has a segment with ``i`` edits before it and at most
+``errors - i`` behind, so the other has it moved by at most the smaller of the two. A line offers its own segments and asks for
+the moved ones, and for those of the class below if a shorter line could belong there: five keys of 64 bits for two
+errors, ten near the lower end of a class. All keys are shuffled once, and only those that two lines share go on; there is no
+filter that fills up as the table grows.
+
+The lines of shared keys are few. Their texts are read, and the counts of sixteen frequent characters, whose distance
 is part of the join condition: lines that differ in a whole word rarely come out as candidates, so a template with many
-fillings does not give all its pairs. The candidates' texts are then read and compared by a
-banded bit-parallel edit distance, exact, in one ``aggregate`` over the longer line's characters.
+fillings does not give all its pairs. The candidates are compared by a banded bit-parallel edit distance, exact, in one
+``aggregate`` over the longer line's characters.
 
 Null ids order first. Null and empty texts have no line. Rows that repeat id and text count as one document, and each
-gets the same result. Columns other than id and text are ignored. Texts are shuffled once to make lines distinct; a hot
-line is combined before it. Lines removed from a document are gathered as numbers, bounded by its lines.
+gets the same result. Columns other than id and text are ignored. A hot line is combined before the shuffle. Lines removed
+from a document are gathered as numbers, bounded by its lines.
 """
 from __future__ import annotations
 
@@ -41,28 +45,26 @@ def _names(line: str = "line") -> list[Column]:
     return [F.xxhash64(line).alias("h"), F.crc32(F.col(line).cast("binary")).alias("c")]
 
 
-def _cut(length: Column, i: int, errors: int) -> tuple[Column, Column]:
-    """(0-based start, length) of segment i of a line of that length: the last ones are longer by one."""
-    base, more = F.floor(length / (errors + 1)), length % (errors + 1)
-    longer = F.greatest(F.lit(i) - (errors + 1 - more), F.lit(0))
-    return (base * i + longer).cast("int"), (base + F.when(F.lit(i) >= errors + 1 - more, 1).otherwise(0)).cast("int")
+def _base(length: Column) -> Column:
+    """The smallest length of the class that a length falls into."""
+    return (length - length % F.when(length < 128, 8).otherwise(32)).cast("int")
 
 
-def index_keys(line: str, errors: int) -> Column:
+def keys_of(line: str, errors: int) -> Column:
+    """The line's own ``errors + 1`` keys, then those under which a line of the same or a smaller length within ``errors`` may stand; null
+    where the class below need not be asked. No class is narrower than eight lengths, so there is one at most."""
+    if errors > 8:
+        raise ValueError("classes of lengths are too narrow for more than eight errors")
     n = F.length(line)
-    cuts = [_cut(n, i, errors) for i in range(errors + 1)]
-    return F.array(*[F.xxhash64(n, F.lit(i), F.substr(line, p + 1, size)) for i, (p, size) in enumerate(cuts)])
 
-
-def probe_keys(line: str, errors: int) -> Column:
-    """The keys under which a line of the same or a smaller length within ``errors`` must stand."""
-    n, out = F.length(line), []
-    for gap in range(errors + 1):
-        for i in range(errors + 1):
-            p, size = _cut(n - gap, i, errors)
-            for shift in range(max(-i, gap - (errors - i)), min(i, gap + errors - i) + 1):
-                out.append(F.xxhash64(n - gap, F.lit(i), F.substr(line, p + shift + 1, size)))
-    return F.array(*out)
+    def key(base: Column, i: int, shift: int) -> Column:
+        size = F.floor(base / (errors + 1)).cast("int")
+        start = size * i if i <= errors - i else n - size * (errors + 1 - i)
+        return F.xxhash64(base, F.lit(i), F.substr(line, start + shift + 1, size))
+    reach = [min(i, errors - i) for i in range(errors + 1)]
+    places = [(i, 0) for i in range(errors + 1)] + [(i, shift) for i, r in enumerate(reach) for shift in range(-r, r + 1) if shift]
+    here, below = _base(n), _base(n - errors)
+    return F.array(*[key(here, i, shift) for i, shift in places], *[F.when(below != here, key(below, i, shift)) for i, shift in places])
 
 
 def char_counts(line: str, chars: str) -> Column:
@@ -128,33 +130,46 @@ def in_bitmap(probes: DataFrame, keys: DataFrame) -> DataFrame:
     return held.where("(_bits & shiftleft(1L, int(shiftrightunsigned(key, 58)))) != 0").drop("_word", "_bits")
 
 
-def copied_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h, c, first, removed): of each distinct long line its earliest place, and whether an earlier line is within the distance."""
-    lines = lines_of(docs, ident, text, min_chars)
-    once = lines.groupBy("line").agg(F.min(F.struct("id", "at")).alias("first"))
-    keyed = stored(once.select(*_names(), "first", *[char_counts("line", x).alias(f"counts{i}") for i, x in enumerate(COUNTED)], index_keys("line", errors).alias("own"),
-                               probe_keys("line", errors).alias("near")), "lines")
-    one = keyed.select(F.col("h").alias("h_a"), F.col("c").alias("c_a"), F.col("counts0").alias("a0"), F.col("counts1").alias("a1"), F.explode("own").alias("key"))
-    two = keyed.select(F.col("h").alias("h_b"), F.col("c").alias("c_b"), F.col("counts0").alias("b0"), F.col("counts1").alias("b1"), F.explode("near").alias("key"))
-    # every line finds its own segments: probes that only its own line can answer are not told apart here, the join drops them
-    two = in_bitmap(two, keyed.select(F.explode("own").alias("key")))
-    fits = (one["key"] == two["key"]) & ((F.col("h_a") != F.col("h_b")) | (F.col("c_a") != F.col("c_b"))) & counts_fit(
-        [F.col("a0"), F.col("a1")], [F.col("b0"), F.col("b1")], errors)
-    found = one.join(two, fits).select("h_a", "c_a", "h_b", "c_b").distinct()
-    place = keyed.select("h", "c", "first")
-    found = found.join(place.select(F.col("h").alias("h_a"), F.col("c").alias("c_a"), F.col("first").alias("first_a")), ["h_a", "c_a"])
-    found = found.join(place.select(F.col("h").alias("h_b"), F.col("c").alias("c_b"), F.col("first").alias("first_b")), ["h_b", "c_b"])
-    a, b = F.struct(F.col("h_a").alias("h"), F.col("c_a").alias("c")), F.struct(F.col("h_b").alias("h"), F.col("c_b").alias("c"))
+def shared_keys(docs: DataFrame, ident: str = "doc_id", text: str = "text", errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(key, h, c, own): the keys that a line shares with another, and whether they are its own segments."""
+    once = lines_of(docs, ident, text, min_chars).select(*_names(), keys_of("line", errors).alias("keys")).distinct()
+    keys = once.select("h", "c", F.posexplode("keys").alias("at", "key"))
+    # the mark stands above the 32 bits of the checksum: both sides of the join are one shuffle
+    keys = keys.where("key is not null").select("key", "h", F.col("c").bitwiseOR(F.when(F.col("at") <= errors, 1 << 32).otherwise(0)).alias("c"))
+    name = lambda side: F.col(f"{side}.c").bitwiseAND((1 << 32) - 1)
+    other = (F.col("x.key") == F.col("y.key")) & ((F.col("x.h") != F.col("y.h")) | (name("x") != name("y")))
+    met = keys.alias("x").join(keys.alias("y"), other, "left_semi")
+    return met.select("key", "h", name("x").alias("c"), (F.col("c") >= 1 << 32).alias("own"))
+
+
+def close_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(h, c) of the lines that have a different line within the distance before them."""
+    shared = stored(shared_keys(docs, ident, text, errors, min_chars), "line-keys")
+    names = shared.select("h", "c").distinct()
+    lines = in_bitmap(lines_of(docs, ident, text, min_chars).select(*_names(), "id", "at", "line").withColumn("key", F.col("h")), names.select(F.col("h").alias("key")))
+    # an inner join: the optimizer would move a semi join before the bitmap, and shuffle every text
+    known = lines.join(names, ["h", "c"]).groupBy("h", "c").agg(F.min(F.struct("id", "at")).alias("first"), F.min("line").alias("line"))
+    known = stored(known.select("*", *[char_counts("line", x).alias(f"counts{i}") for i, x in enumerate(COUNTED)]), "lines")
+    asked = shared.join(known.drop("line"), ["h", "c"])
+    one, two = [asked.select("key", *[F.col(x).alias(f"{x}_{side}") for x in ("h", "c", "own", "first", "counts0", "counts1")]) for side in "ab"]
+    name = lambda side: F.struct(F.col(f"h_{side}").alias("h"), F.col(f"c_{side}").alias("c"))
+    fits = (one["key"] == two["key"]) & (name("a") < name("b")) & (F.col("own_a") | F.col("own_b")) & counts_fit(
+        [F.col("counts0_a"), F.col("counts1_a")], [F.col("counts0_b"), F.col("counts1_b")], errors)
     earlier = F.col("first_a") < F.col("first_b")
-    pairs = stored(found.select(F.when(earlier, a).otherwise(b).alias("early"), F.when(earlier, b).otherwise(a).alias("late")).distinct(), "line-pairs")
-    wanted = pairs.select("early.*").unionByName(pairs.select("late.*")).distinct()
-    texts = (lines.select(*_names(), "line").join(wanted, ["h", "c"], "left_semi").groupBy("h", "c").agg(F.min("line").alias("line"))
-             .select(F.struct("h", "c").alias("name"), F.split("line", "").alias("chars")))
+    pairs = stored(one.join(two, fits).select(F.when(earlier, name("a")).otherwise(name("b")).alias("early"),
+                                              F.when(earlier, name("b")).otherwise(name("a")).alias("late")).distinct(), "line-pairs")
+    texts = known.select(F.struct("h", "c").alias("name"), F.split("line", "").alias("chars"))
     both = (pairs.join(texts.select(F.col("name").alias("early"), F.col("chars").alias("x")), "early")
             .join(texts.select(F.col("name").alias("late"), F.col("chars").alias("y")), "late"))
     longer = F.size("x") >= F.size("y")
     close = both.where(within_edits(F.when(longer, F.col("y")).otherwise(F.col("x")), F.when(longer, F.col("x")).otherwise(F.col("y")), errors))
-    gone = close.select("late.*").distinct().withColumn("removed", F.lit(True))
+    return close.select("late.*").distinct()
+
+
+def copied_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(h, c, first, removed): of each distinct long line its earliest place, and whether an earlier line is within the distance."""
+    gone = close_lines(docs, ident, text, errors, min_chars).withColumn("removed", F.lit(True))
+    place = lines_of(docs, ident, text, min_chars).select("id", "at", *_names()).groupBy("h", "c").agg(F.min(F.struct("id", "at")).alias("first"))
     return place.join(gone, ["h", "c"], "left").select("h", "c", "first", F.coalesce("removed", F.lit(False)).alias("removed"))
 
 

@@ -160,6 +160,45 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs).columns == docs.columns and line_dedup.removed_lines(docs.limit(0)).count() == 0
 
 
+def shuffled(spark, action):
+    """Bytes of shuffle that the stages of an action write."""
+    def stages():
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+    before = stages()
+    action()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_line_dedup_shuffles_names_and_keys(spark):
+    """Texts of lines that have no near copy stay where they are, and a line has few keys whatever the table's size."""
+    rng = random.Random(31)
+    texts = ["\n".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzé ", k=1500)) for _ in range(4)) for _ in range(300)]
+    docs = frame(spark, texts)
+    assert shuffled(spark, lambda: line_dedup.removed_lines(docs).collect()) < 0.5 * sum(len(t) for t in texts)
+
+
+@pytest.mark.parametrize("errors", [1, 2, 3])
+def test_line_keys_meet(spark, errors):
+    """Lines within the distance share a key that one of them owns, also over the bounds of length classes."""
+    rng = random.Random(errors)
+    pairs = []
+    for n in [4 * errors, 31, 32, 33, 34, *range(40, 50), 63, 64, 65, 127, 128, 129, 130, 131, 159, 160, 161, 162, 163, 300]:
+        for _ in range(12):
+            a = "".join(rng.choice("abcdefgé") for _ in range(n))
+            b = a
+            for _ in range(errors):  # edits at the ends count as well
+                i = rng.choice([0, len(b) - 1, rng.randrange(len(b))])
+                b = rng.choice([b[:i] + "x" + b[i:], b[:i] + b[i + 1:], b[:i] + "x" + b[i + 1:], b + "x"])
+            pairs.append((a, b))
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.keys_of("a", errors).alias("x"), line_dedup.keys_of("b", errors).alias("y")).collect()
+    for r in rows:
+        x, y = (set(k for k in keys if k is not None) for keys in (r.x, r.y))
+        assert x & set(r.y[:errors + 1]) or y & set(r.x[:errors + 1]), (r.a, r.b)
+    if errors == 2:
+        assert max(sum(k is not None for k in keys) for r in rows for keys in (r.x, r.y) if len(r.a) >= 40) <= 10
+
+
 @pytest.mark.parametrize("errors", [1, 2, 3])
 def test_banded_distance(spark, errors):
     rng = random.Random(errors)
