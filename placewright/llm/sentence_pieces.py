@@ -7,8 +7,9 @@ without a piece.
 
 A normalised text falls into units: a run of markers and what follows it. No piece of the model reaches over the start
 of a unit (checked when the model is read; otherwise the text is one unit), so each unit is encoded once per task and
-kept in a bounded table, in batches on several threads. Parity: every text is also encoded whole by
-the sentencepiece library, and its ids are compared with the joined ids of the units.
+kept in a bounded table, in batches on as many threads as a task has cores. Parity: every text is also encoded whole by
+the sentencepiece library, and its ids are compared with the joined ids of the units. Units whose pieces, put together,
+are the unit are their own decoded text; all others are decoded by the backend.
 
 Empty and null texts have no tokens. Each input row gives one output row; other columns are not carried. One pass without
 shuffle; memory in a task is bounded by one block of text and the unit table (``UNITS`` entries of at most ``LONGEST``
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import carried, table
 
 MARK = "▁"
-UNITS, LONGEST = 400_000, 64
+UNITS, LONGEST = 800_000, 64
 #: kinds of pieces in the model format, fixed values
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -152,6 +153,10 @@ class Backend:
         self.plain = not steps
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.pattern = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+$") if model.divisible else None
+        #: whether every unit starts with a marker, so that the words of a text with single blanks inside are its units without it
+        self.marked = self.plain and model.dummy_prefix and model.escape and model.divisible
+        # pieces as text; a lone surrogate, which no text holds, for those that decode to something else
+        self.spelled = [p if k in (NORMAL, USER_DEFINED) and not p.startswith("<0x") else "\udfff" for p, _, k in model.pieces]
 
     def normalise(self, text: str) -> str:
         t = text if self.plain else self.normalizer.normalize_str(text)
@@ -164,6 +169,21 @@ class Backend:
     def units(self, normal: str) -> list[str]:
         return self.pattern.findall(normal) if self.pattern else [normal] if normal else []
 
+    def keys(self, text: str) -> list[str]:
+        """The units of a text, without their first marker if all have one."""
+        if not self.marked:
+            return self.units(self.normalise(text))
+        if text and "  " not in text and MARK not in text and text[0] != " " != text[-1]:
+            return text.split(" ")
+        return [u[1:] for u in self.units(self.normalise(text))]
+
+    def altered(self, units: list[str], ids: list[list[int]]) -> dict[str, str]:
+        """The decoded text of the units that don't come back."""
+        spelled = self.spelled.__getitem__
+        odd = [(u, a) for u, a in zip(units, ids) if "".join(map(spelled, a)) != u]
+        back = self.tokenizer.decode_batch([a for _, a in odd], skip_special_tokens=False)
+        return {u: t for (u, _), t in zip(odd, back) if t != u.replace(MARK, " ")}
+
     def encode(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
@@ -174,7 +194,7 @@ class Backend:
 
 
 def encode_texts(df: DataFrame, ident: str = "doc_id", text: str = "text", model_path: str | None = None, check: bool = True,
-                 threads: int = 2) -> DataFrame:
+                 threads: int | None = None) -> DataFrame:
     """(id, ids, n_bytes, round_trip, parity) per row.
 
     ``round_trip``: the decoded ids give the text back (a literal marker counts as the blank that the model makes of it).
@@ -183,40 +203,42 @@ def encode_texts(df: DataFrame, ident: str = "doc_id", text: str = "text", model
     with open(model_path or default_model(), "rb") as f:
         data = f.read()
     sent = df.sparkSession.sparkContext.broadcast(data)
+    threads = threads or int(df.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
     kind = df.schema[ident].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
-        os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
+        os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true" if threads > 1 else "false", str(threads)
         import sentencepiece
 
         backend = Backend(read_model(sent.value))
         other = sentencepiece.SentencePieceProcessor(model_proto=sent.value) if check else None
         known: dict[str, bytes] = {}  # ids as 32-bit numbers: plain bytes, which the collector of Python has no need to visit
         unlike: dict[str, str] = {}  # the decoded text of units that don't come back
+        mark = MARK if backend.marked else ""
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 texts = [t or "" for t in part["text"].to_pylist()]
-                cut = [backend.units(backend.normalise(t)) for t in texts]
+                cut = [backend.keys(t) for t in texts]
                 seen = set(chain.from_iterable(cut))
                 fresh = list(seen.difference(known))
                 if len(known) + len(fresh) > UNITS:
                     known, unlike, fresh = {}, {}, list(seen)
-                made = backend.encode(fresh)
-                back = backend.tokenizer.decode_batch(made, skip_special_tokens=False)
-                told = other.encode(texts, num_threads=threads) if check else [None] * len(texts)
-                unlike.update((u, t) for u, t in zip(fresh, back) if t != u.replace(MARK, " "))
+                full = [mark + u for u in fresh]
+                made = backend.encode(full)
+                told = other.encode_as_numpy(texts, num_threads=threads) if check else [None] * len(texts)
+                unlike.update((u[len(mark):], t) for u, t in backend.altered(full, made).items())
                 known.update((u, array("i", a).tobytes()) for u, a in zip(fresh, made))
                 rows = []
                 for t, units, ref in zip(texts, cut, told):
                     ids = np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32)
                     # units that come back are their own decoded text
-                    whole = ("".join([unlike.get(u, u) for u in units]) if unlike else "".join(units)).replace(MARK, " ")
+                    whole = ("".join([unlike.get(u, mark + u) for u in units]) if unlike else mark[:len(units)] + mark.join(units)).replace(MARK, " ")
                     whole = whole[1:] if backend.model.dummy_prefix else whole
                     rows.append((ids, len(t.encode("utf-8", "surrogatepass")), whole == t.replace(MARK, " "),
-                                 ref is None or np.array_equal(ids, np.array(ref, np.int32))))
+                                 ref is None or np.array_equal(ids, ref)))
                 for u in fresh:
                     if len(u) > LONGEST:
                         del known[u]

@@ -346,6 +346,26 @@ def test_toxicity_held_out(spark):
     assert out.where("predicted = toxic").count() >= 0.9 * out.count()
 
 
+def test_sentence_pieces_decodes_odd_units_only():
+    """Units are the words of a text, and only those whose pieces do not spell them are decoded, each as the backend decodes it."""
+    with open(sentence_pieces.default_model(), "rb") as f:
+        backend = sentence_pieces.Backend(sentence_pieces.read_model(f.read()))
+    mark = sentence_pieces.MARK
+    for t in ["", " ", "a", " a", "a ", "a  b c", "a b", f"a {mark}b", f"{mark}", "a\nb\tc d", "<0x41> <unk> é 𝄞", "  "]:
+        assert backend.marked and [mark + k for k in backend.keys(t)] == backend.units(backend.normalise(t))
+    units = [mark + u for u in ("plain", "words", "<0x41>", "<unk>", "<s>", "é𝄞", "\u0378", "a\x00b", f"{mark}x", "")]
+    ids, asked = backend.encode(units), []
+    decode = {u: backend.tokenizer.decode(a, skip_special_tokens=False) for u, a in zip(units, ids)}
+
+    class Counting:
+        def decode_batch(self, batch, **how):
+            asked.extend(batch)
+            return inner.decode_batch(batch, **how)
+    inner, backend.tokenizer = backend.tokenizer, Counting()
+    assert backend.altered(units, ids) == {u: t for u, t in decode.items() if t != u.replace(mark, " ")}
+    assert len(asked) < len(units) / 2
+
+
 def test_sentence_pieces(spark):
     import sentencepiece
     texts = hard_texts(random.Random(8)) + ["  a  b ", "▁ y▁", "日本 🎉\tz\n\n q", "<s> </s> <unk> <0x0A>", "a ", "1234 5", "\u0000x"]
