@@ -2,29 +2,33 @@
 
 Texts: a text of length l is cut into one segment more than the edits it allows; a close text has to hold one of them unchanged, near
 its place. So each text offers its own segments and asks for the pieces of itself that could be a segment of a text of its length
-or longer, and an equi-join on (length, segment number, piece) finds every pair. A segment that a crowd of texts offers (a word
-that many names share) would make that crowd meet itself: it is offered together with one more piece of the rest of the text, cut so that one
-piece must be unchanged. Sets: the rarest few elements of a set, by exact
+or longer, and an equi-join on (length, segment number, piece) finds every pair. Segments are of equal size, but where a crowd of texts
+offers the same one (a word that many names share), the texts of that block and length are cut where a sample of them says that the
+fewest pairs meet: the shared word then lies in one segment together with letters that differ. Sets: the rarest few elements of a set, by exact
 counts, and a pair has to share one of them at places that leave room for the wanted overlap. An element that only one
 row has can meet nothing and is never joined.
 
-Only ids and numbers travel with the keys; inside the join two bit signatures (letters and letter pairs) or places and sizes discard
-what cannot be close. Texts and sets are fetched for the pairs that are left, and compared exactly.
+Texts travel with their keys and are compared inside the join, behind a signature of their letters, so that only pairs that are close leave
+it. Of sets only ids and numbers travel; they are fetched for the pairs whose places and sizes fit, and compared exactly.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import gestalt_ratio, jaccard, levenshtein_ratio
-from ..session import cut_lineage, written
+from ..functions.text import gestalt_ratio, jaccard
+from ..session import written
 from .skew import HOT_ROWS, salted_join, whole
 
-#: words of 64 bits of a signature
-LETTERS, PAIRS = 3, 3
 EPS = 1e-9
-#: a segment that so many texts offer is joined with a further piece of its text
-CROWD = 512
+#: where so many texts offer a segment, the texts of that block and length are cut anew, after a look at so many of them
+CROWD, LOOKED_AT = 128, 512
+#: places between which a cut is looked for, at most
+PLACES = 64
+#: a table of (block, length) with no more rows is broadcast
+FEW = 50_000
 
 
 def _edits(length: str, share: float) -> str:
@@ -43,17 +47,27 @@ def farthest(length: str, share: float) -> str:
     return f"cast(floor({length} * {share / (1 - share)!r}D + {EPS!r}D) as int)"
 
 
+def _cut(rows: DataFrame, length: str, edits: str) -> DataFrame:
+    """A row for each segment _i with its place _at and _size: as the array _cut says (places, and the end), or of equal size."""
+    at, size = _segment(length, edits, "_i")
+    if "_cut" in rows.columns:
+        at, size = f"coalesce(_cut[_i - 1], {at})", f"coalesce(_cut[_i] - _cut[_i - 1], {size})"
+    cut = rows.where(f"{edits} > 0").select("*", F.expr(f"explode(sequence(1, {edits} + 1))").alias("_i"))
+    return cut.withColumns({"_at": F.expr(at), "_size": F.expr(size)})
+
+
 def own_keys(rows: DataFrame, block: str, edits: str, *carry: Column) -> DataFrame:
     """Keys of the segments of each text (_t of length _n), one more than its column of edits says."""
-    at, size = _segment("_n", edits, "_i")
-    cut = rows.where(f"{edits} > 0").select("*", F.expr(f"explode(sequence(1, {edits} + 1))").alias("_i"))
-    return cut.select(F.expr(f"xxhash64({block}_n, _i, substring(_t, {at}, {size}))").alias("_key"), *carry)
+    return _cut(rows, "_n", edits).select(F.expr(f"xxhash64({block}_n, _i, substring(_t, _at, _size))").alias("_key"), *carry)
+
 
+def asked_keys(rows: DataFrame, block: str, share: float, lengths: DataFrame, *carry: Column) -> DataFrame:
+    """Keys of the pieces of each text that could be a segment of a text of the same length or of a longer one.
 
-def asked_keys(rows: DataFrame, block: str, share: float, *carry: Column) -> DataFrame:
-    """Keys of the pieces of each text that could be a segment of a text of the same length or of a longer one."""
-    lengths = rows.select("*", F.expr("explode(sequence(_n, _n + _far))").alias("_l")).withColumn("_m", F.expr(_edits("_l", share)))
-    return _pieces(lengths.where("_l - _n <= _m"), block, *carry)
+    ``lengths`` has the (_g, _l) that occur, with their _cut.
+    """
+    longer = rows.select("*", F.expr("explode(sequence(_n, _n + _far))").alias("_l")).withColumn("_m", F.expr(_edits("_l", share))).where("_l - _n <= _m")
+    return _pieces(longer.join(lengths, ["_g", "_l"]), block, *carry)
 
 
 def asked_both_ways(rows: DataFrame, block: str, share: float, *carry: Column) -> DataFrame:
@@ -69,101 +83,108 @@ def _pieces(lengths: DataFrame, block: str, *carry: Column) -> DataFrame:
     A piece lies at most i - 1 places from the i-th segment seen from the left, and as many as there are segments behind
     it seen from the right: errors on that side are fewer, or another segment matches.
     """
-    at, size = _segment("_l", "_m", "_i")
-    cut = lengths.where("_m > 0").select("*", F.expr("explode(sequence(1, _m + 1))").alias("_i")).withColumns({"_at": F.expr(at), "_size": F.expr(size)})
+    cut = _cut(lengths, "_l", "_m")
     near = cut.withColumns({"_low": F.expr("greatest(1, _at - (_i - 1), _at + _n - _l - (_m + 1 - _i))"),
                             "_high": F.expr("least(_n - _size + 1, _at + (_i - 1), _at + _n - _l + (_m + 1 - _i))")}).where("_low <= _high")
     return near.select("*", F.expr("explode(sequence(_low, _high))").alias("_p")).select(F.expr(f"xxhash64({block}_l, _i, substring(_t, _p, _size))").alias("_key"), *carry)
 
 
-def _cuts(rows: DataFrame) -> DataFrame:
-    """Pieces (_from, _size2), one more than the edits _m, of the segments of a text of length _l that are not among the numbers _held."""
-    at, size = _segment("_l", "_m", "_j")
-    free = rows.withColumn("_free", F.expr("filter(sequence(1, _m + 1), i -> not array_contains(_held, i))"))
-    cut = free.select("*", F.expr("posexplode(_free)").alias("_r", "_j")).withColumns({
-        "_at2": F.expr(at), "_len2": F.expr(size), "_q": F.expr("cast((_m + 1) div size(_free) as int) + if(_r < (_m + 1) % size(_free), 1, 0)")})
-    part = cut.select("*", F.expr("explode(sequence(0, _q - 1))").alias("_u")).withColumns({
-        "_from": F.expr("_at2 + cast((_len2 * _u) div _q as int)"), "_size2": F.expr("cast((_len2 * (_u + 1)) div _q as int) - cast((_len2 * _u) div _q as int)")})
-    return part.drop("_free", "_r", "_j", "_at2", "_len2", "_q", "_u")
-
-
 def _crowded(rows: DataFrame, own: DataFrame, crowds: DataFrame) -> DataFrame:
-    """Rows with the numbers _held of those of their segments that are not joined alone: the most crowded, while what is left gives pieces of two letters."""
-    most = "size(filter(sequence(1, _k), h -> ((_n div (_k + 1)) div ((2 * _k + 1 - h) div (_k + 1 - h))) >= 2))"
-    held = own.join(whole(crowds), "_key").groupBy(F.col("_id_a").alias("_id")).agg(F.sort_array(F.collect_list(F.struct((-F.col("_f")).alias("f"), "_i"))).alias("_c"))
-    marked = rows.join(whole(held), "_id", "left").withColumn("_held", F.expr(f"if(_c is null or _k < 1, cast(array() as array<int>), array_sort(transform(slice(_c, 1, {most}), c -> c._i)))"))
-    return marked.drop("_c")
-
-
-def _crowd_pairs(marked: DataFrame, asked: DataFrame, prefix: str, hot_rows: int) -> DataFrame:
-    """Joined sides of pairs that share a segment of a crowd and one of the pieces that the rest of the longer text is cut into.
-
-    Of these pieces, one more than the edits, one lies unchanged in the other text too; its shift d, that of the segment s and the difference
-    of the lengths take at least as many edits as they differ from each other, in the order of their places.
-    """
-    at, size = _segment("_l", "_m", "_i")
-    held = marked.where("size(_held) > 0").withColumns({"_l": F.col("_n"), "_m": F.col("_k")}).select("*", F.explode("_held").alias("_i"))
-    held = held.withColumn("_key", F.expr(f"xxhash64({prefix}_l, _i, substring(_t, {at}, {size}))"))
-    patterns = held.select("_key", "_held").distinct()
-    own = _cuts(held).select(F.expr("xxhash64(_key, _from, _size2, substring(_t, _from, _size2))").alias("_key"),
-                             F.col("_id").alias("_id_a"), F.col("_n").alias("_n_a"), "_k", F.col("_s").alias("_s_a"))
-    met = salted_join(asked, patterns, ["_key"], ["_id_b", "_p"], "inner", hot_rows)
-    edits = "if(_from < _at, abs(_d) + abs(_p - _at - _d) + abs(_n_b - _l - _p + _at), abs(_p - _at) + abs(_d - _p + _at) + abs(_n_b - _l - _d)) <= _m"
-    moved = _cuts(met).select("*", F.expr("explode(sequence(-_m, _m))").alias("_d")).where(edits).where("_from + _d >= 1 and _from + _d + _size2 <= _n_b + 1")
-    asks = moved.select(F.expr("xxhash64(_key, _from, _size2, substring(_t, _from + _d, _size2))").alias("_key"), "_id_b", "_n_b", "_s_b").distinct()
-    return salted_join(own, asks, ["_key"], ["_id_a"], "inner", hot_rows)
-
-
-def _bits(places: str, words: int) -> list[Column]:
-    """Numbers of bits as 64-bit words."""
-    return [F.expr(f"aggregate(filter({places}, b -> b div 64 = {w}), 0L, (a, b) -> a | shiftleft(1L, cast(b % 64 as int)))") for w in range(words)]
+    """Rows with the numbers _held of those of their segments that a crowd offers."""
+    held = own.join(whole(crowds), "_key").groupBy(F.col("_id_a").alias("_id")).agg(F.array_sort(F.collect_list("_i")).alias("_held"))
+    return rows.join(whole(held), "_id", "left").withColumn("_held", F.coalesce("_held", F.array().cast("array<int>")))
+
+
+def best_cut(texts: list[str], edits: int) -> list[int]:
+    """Places (from 1) of the segments of texts of one length, and the end: so cut that the fewest pairs share a segment, each counted at as many
+    places as it may be shifted to."""
+    n, parts = len(texts[0]), edits + 1
+    marks = sorted({round(x) for x in np.linspace(0, n, min(n, max(PLACES, 2 * parts)) + 1)})
+    letters = np.array([[ord(c) for c in t] for t in texts], dtype=np.uint64)
+    factor, running, power = np.uint64(0x9E3779B97F4A7C15), np.zeros((len(texts), n + 1), np.uint64), np.ones(n + 1, np.uint64)
+    power[1:] = np.multiply.accumulate(np.full(n, factor))  # hashes wrap around
+    for j in range(n):
+        running[:, j + 1] = running[:, j] * factor + letters[:, j] + np.uint64(1)
+    cost = np.full((len(marks), len(marks)), np.inf)
+    for a, i in enumerate(marks):
+        for b in range(a + 1, len(marks)):
+            piece = np.sort(running[:, marks[b]] - running[:, i] * power[marks[b] - i])
+            runs = np.diff(np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1], [True]))))
+            cost[a, b] = (runs * (runs - 1)).sum() / max(1, len(texts) * (len(texts) - 1)) + 1e-9 * (marks[b] - i) ** 2
+    best, came = cost[0], []
+    for p in range(2, parts + 1):
+        total = best[:, None] + cost * (2 * min(p - 1, parts - p) + 1)
+        came.append(total.argmin(axis=0))
+        best = total.min(axis=0)
+    at, out = len(marks) - 1, [n + 1]
+    for step in reversed(came):
+        at = step[at]
+        out.append(marks[at] + 1)
+    return [1, *reversed(out)]
+
+
+def _lengths(rows: DataFrame, marked: DataFrame | None) -> DataFrame:
+    """(_g, _l, _cut) of the blocks and lengths that occur; _cut is null where no segment is crowded. Where to cut is a matter of cost alone, so a sample will do."""
+    found = rows.select("_g", F.col("_n").alias("_l")).distinct()
+    if marked is None:
+        out = found.withColumn("_cut", F.lit(None).cast("array<int>"))
+    else:
+        groups = marked.where("size(_held) > 0").select("_g", "_n").distinct()
+        order = F.row_number().over(Window.partitionBy("_g", "_n").orderBy(F.xxhash64("_id")))
+        looked = rows.join(whole(groups), ["_g", "_n"], "left_semi").select("_g", "_n", "_k", "_t", order.alias("_r")).where(F.col("_r") <= LOOKED_AT)
 
+        def cut(group: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"_g": group["_g"][:1], "_l": group["_n"][:1], "_cut": [best_cut(list(group["_t"]), int(group["_k"].iloc[0]))]})
+        out = found.join(whole(looked.groupBy("_g", "_n").applyInPandas(cut, "_g long, _l int, _cut array<int>")), ["_g", "_l"], "left")
+    out = written(out)
+    return F.broadcast(out) if out.count() <= FEW else whole(out)
 
-def with_signature(df: DataFrame, text: str = "_t", signature: str = "_s") -> DataFrame:
-    """Adds bits of which one edit turns at most two (numbered letters, first words) or four (letter pairs, last words); no replacement, one or three."""
-    letters = (f"flatten(transform(array_distinct(split({text}, '')), c -> if(c = '', cast(array() as array<string>), transform(sequence(1, "
-               f"least(4, length({text}) - length(replace({text}, c, '')))), j -> concat(c, j)))))")
-    pairs = f"array_distinct(transform(sequence(1, greatest(1, length({text}) - 1)), p -> substring({text}, p, 2)))"
-    placed = df.withColumns({f"_b{i}": F.expr(f"transform({e}, e -> pmod(xxhash64(e), {64 * n}))") for i, (e, n) in enumerate([(letters, LETTERS), (pairs, PAIRS)])})
-    return placed.withColumn(signature, F.array(*_bits("_b0", LETTERS), *_bits("_b1", PAIRS))).drop("_b0", "_b1")
 
+def with_signature(df: DataFrame, text: str = "_t") -> DataFrame:
+    """Adds 128 bits (_s0, _s1) of the numbers of letters: a letter more or less turns one bit.
 
-def _turned(a: str, b: str, first: int, words: int) -> Column:
-    return sum((F.bit_count(F.get(a, F.lit(w)).bitwiseXOR(F.get(b, F.lit(w)))) for w in range(first, first + words)), F.lit(0))
+    Letters fall into 64 classes of two bits, which count 0, 1, 11, 10 and again 0.
+    """
+    def word(w: int) -> str:
+        count = "(shiftright(s, 2 * c) & 3)"
+        return f"aggregate(transform(filter(_c, c -> c div 32 = {w}), c -> cast(c % 32 as int)), 0L, (s, c) -> s ^ shiftleft({count} ^ (({count} * 2 + if({count} < 2, 1, 0)) & 3), 2 * c))"
+    classed = df.withColumn("_c", F.expr(f"transform(split({text}, ''), c -> pmod(xxhash64(c), 64))"))
+    return classed.withColumns({f"_s{w}": F.expr(word(w)) for w in range(2)}).drop("_c")
 
 
-def text_candidates(nodes: DataFrame, share: float, block: list[str], hot_rows: int = HOT_ROWS, crowd: int = CROWD,
-                    replaced: bool = True) -> DataFrame:
-    """Distinct pairs (id_a, id_b) of nodes (_id, _t, block columns) that may lie within ``share`` of the longer length in edits.
+def close_texts(nodes: DataFrame, share: float, block: list[str], hot_rows: int = HOT_ROWS, crowd: int = CROWD, replaced: bool = True) -> DataFrame:
+    """Distinct pairs (id_a, id_b, edits, longer length) of nodes (_id, _t, block columns) that lie within ``share`` of the longer length in edits.
 
-    Without ``replaced`` letters are only inserted and deleted, within half of ``share`` of both lengths: one turns fewer bits of the signatures.
+    Without ``replaced`` letters are only inserted and deleted, within half of ``share`` of both lengths: the pairs whose distance
+    with replacements is within that many edits, which holds all of them.
     """
-    prefix = "".join(f"{b}, " for b in block)
     # dealt out by number: a row becomes many keys, so its bytes say little about its work
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.repartition(parts, "_id").withColumn("_n", F.length("_t")).withColumn("_k", F.expr(_edits("_n", share)))
-    rows = rows.withColumn("_far", F.expr(farthest("_n", share))).where("_k + _far > 0")
-    rows = cut_lineage(with_signature(rows))
-    sides = (F.col("_id").alias("_id_a"), F.col("_n").alias("_n_a"), F.col("_k"), F.col("_s").alias("_s_a"))
-    asks = (F.col("_id").alias("_id_b"), F.col("_n").alias("_n_b"), F.col("_s").alias("_s_b"))
-    own = own_keys(rows, prefix, "_k", *sides, F.col("_i"))
+    rows = nodes.select("_id", "_t", (F.xxhash64(*block) if block else F.lit(0).cast("long")).alias("_g")).repartition(parts, "_id")
+    rows = rows.withColumn("_n", F.length("_t")).withColumn("_k", F.expr(_edits("_n", share)))
+    rows = written(with_signature(rows.withColumn("_far", F.expr(farthest("_n", share))).where("_k + _far > 0")))
+    own = own_keys(rows, "_g, ", "_k", F.col("_id").alias("_id_a"), F.col("_i"))
     counts = written(own.groupBy("_key").agg(F.count(F.lit(1)).alias("_f")).where(F.col("_f") >= min(crowd, hot_rows)))
     hot, crowds = counts.where(F.col("_f") >= hot_rows).select("_key"), counts.where(F.col("_f") >= crowd)
-    few = crowds.isEmpty()
-    if not few:
-        marked = cut_lineage(_crowded(rows, own, crowds))
-        own = own_keys(marked, prefix, "_k", *sides, F.col("_i"), F.col("_held")).where("not array_contains(_held, _i)")
-    met = salted_join(own.select("_key", "_id_a", "_n_a", "_k", "_s_a"), asked_keys(rows, prefix, share, *asks), ["_key"], ["_id_a"], "inner", hot_rows, hot=hot)
-    if not few:
-        more = _crowd_pairs(marked, asked_keys(rows, prefix, share, *asks, *(F.col(c) for c in ("_t", "_l", "_m", "_i", "_at", "_p"))), prefix, hot_rows)
-        met = met.unionByName(more)
-    turns = (2 * F.col("_k"), 4 * F.col("_k"))
+    lengths = _lengths(rows, None if crowds.isEmpty() else _crowded(rows.select("_id", "_g", "_n"), own, crowds))
+    cut = rows.join(lengths.withColumnRenamed("_l", "_n"), ["_g", "_n"])
+    sides = [[F.col(c).alias(f"{c}_{s}") for c in ("_id", "_t", "_n", "_s0", "_s1")] for s in "ab"]
+    own, asks = own_keys(cut, "_g, ", "_k", *sides[0], F.col("_k")), asked_keys(rows, "_g, ", share, lengths, *sides[1])
+    met = own.join(whole(asks), "_key") if hot.isEmpty() else salted_join(own, asks, ["_key"], ["_id_a"], "inner", hot_rows)
+    most, turns = "_k", "2 * _k"
     if not replaced:
-        both = F.floor((F.col("_n_a") + F.col("_n_b")) * F.lit(share / 2) + F.lit(EPS))
-        turns = (both, 3 * both)
-    near = (((F.col("_n_b") < F.col("_n_a")) | (F.col("_id_b") < F.col("_id_a"))) & (F.col("_n_a") - F.col("_n_b") <= F.col("_k")) & (F.col("_n_b") <= F.col("_n_a"))
-            & (_turned("_s_a", "_s_b", 0, LETTERS) <= turns[0]) & (_turned("_s_a", "_s_b", LETTERS, PAIRS) <= turns[1]))
-    return met.where(near).select(F.least("_id_a", "_id_b").alias("id_a"), F.greatest("_id_a", "_id_b").alias("id_b")).distinct()
+        most = turns = f"cast(floor((_n_a + _n_b) * {share / 2!r}D + {EPS!r}D) as int)"
+    near = met.where("(_n_b < _n_a or _id_b < _id_a) and _n_a - _n_b <= _k and _n_b <= _n_a "
+                     f"and bit_count(_s0_a ^ _s0_b) + bit_count(_s1_a ^ _s1_b) <= {turns} and levenshtein(_t_a, _t_b, {most}) >= 0")
+    pairs = near.selectExpr("least(_id_a, _id_b) as id_a", "greatest(_id_a, _id_b) as id_b", "levenshtein(_t_a, _t_b) as _d", "_n_a as _n")
+    # aggregated, as a filter on plain columns would pass into the join, before its own condition, and measure every pair that meets
+    return pairs.groupBy("id_a", "id_b").agg(F.min("_d").alias("_d"), F.max("_n").alias("_n"))
+
+
+def text_candidates(nodes: DataFrame, share: float, block: list[str], hot_rows: int = HOT_ROWS, crowd: int = CROWD,
+                    replaced: bool = True) -> DataFrame:
+    """The distinct pairs (id_a, id_b) of ``close_texts``."""
+    return close_texts(nodes, share, block, hot_rows, crowd, replaced).select("id_a", "id_b")
 
 
 def _nodes(rows: DataFrame, value: Column, block: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -199,13 +220,12 @@ def similar_texts(df: DataFrame, ident: str, text: str, ratio: float, block: lis
     rows, nodes, copied = _nodes(df.where((F.coalesce(F.col(text), F.lit("")) != "")).select(F.col(ident).alias("_id"), *block, F.col(text).alias("_t")), F.col("_t"), block)
     # what does not match is inserted or deleted, so two texts lie within twice that share of the longer one
     share = (1 - ratio) * (1 if metric == "levenshtein" else 2)
-    both = _fetched(text_candidates(nodes, share, block, hot_rows, crowd, metric == "levenshtein"), rows, "_t")
+    close = close_texts(nodes, share, block, hot_rows, crowd, metric == "levenshtein")
     if metric == "levenshtein":
-        close = both.withColumn("score", levenshtein_ratio("_v_a", "_v_b"))
+        close = close.withColumn("score", 1 - F.col("_d") / F.col("_n"))
     else:
-        # what matches is a common subsequence, so all else can be deleted and inserted: most candidates fail this without Python
-        within = F.levenshtein("_v_a", "_v_b") <= (F.length("_v_a") + F.length("_v_b")) * F.lit(1 - ratio) + F.lit(EPS)
-        close = both.where(within).withColumn("score", gestalt_ratio("_v_a", "_v_b"))
+        # what matches is a common subsequence, so all else can be deleted and inserted: most pairs fail this without Python
+        close = _fetched(close.select("id_a", "id_b"), rows, "_t").withColumn("score", gestalt_ratio("_v_a", "_v_b"))
     found = close.where(F.col("score") >= ratio).select("id_a", "id_b", "score")
     return found.unionByName(copy_links(rows, copied, hot_rows)) if copies else found
 

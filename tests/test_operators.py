@@ -328,6 +328,21 @@ def test_similar_texts_of_a_crowd(spark, ratio):
     assert {tuple(r["_held"]) for r in similarity._crowded(rows, own, crowds).collect()} == {(1, 4)}
 
 
+def test_texts_with_long_common_parts_are_compared_inside_the_join(spark):
+    """Titles of a few words and letters that differ: only close pairs leave the join, and the cut spreads the letters over the segments."""
+    rnd = random.Random(8)
+    texts = sorted({t + "".join(rnd.choice("aeioubdf") for _ in range(7)) + end for t in ("jazz night at the rooftop ", "the old food market ") for _ in range(160) for end in ("", "s")})
+    nodes = spark.createDataFrame([(i, t, t[:3]) for i, t in enumerate(texts)], "_id long, _t string, b string")
+    want = {(i, j) for i, j in expect_pairs(texts, lambda a, b: a[:3] == b[:3] and abs(len(a) - len(b)) <= 3 and lev(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9))}
+    for crowd in (20, 10_000):
+        assert {tuple(r) for r in similarity.text_candidates(nodes, 0.1, ["b"], crowd=crowd).collect()} == want
+    same = [t for t in texts if len(t) == 33 and t.startswith("jazz")]
+    places = similarity.best_cut(same, 3)
+    assert places[0] == 1 and places[-1] == 34 and places[1] > 26 and sorted(set(places)) == places and len(places) == 5
+    shared = [sum(a[i - 1:j - 1] == b[i - 1:j - 1] for a, b in itertools.combinations(same, 2)) for i, j in zip(places, places[1:])]
+    assert sum(shared) < 0.3 * len(same) * (len(same) - 1) / 2  # of segments of equal size three are the same everywhere
+
+
 def test_candidates_grow_with_the_rows(spark):
     """Ten times the rows, under fifteen times the candidates: texts of random letters with a common tail, sets of common and rare words."""
     def letters(n):
