@@ -442,3 +442,13 @@ def test_sets_keep_no_whole_rows(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b", "c"]), (3, ["x"])], "id long, w array<string>")
     assert before and rows(similarity.similar_sets(df, "id", "w", 0.8), "id_a", "id_b") == [(1, 2)]
     assert {p.name for p in folder.glob("**/rdd-*")} <= before and list(Path(work_dir(spark).removeprefix("file:")).glob("tables/*"))
+
+
+def test_city_statistics_in_any_order(spark):
+    """Ratings whose mean is a half of the last digit, in three orders: a sum of doubles falls on either side of it."""
+    ratings = [(i * 37) % 50 / 10 for i in range(900)]
+    for given in (ratings, sorted(ratings), sorted(ratings, reverse=True)):
+        df = spark.createDataFrame([("a", ["x"], 1, r) for r in given] + [("b", ["x"], 1, float("nan")), ("b", ["x"], 1, 2.0), ("c", ["x"], 1, None)],
+                                   "city string, tags array<string>, price int, rating double").coalesce(1)
+        got = {r["city"]: r["mean_rating"] for r in reports.city_statistics(df, "tags", "price", "rating").where("kind = 'all'").collect()}
+        assert got["a"] == 2.5 and math.isnan(got["b"]) and got["c"] is None
