@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import levenshtein_ratio
 from ..operators import resolve as R
 from ..operators import similarity as S
 from ..session import cut_lineage
@@ -19,19 +18,21 @@ KINDS = ("identity", "address", "name", "point")
 
 
 def _entries(base: DataFrame, seq: str, ratio: float, block: list[str], tolerance: float) -> DataFrame:
-    """(kind, key, seq, name, block value, x, y): what later rows look for. A name stands under each of its segments."""
+    """(kind, key, seq, name, its signature, block value, x, y): what later rows look for. A name stands under each of its segments."""
     share = 1 - ratio
     none = F.lit(None).cast("string")
-    spare = [none.alias("name"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y")]
+    signs = [F.lit(None).cast("long").alias(c) for c in ("s0", "s1")]
+    spare = [none.alias("name"), *signs, F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y")]
     exact = [base.where(F.coalesce(F.col(c), F.lit("")) != "").select(F.lit(kind).alias("kind"), F.xxhash64(c).alias("key"), F.col(seq).alias("seq"), F.col(c).alias("value"), *spare)
              for kind, c in (("identity", "match_key"), ("address", "_address"))]
     names = _named(base, seq, share, block)
-    keyed = S.own_keys(names, "_block, ", "_far", F.col("_id").alias("seq"), F.col("_block").alias("value"), F.col("_t").alias("name"))
-    whole = names.select(F.expr("xxhash64(_block, -1, 0, _t)").alias("_key"), F.col("_id").alias("seq"), F.col("_block").alias("value"), F.col("_t").alias("name"))
-    keyed = keyed.unionByName(whole).select(F.lit("name").alias("kind"), F.col("_key").alias("key"), "seq", "value", "name", *spare[1:])
+    carry = [F.col(c).alias(to) for c, to in (("_id", "seq"), ("_block", "value"), ("_t", "name"), ("_s0", "s0"), ("_s1", "s1"))]
+    keyed = S.own_keys(names, "_block, ", "_far", *carry)
+    whole = names.select(F.expr("xxhash64(_block, -1, 0, _t)").alias("_key"), *carry)
+    keyed = keyed.unionByName(whole).select(F.lit("name").alias("kind"), F.col("_key").alias("key"), "seq", "value", "name", "s0", "s1", *spare[3:])
     points = base.where("geo_lat is not null and geo_lng is not null")
     cells = [points.select(F.lit("point").alias("kind"), _cell(level, F.floor(F.col("geo_lat") / (tolerance * part)), F.floor(F.col("geo_lng") / (tolerance * part))).alias("key"),
-                           F.col(seq).alias("seq"), F.lit(str(level)).alias("value"), none.alias("name"), F.col("geo_lat").alias("x"), F.col("geo_lng").alias("y"))
+                           F.col(seq).alias("seq"), F.lit(str(level)).alias("value"), none.alias("name"), *signs, F.col("geo_lat").alias("x"), F.col("geo_lng").alias("y"))
              for level, part in enumerate(LEVELS)]
     out = exact[0].unionByName(exact[1]).unionByName(keyed)
     for c in cells:
@@ -54,23 +55,24 @@ def _named(base: DataFrame, seq: str, share: float, block: list[str]) -> DataFra
     rows = base.where(F.coalesce(F.col("match_name"), F.lit("")) != "").select(F.col(seq).alias("_id"), value.alias("_block"), F.col("match_name").alias("_t"), *[F.col(b).alias(f"_b_{b}") for b in block])
     for b in block:
         rows = rows.where(F.col(f"_b_{b}").isNotNull())
-    return rows.select("_id", "_block", "_t", F.length("_t").alias("_n"), F.expr(S.farthest("length(_t)", share)).alias("_far"))
+    return S.with_signature(rows.select("_id", "_block", "_t", F.length("_t").alias("_n"), F.expr(S.farthest("length(_t)", share)).alias("_far")))
 
 
 def _asked(base: DataFrame, seq: str, ratio: float, block: list[str], tolerance: float) -> DataFrame:
     """(kind, key, asker, and the values to compare): where the rows of a batch look in the index."""
     share = 1 - ratio
     none = F.lit(None).cast("string")
-    spare = [none.alias("a_name"), F.lit(None).cast("double").alias("a_x"), F.lit(None).cast("double").alias("a_y")]
+    signs = [F.lit(None).cast("long").alias(c) for c in ("a_s0", "a_s1")]
+    spare = [none.alias("a_name"), *signs, F.lit(None).cast("double").alias("a_x"), F.lit(None).cast("double").alias("a_y")]
     out = None
     for kind, c in (("identity", "match_key"), ("address", "_address")):
         part = base.where(F.coalesce(F.col(c), F.lit("")) != "").select(F.lit(kind).alias("kind"), F.xxhash64(c).alias("key"), F.col(seq).alias("asker"), F.col(c).alias("a_value"), *spare)
         out = part if out is None else out.unionByName(part)
     names = _named(base, seq, share, block)
-    carry = [F.col("_id").alias("asker"), F.col("_block").alias("a_value"), F.col("_t").alias("a_name")]
+    carry = [F.col("_id").alias("asker"), F.col("_block").alias("a_value"), F.col("_t").alias("a_name"), F.col("_s0").alias("a_s0"), F.col("_s1").alias("a_s1")]
     keyed = S.asked_both_ways(names, "_block, ", share, *carry).distinct()
     whole = names.select(F.expr("xxhash64(_block, -1, 0, _t)").alias("_key"), *carry)
-    out = out.unionByName(keyed.unionByName(whole).select(F.lit("name").alias("kind"), F.col("_key").alias("key"), "asker", "a_value", "a_name", *spare[1:]))
+    out = out.unionByName(keyed.unionByName(whole).select(F.lit("name").alias("kind"), F.col("_key").alias("key"), "asker", "a_value", "a_name", "a_s0", "a_s1", *spare[3:]))
     return out
 
 
@@ -94,8 +96,13 @@ def match_stored(store: Store, batch: DataFrame, seq: str = "seq", ratio: float
     met = asked.join(held, ["kind", "key"])
     exact = met.where((F.col("kind") != "name") & (F.col("value") == F.col("a_value"))).groupBy("asker", "kind").agg(F.min("seq").alias("match"))
     exact = exact.select(F.col("asker").alias(seq), "match", F.when(F.col("kind") == "identity", 0).otherwise(2).alias("_s"))
-    close = (met.where((F.col("kind") == "name") & (F.col("value") == F.col("a_value"))).select("asker", "a_name", "seq", "name").distinct()
-             .withColumn("score", levenshtein_ratio("a_name", "name")).where(F.col("score") >= ratio))
+    # compared inside the join, and grouped before the score is filtered: a word that many names share makes all of them meet
+    longest = "greatest(length(a_name), length(name))"
+    most = f"cast(floor({longest} * {1 - ratio!r}D + {S.EPS!r}D) as int)"
+    near = met.where((F.col("kind") == "name") & (F.col("value") == F.col("a_value"))).where(
+        f"abs(length(a_name) - length(name)) <= {most} and bit_count(a_s0 ^ s0) + bit_count(a_s1 ^ s1) <= 2 * {most} and levenshtein(a_name, name, {most}) >= 0")
+    close = near.groupBy("asker", "seq").agg(F.min(F.levenshtein("a_name", "name")).alias("_d"), F.max(F.expr(longest)).alias("_n"))
+    close = close.withColumn("score", 1 - F.col("_d") / F.col("_n")).where(F.col("score") >= ratio)
     # of equal names the earliest stands for the others, as in one run over all rows
     named = close.groupBy("asker").agg(F.max_by(F.col("seq"), F.struct(F.col("score"), -F.col("seq"))).alias("match"), F.max("score").alias("score"))
     out = exact.withColumn("score", F.lit(1.0)).unionByName(named.select(F.col("asker").alias(seq), "match", F.lit(1).alias("_s"), "score"))

@@ -222,3 +222,20 @@ def test_places_are_dealt_out(spark):
     """The one small file of customers makes as many tasks as the session asks for, below filters on derived columns too."""
     found = places(spark, SF).where("length(name) > 3").groupBy(F.spark_partition_id()).count().collect()
     assert len(found) > 1
+
+
+def test_stored_names_of_a_common_word(spark, tmp_path):
+    """Names that share a word meet under it: signatures go before the distance, inside the join, and matches are those of one run over all rows."""
+    import random
+    rnd = random.Random(3)
+    stems = ["".join(rnd.choice("aeioubdfgklmnprs") for _ in range(12)) for _ in range(40)]
+    places = [(i, f"{s} gallery", "bangkok", None, None, None, None) for i, s in enumerate([*stems, *(t[:5] + "x" + t[6:] for t in stems[:20]), *(t + "s" for t in stems[10:30])])]
+    df = spark.createDataFrame(places, "seq long, name string, city string, domain string, address string, geo_lat double, geo_lng double")
+    root = str(tmp_path / "s")
+    matching.against_stored(root)(df.where("seq < 40"), 0)
+    found, _ = matching.match_batch(Store(spark, root), df.where("seq >= 40"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "levenshtein" in line]
+    assert joins and all(0 < line.find("bit_count") < line.find("levenshtein") for line in joins)
+    want = {tuple(r) for r in resolve.match_rows(df).where("seq >= 40").collect()}
+    assert len(want) == 40 and {tuple(r) for r in found.collect()} == want
